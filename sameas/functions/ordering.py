@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sameas.session import cut_lineage
+
 HASH_DIGITS = 3          # 16**3 buckets of evenly spread md5 values
 RANGE_BUCKETS = 256      # buckets between approximate quantiles
 
@@ -43,19 +46,21 @@ def hash_rank(df: DataFrame, keys: Sequence[str], seed, out: str = "rank",
     )
 
 
-def _range_bucket(df: DataFrame, key: str) -> Column:
-    """Bucket number that never decreases with `key`; quantiles are taken from df."""
-    cuts = df.agg(F.percentile_approx(key, [i / RANGE_BUCKETS for i in range(1, RANGE_BUCKETS)], 10000)
-                  .alias("cuts")).scalar()
-    return F.size(F.filter(F.array_distinct(F.coalesce(cuts, F.array().cast("array<double>"))),
-                           lambda cut: cut < F.col(key)))
+def _range_bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Adds __bucket, which never decreases with `key`, cut at approximate
+    quantiles. Only the cuts (at most RANGE_BUCKETS numbers) reach the driver."""
+    df = cut_lineage(df)     # read for the cuts, the totals and the rows
+    wanted = [i / RANGE_BUCKETS for i in range(1, RANGE_BUCKETS)]
+    found = df.agg(F.percentile_approx(key, wanted, 10000)).head()[0] or []
+    splits = [float("-inf"), *sorted(set(c for c in found if c == c)), float("inf")]
+    return Bucketizer(splits=splits, inputCol=key, outputCol="__bucket", handleInvalid="keep").transform(df)
 
 
 def running_totals(df: DataFrame, key: str, values: Sequence[str], descending: bool = False,
                    prefix: str = "cum_") -> DataFrame:
     """Adds prefix+v = sum of v over rows up to and including this one by `key`.
     `key` must be unique: aggregate by it first."""
-    marked = df.withColumn("__bucket", _range_bucket(df, key))
+    marked = _range_bucketed(df, key)
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     totals = marked.groupBy("__bucket").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
     before = Window.orderBy(way("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +74,7 @@ def running_totals(df: DataFrame, key: str, values: Sequence[str], descending: b
 
 def previous_point(df: DataFrame, key: str, tie: str, values: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """Adds prefix+v = v of the row before by (key, tie); null on the first row."""
-    marked = df.withColumn("__bucket", _range_bucket(df, key))
+    marked = _range_bucketed(df, key)
     order = F.struct(*dict.fromkeys([key, tie, *values]))
     lasts = marked.groupBy("__bucket").agg(F.max(order).alias("__last"))
     carried = lasts.select("__bucket", F.lag("__last").over(Window.orderBy("__bucket")).alias("__carry"))

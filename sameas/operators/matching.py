@@ -78,9 +78,12 @@ def _estimator(kind: str, regularisation: float):
 def fit_matcher(features: DataFrame, label: str = "matching", kind: str = "logistic",
                 regularisation: float = 0.01, inputs: Sequence[str] = tuple(FEATURES)) -> PipelineModel:
     """Learn P(match) from labelled pair features; the fit is distributed."""
-    rows = features.withColumn("label", F.col(label).cast("double"))
+    rows = features.select(F.col(label).cast("double").alias("label"), *inputs).persist()     # many passes
     stages = [VectorAssembler(inputCols=list(inputs), outputCol="features"), _estimator(kind, regularisation)]
-    return Pipeline(stages=stages).fit(rows)
+    try:
+        return Pipeline(stages=stages).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score_pairs(model: PipelineModel, features: DataFrame) -> DataFrame:

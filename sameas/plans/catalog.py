@@ -154,10 +154,10 @@ def _(t):
     return t.table("documents").groupBy(results.dataset_name(name, known).alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("grid_pending", GRID + " SELECT DISTINCT data, model, order_cols, remove_col_names FROM grid WHERE (data, model) NOT IN (SELECT data, model FROM summary WHERE f1 >= 0.05)")
+@query("grid_pending", GRID + " SELECT DISTINCT data, model, order_cols, remove_col_names FROM grid WHERE (data, model) NOT IN (SELECT data, model FROM summary WHERE f1 >= 0.07)")
 def _(t):
     scored = option_scores(t)
-    done = M.grid_summary(scored, CONFIG).filter(F.round("f1", 6) >= 0.05)
+    done = M.grid_summary(scored, CONFIG).filter(F.round("f1", 6) >= 0.07)
     return results.pending(scored.select(*CONFIG).distinct(), done, ["data", "model"])
 
 
@@ -636,8 +636,9 @@ def _(t):
     return rounded(C.blocking_metrics(found, t.gold_vectors, runs.count_of(t.vectors), runs.count_of(t.vectors)))
 
 
-UNSUPERVISED = with_views("vectors", "gold_vectors") + ", " + knn_sql(K) + """, decided AS (SELECT a_id, b_id, score, CAST(score > 0.65e0 AS INTEGER) AS pred, coalesce(matching, 0) AS y
-FROM near_vector LEFT JOIN gold_vectors USING (a_id, b_id))"""
+UNSUPERVISED = with_views("vectors", "gold_vectors") + ", " + knn_sql(K) + """, scored AS (SELECT n.a_id, n.b_id, list_cosine_similarity(a.embedding, b.embedding) AS score
+FROM near_vector n JOIN vectors a ON a.id = n.a_id JOIN vectors b ON b.id = n.b_id),
+decided AS (SELECT a_id, b_id, score, CAST(score > 0.65e0 AS INTEGER) AS pred, coalesce(matching, 0) AS y FROM scored LEFT JOIN gold_vectors USING (a_id, b_id))"""
 
 
 def unsupervised(t: Tasks) -> DataFrame:
