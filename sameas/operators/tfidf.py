@@ -6,14 +6,18 @@ them. Weights are count * (ln((1+n)/(1+df)) + 1), rows have unit length.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sameas.functions.text import text_fingerprint, tokens
 from sameas.operators.copies import SCORE_DIGITS, nearest_by_value, top_k
 from sameas.session import cut_lineage
 
 PAIR_LIMIT = 20_000_000   # below this many possible pairs the plain token join is used
-SEED_WIDTH = 32           # first look: postings read per wanted neighbour
+SEED_WIDTH = 4            # first look: postings read per wanted neighbour
+TILE_ROWS = 1024          # a tile holds two blocks of this many texts and their product
+DENSE_PAIRS = 2_000       # tokens with more pairs than this in a tile are multiplied densely
 SLACK = 1e-7              # room for rounding in every pruning bound
 
 
@@ -79,7 +83,7 @@ def pair_similarities(pairs: DataFrame, wa: DataFrame, wb: DataFrame) -> DataFra
     return pairs.join(sums, ["a_id", "b_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def bounded_similarities(wa: DataFrame, wb: DataFrame, k: int) -> DataFrame:
+def bounded_similarities(wa: DataFrame, wb: DataFrame, k: int, space: int) -> DataFrame:
     """A superset of the k best pairs per a_id, exact scores, without joining on
     frequent tokens where they cannot matter.
 
@@ -88,18 +92,21 @@ def bounded_similarities(wa: DataFrame, wb: DataFrame, k: int) -> DataFrame:
     frequent end while the length of the dropped part stays below the floor: a
     partner sharing only dropped tokens scores at most that length, so it cannot
     enter the list. What survives is completed with the dropped tokens.
+
+    Where the texts are so alike that the kept tokens still read more postings
+    than there are pairs (`space`), the pairs are compared in tiles instead.
     """
     left, right = _sides(wa, wb)
     postings = right.groupBy("token").agg(F.count(F.lit(1)).alias("postings"))
     rare_first = Window.partitionBy("a_id").orderBy("postings", "token")
     up_to = rare_first.rowsBetween(Window.unboundedPreceding, 0)
     from_here = rare_first.rowsBetween(0, Window.unboundedFollowing)
-    listed = left.join(postings, "token").select(
-        "a_id", "token", "wa",
+    listed = cut_lineage(left.join(postings, "token").select(
+        "a_id", "token", "wa", "postings",
         F.row_number().over(rare_first).alias("place"),
         F.sum("postings").over(up_to).alias("reads"),
         F.sqrt(F.sum(F.col("wa") * F.col("wa")).over(from_here)).alias("tail"),
-    )
+    ))
 
     seeds = listed.filter((F.col("place") == 1) | (F.col("reads") <= SEED_WIDTH * k)).select("a_id", "token")
     first_pairs = seeds.join(right.select("b_id", "token"), "token").select("a_id", "b_id").distinct()
@@ -107,13 +114,15 @@ def bounded_similarities(wa: DataFrame, wb: DataFrame, k: int) -> DataFrame:
         first_pairs.join(left, "a_id").join(right, ["b_id", "token"])
         .groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
     )
-    floor = top_k(first_scores, k).filter(F.col("rank") == k).select("a_id", F.col("score").alias("floor"))
+    floor = cut_lineage(top_k(first_scores, k).filter(F.col("rank") == k).select("a_id", F.col("score").alias("floor")))
 
     judged = listed.join(floor, "a_id", "left").withColumn(
         "kept", F.col("floor").isNull() | (F.col("tail") >= F.col("floor") - SLACK))
     kept, dropped = judged.filter("kept"), judged.filter(~F.col("kept"))
+    if (kept.agg(F.sum("postings")).head()[0] or 0) > space:
+        return tile_similarities(wa, wb, k)
     rest = dropped.groupBy("a_id").agg(F.max("tail").alias("rest"))
-    partial = (
+    partial = cut_lineage(
         kept.select("a_id", "token", "wa").join(right, "token")
         .groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("head"))
         .join(floor, "a_id", "left").join(rest, "a_id", "left")
@@ -129,6 +138,96 @@ def bounded_similarities(wa: DataFrame, wb: DataFrame, k: int) -> DataFrame:
         "a_id", "b_id", (F.col("head") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
+def tile_similarities(wa: DataFrame, wb: DataFrame, k: int) -> DataFrame:
+    """The k best pairs per a_id and tile of TILE_ROWS x TILE_ROWS rows.
+
+    Rows are spread evenly over blocks, so a token that sits in every text makes
+    no block larger; a tile adds up all its pairs in one matrix and returns k
+    per A row, never the pairs.
+    """
+    codes = cut_lineage(wb.select("token").distinct().select("token", F.monotonically_increasing_id().alias("code")))
+    rows_a, rows_b = _coded_rows(wa, codes), _coded_rows(wb, codes)
+    blocks_a, blocks_b = (max(1, -(-df.count() // TILE_ROWS)) for df in (rows_a, rows_b))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows_a.select(F.col("id").alias("a_id"), "codes", "weights", block(blocks_a).alias("ba"), every(blocks_b).alias("bb"))
+    right = rows_b.select(F.col("id").alias("b_id"), "codes", "weights", block(blocks_b).alias("bb"), every(blocks_a).alias("ba"))
+    schema = T.StructType([T.StructField("a_id", wa.schema["id"].dataType), T.StructField("b_id", wb.schema["id"].dataType),
+                           T.StructField("score", T.DoubleType())])
+
+    def best_of_tile(block_a: pd.DataFrame, block_b: pd.DataFrame) -> pd.DataFrame:
+        if len(block_a) == 0 or len(block_b) == 0:
+            return pd.DataFrame({"a_id": [], "b_id": [], "score": []})
+        block_b = block_b.sort_values("b_id", ignore_index=True)
+        sims = np.round(_sparse_product(block_a, block_b), SCORE_DIGITS)
+        take = min(k, sims.shape[1])
+        best = np.argsort(-sims, axis=1, kind="stable")[:, :take]      # ties: smaller b_id
+        out = pd.DataFrame({
+            "a_id": np.repeat(block_a["a_id"].to_numpy(), take),
+            "b_id": block_b["b_id"].to_numpy()[best.ravel()],
+            "score": np.take_along_axis(sims, best, axis=1).ravel()})
+        return out[out["score"] > 0]
+
+    return left.groupBy("ba", "bb").cogroup(right.groupBy("ba", "bb")).applyInPandas(best_of_tile, schema)
+
+
+def _coded_rows(weights: DataFrame, codes: DataFrame) -> DataFrame:
+    """(id, codes, weights): one row per text, as long as the text's own vocabulary."""
+    entries = weights.join(codes, "token").groupBy("id").agg(F.collect_list(F.struct("code", "w")).alias("e"))
+    return cut_lineage(entries.select("id", F.col("e.code").alias("codes"), F.col("e.w").alias("weights")))
+
+
+def _sparse_product(block_a: pd.DataFrame, block_b: pd.DataFrame) -> np.ndarray:
+    """Dot products of all rows of two blocks. Tokens frequent in the tile go
+    through a dense matrix product, the others pair by pair."""
+    def flat(block: pd.DataFrame):
+        sizes = block["codes"].map(len).to_numpy()
+        return (np.concatenate(block["codes"].to_numpy()), np.repeat(np.arange(len(block)), sizes),
+                np.concatenate(block["weights"].to_numpy()))
+
+    code_a, row_a, w_a = flat(block_a)
+    code_b, row_b, w_b = flat(block_b)
+    shared = np.intersect1d(code_a, code_b)
+    n_a, n_b = len(block_a), len(block_b)
+    sims = np.zeros(n_a * n_b)
+    if len(shared) == 0:
+        return sims.reshape(n_a, n_b)
+
+    def by_token(code, row, w):
+        place = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
+        hit = shared[place] == code
+        order = np.argsort(place[hit], kind="stable")
+        token = place[hit][order]
+        return token, row[hit][order], w[hit][order], np.bincount(token, minlength=len(shared))
+
+    tok_a, row_a, w_a, n_tok_a = by_token(code_a, row_a, w_a)
+    tok_b, row_b, w_b, n_tok_b = by_token(code_b, row_b, w_b)
+    dense = n_tok_a * n_tok_b > DENSE_PAIRS
+    heavy = np.flatnonzero(dense)
+    slot = np.cumsum(dense) - 1
+    for first in range(0, len(heavy), TILE_ROWS):
+        width = min(TILE_ROWS, len(heavy) - first)
+
+        def matrix(tok, row, w, n):
+            mine = dense[tok] & (slot[tok] >= first) & (slot[tok] < first + width)
+            m = np.zeros((n, width))
+            m[row[mine], slot[tok[mine]] - first] = w[mine]
+            return m
+
+        sims += (matrix(tok_a, row_a, w_a, n_a) @ matrix(tok_b, row_b, w_b, n_b).T).ravel()
+
+    start_b = np.cumsum(n_tok_b) - n_tok_b
+    light = ~dense[tok_a]
+    tok, row, w = tok_a[light], row_a[light], w_a[light]
+    for part in np.array_split(np.arange(len(tok)), max(1, int(n_tok_b[tok].sum()) // 5_000_000)):
+        reps = n_tok_b[tok[part]]
+        entry = np.repeat(np.arange(len(part)), reps)
+        within = np.arange(len(entry)) - np.repeat(np.cumsum(reps) - reps, reps)
+        at_b = start_b[tok[part]][entry] + within
+        sims += np.bincount(row[part][entry] * n_b + row_b[at_b], w[part][entry] * w_b[at_b], minlength=n_a * n_b)
+    return sims.reshape(n_a, n_b)
+
+
 def knn_tfidf(a: DataFrame, b: DataFrame, k: int = 20, metric: str = "cosine", same_table: bool = False,
               pad_to_k: bool = False, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """(a_id, b_id, source, rank, score): for each A row the k nearest B rows.
@@ -137,12 +236,13 @@ def knn_tfidf(a: DataFrame, b: DataFrame, k: int = 20, metric: str = "cosine", s
     Euclidean distance of the unit vectors (same order). Only rows sharing a
     token with a_id are neighbours; `pad_to_k` fills up with the smallest ids.
     """
-    if a.count() * b.count() <= pair_limit:
+    space = a.count() * b.count()
+    if space <= pair_limit:
         wa, wb = tfidf_vectors(a, b, same_table=same_table)
         scored = similarities(wa, wb).withColumn("score", F.round("score", SCORE_DIGITS))
         near = top_k(scored.filter(F.col("a_id") != F.col("b_id")) if same_table else scored, k)
     else:
-        near = _knn_large(a, b, k, same_table)
+        near = _knn_large(a, b, k, same_table, space)
     if pad_to_k:
         near = _pad(a, b, near, k, same_table)
     if metric == "l2":
@@ -152,7 +252,7 @@ def knn_tfidf(a: DataFrame, b: DataFrame, k: int = 20, metric: str = "cosine", s
     return near.select("a_id", "b_id", F.lit("tfidf").alias("source"), "rank", "score")
 
 
-def _knn_large(a: DataFrame, b: DataFrame, k: int, same_table: bool) -> DataFrame:
+def _knn_large(a: DataFrame, b: DataFrame, k: int, same_table: bool, space: int) -> DataFrame:
     """Copies collapsed, frequent tokens joined only where they can matter."""
     side_a = a.select("id", "text").withColumn("fp", text_fingerprint(F.col("text")))
     side_b = side_a if same_table else b.select("id", "text").withColumn("fp", text_fingerprint(F.col("text")))
@@ -160,7 +260,7 @@ def _knn_large(a: DataFrame, b: DataFrame, k: int, same_table: bool) -> DataFram
     def search(one_a: DataFrame, one_b: DataFrame, depth: int) -> DataFrame:
         wa, wb = tfidf_vectors(one_a, one_b, corpus=side_a, same_table=same_table)
         wa = cut_lineage(wa)    # read by every step below; survives lost executors
-        return bounded_similarities(wa, wa if same_table else cut_lineage(wb), depth)
+        return bounded_similarities(wa, wa if same_table else cut_lineage(wb), depth, space)
 
     return nearest_by_value(side_a, side_b, k, search, same_table)
 
