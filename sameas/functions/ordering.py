@@ -52,7 +52,7 @@ def _range_bucketed(df: DataFrame, key: str) -> DataFrame:
     df = cut_lineage(df)     # read for the cuts, the totals and the rows
     wanted = [i / RANGE_BUCKETS for i in range(1, RANGE_BUCKETS)]
     found = df.agg(F.percentile_approx(key, wanted, 10000)).head()[0] or []
-    splits = [float("-inf"), *sorted(set(c for c in found if c == c)), float("inf")]
+    splits = [float("-inf"), *sorted(set(c for c in found if c == c) or {0.0}), float("inf")]
     return Bucketizer(splits=splits, inputCol=key, outputCol="__bucket", handleInvalid="keep").transform(df)
 
 

@@ -57,18 +57,17 @@ def _listing(spark: SparkSession, folder: str) -> list[str]:
 def resolve_layout(spark: SparkSession, folder: str) -> Layout:
     """Which files of a dataset folder are the tables and the labelled pairs.
 
-    `custom_dataset` holds 1_custom.csv and 2_custom.csv; a folder with four CSV
-    files has one table, linked with itself; a folder 'x-y' has 1_x.csv and 2_y.csv.
+    `custom_dataset` holds 1_custom.csv and 2_custom.csv; a folder with one CSV
+    beside the pair files links it with itself; a folder 'x-y' has 1_x.csv and 2_y.csv.
     """
     folder = folder.rstrip("/")
     name, files = folder.rsplit("/", 1)[-1], _listing(spark, folder)
-    tables = [f for f in files if f.endswith(".csv")]
+    tables = [f for f in files if f.endswith(".csv") and not f.startswith("gs")]
     gold = {split: f"{folder}/{f}" for split, f in GOLD_FILES.items() if f in files}
     if name == CUSTOM_FOLDER:
         return Layout(f"{folder}/{CUSTOM_A}", f"{folder}/{CUSTOM_B}", gold)
-    if len(tables) == 4:
-        only = [f for f in tables if not f.startswith("gs")][0]
-        return Layout(f"{folder}/{only}", f"{folder}/{only}", gold)
+    if len(tables) == 1:
+        return Layout(f"{folder}/{tables[0]}", f"{folder}/{tables[0]}", gold)
     first, second = name.split("-")[:2]
     return Layout(f"{folder}/1_{first}.csv", f"{folder}/2_{second}.csv", gold)
 

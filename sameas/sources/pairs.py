@@ -83,7 +83,7 @@ def read_candidate_lines(spark: SparkSession, path: str) -> DataFrame:
     fields = F.split("value", ",")
     return spark.read.text(path).filter(F.trim("value") != "").select(
         fields[0].cast("bigint").alias("a_id"),
-        F.explode(F.slice(fields, F.lit(2), F.size(fields))).cast("bigint").alias("b_id"))
+        F.explode(F.slice(fields, F.lit(2), F.size(fields)).cast("array<bigint>")).alias("b_id"))
 
 
 def read_candidate_positions(spark: SparkSession, path: str) -> DataFrame:
