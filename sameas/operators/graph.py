@@ -15,21 +15,16 @@ PAIR = ["a_id", "b_id"]
 MAX_ROUNDS = 100
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. Large: hang every larger neighbour under the smallest one.
-    Small: hang the smaller neighbours and the node itself under the smallest."""
-    if large:
-        around = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    around = around.filter(F.col("u") != F.col("v")).distinct()
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = around.join(least, "u")
-    if large:
-        moved = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v")))
+def _star_round(edges: DataFrame) -> DataFrame:
+    """A large and a small star step on edges (u, v) with u > v, each pair once.
+    Large: every larger neighbour of a node moves under its smallest neighbour.
+    Small: the smaller neighbours of a node and itself move under the smallest."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    raised = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    lowest = raised.groupBy("u").agg(F.min("v").alias("m"))
+    moved = raised.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        lowest.select("u", F.col("m").alias("v")))
     return moved.filter(F.col("u") != F.col("v")).distinct()
 
 
@@ -37,16 +32,18 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     """(id, cluster_id) with cluster_id the smallest id of the component, by
     alternating star steps (Kiveris et al., SoCC 2014). `edges` is (src, dst);
     `nodes` (id) adds the ones without edges."""
-    links = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(
-        F.col("src").alias("u"), F.col("dst").alias("v"))
-    everyone = links.select(F.explode(F.array("u", "v")).alias("id"))
+    links = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    oriented = links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+    start = cut_lineage(oriented)       # loops kept: their nodes are part of the answer
+    everyone = start.select(F.explode(F.array("u", "v")).alias("id"))
     if nodes is not None:
         everyone = everyone.unionByName(nodes.select("id"))
-    now = cut_lineage(links.filter(F.col("u") != F.col("v")).distinct())
+    now, size = start.filter(F.col("u") != F.col("v")), -1
     for _ in range(MAX_ROUNDS):
-        after = cut_lineage(_stars(_stars(now, large=True), large=False))
-        # both are sets, so equal sizes and no new row mean equal sets
-        settled = after.count() == now.count() and after.join(now, ["u", "v"], "left_anti").isEmpty()
+        after = cut_lineage(_star_round(now))
+        before, size = size, after.count()
+        # both are sets: the same size and no new row mean the same set
+        settled = size == before and after.join(now, ["u", "v"], "left_anti").isEmpty()
         now = after
         if settled:
             root = now.select(F.col("u").alias("id"), F.col("v").alias("root"))

@@ -40,17 +40,21 @@ def inverse_frequencies(terms: DataFrame, corpus: DataFrame) -> DataFrame:
         "token", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def unit_weights(terms: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, token, w); tokens outside the vocabulary are dropped first."""
-    raw = terms.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
+def raw_weights(terms: DataFrame, idf: DataFrame) -> DataFrame:
+    """(id, token, w) before scaling; tokens outside the vocabulary are dropped."""
+    return terms.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def unit_weights(raw: DataFrame) -> DataFrame:
+    """Scaled to length 1 per id."""
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return raw.withColumn("w", F.col("w") / norm)
 
 
 def tfidf_vectors(a: DataFrame, b: DataFrame, corpus: DataFrame | None = None,
                   same_table: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Weights of both sides; `a`, `b` are (id, text[, fp]). `corpus` is all of A
-    when `a` holds one row per distinct text."""
+    """Weights of A (unit length) and of B (not scaled); `a`, `b` are
+    (id, text[, fp]). `corpus` is all of A when `a` holds one row per distinct text."""
     terms_a = term_counts(a)
     if corpus is None:
         counted, corpus = terms_a.withColumn("copies", F.lit(1)), a
@@ -58,8 +62,8 @@ def tfidf_vectors(a: DataFrame, b: DataFrame, corpus: DataFrame | None = None,
         copies = a.select("id", "fp").join(corpus.groupBy("fp").agg(F.count(F.lit(1)).alias("copies")), "fp")
         counted = terms_a.join(copies.select("id", "copies"), "id")
     idf = inverse_frequencies(counted, corpus)
-    weights_a = unit_weights(terms_a, idf)
-    return weights_a, weights_a if same_table else unit_weights(term_counts(b), idf)
+    raw_a = raw_weights(terms_a, idf)
+    return unit_weights(raw_a), raw_a if same_table else raw_weights(term_counts(b), idf)
 
 
 def _sides(wa: DataFrame, wb: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,20 +71,14 @@ def _sides(wa: DataFrame, wb: DataFrame) -> tuple[DataFrame, DataFrame]:
             wb.select(F.col("id").alias("b_id"), "token", F.col("w").alias("wb")))
 
 
-def similarities(wa: DataFrame, wb: DataFrame) -> DataFrame:
-    """Cosine of every pair that shares a token: join on token, add up."""
-    left, right = _sides(wa, wb)
-    return left.join(right, "token").groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
-
-
-def pair_similarities(pairs: DataFrame, wa: DataFrame, wb: DataFrame) -> DataFrame:
-    """Cosine of the given pairs only (0 where no token is shared)."""
-    left, right = _sides(wa, wb)
-    sums = (
-        pairs.select("a_id", "b_id").join(left, "a_id").join(right, ["b_id", "token"])
-        .groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
-    )
-    return pairs.join(sums, ["a_id", "b_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+def similarities(wa: DataFrame, raw_b: DataFrame) -> DataFrame:
+    """Cosine of every pair that shares a token: join on token, add up. B's rows
+    stay where the join with the vocabulary put them, by token; their lengths are
+    divided out per pair."""
+    left, right = _sides(wa, raw_b)
+    lengths = raw_b.groupBy(F.col("id").alias("b_id")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    sums = left.join(right, "token").groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    return sums.join(lengths, "b_id").select("a_id", "b_id", (F.col("dot") / F.col("length")).alias("score"))
 
 
 def bounded_similarities(wa: DataFrame, wb: DataFrame, k: int, space: int) -> DataFrame:
@@ -238,8 +236,7 @@ def knn_tfidf(a: DataFrame, b: DataFrame, k: int = 20, metric: str = "cosine", s
     """
     space = a.count() * b.count()
     if space <= pair_limit:
-        wa, wb = tfidf_vectors(a, b, same_table=same_table)
-        scored = similarities(wa, wb).withColumn("score", F.round("score", SCORE_DIGITS))
+        scored = similarities(*tfidf_vectors(a, b, same_table=same_table)).withColumn("score", F.round("score", SCORE_DIGITS))
         near = top_k(scored.filter(F.col("a_id") != F.col("b_id")) if same_table else scored, k)
     else:
         near = _knn_large(a, b, k, same_table, space)
@@ -258,9 +255,9 @@ def _knn_large(a: DataFrame, b: DataFrame, k: int, same_table: bool, space: int)
     side_b = side_a if same_table else b.select("id", "text").withColumn("fp", text_fingerprint(F.col("text")))
 
     def search(one_a: DataFrame, one_b: DataFrame, depth: int) -> DataFrame:
-        wa, wb = tfidf_vectors(one_a, one_b, corpus=side_a, same_table=same_table)
+        wa, raw_b = tfidf_vectors(one_a, one_b, corpus=side_a, same_table=same_table)
         wa = cut_lineage(wa)    # read by every step below; survives lost executors
-        return bounded_similarities(wa, wa if same_table else cut_lineage(wb), depth, space)
+        return bounded_similarities(wa, wa if same_table else cut_lineage(unit_weights(raw_b)), depth, space)
 
     return nearest_by_value(side_a, side_b, k, search, same_table)
 

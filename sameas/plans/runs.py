@@ -15,6 +15,7 @@ from sameas.operators.metrics import classification_metrics, roc_auc
 from sameas.operators.sampling import split_candidates
 from sameas.operators.serialize import drop_columns, order_columns, serialize
 from sameas.operators.tfidf import knn_tfidf
+from sameas.session import cut_lineage
 
 PAIR = ["a_id", "b_id"]
 
@@ -52,7 +53,7 @@ def blocking_run(text_a: DataFrame, text_b: DataFrame, gold: DataFrame, k: int =
 def supervised_run(labelled: DataFrame, text_a: DataFrame, text_b: DataFrame, threshold: float = 0.65, seed=42) -> DataFrame:
     """Learn on 80 % of the labelled pairs, decide the rest: pairs with score, pred."""
     split = split_candidates(labelled.select(*PAIR, "matching"), seed=seed)
-    features = pair_features(split, text_a, text_b)
+    features = cut_lineage(pair_features(split, text_a, text_b))     # read to learn and to score
     model = fit_matcher(features.filter(F.col("split") == "train"))
     scored = score_pairs(model, features.filter(F.col("split") == "test"))
     return scored.select(*PAIR, "matching", "score", decide(F.col("score"), threshold).alias("pred"))
