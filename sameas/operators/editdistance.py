@@ -27,12 +27,14 @@ def _segment(length: Column, place: Column, limit: int) -> tuple[Column, Column]
     return start, base + (place >= first_long).cast("int")
 
 
-def _segment_pairs(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
-    """(a_id, b_id) that may lie within `limit` edits; b has limit + 1 characters or more."""
+def _by_segment(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
+    """(a_id, a_text, b_id, b_text) that may lie within `limit` edits, some more than
+    once; b has limit + 1 characters or more."""
     places = F.explode(F.sequence(F.lit(0), F.lit(limit))).alias("place")
-    cut_b = b.filter(F.length("text") > limit).select(F.col("id").alias("b_id"), "text", F.length("text").alias("len"), places)
+    cut_b = b.filter(F.length("text") > limit).select(
+        F.col("id").alias("b_id"), F.col("text").alias("b_text"), F.length("text").alias("len"), places)
     start, size = _segment(F.col("len"), F.col("place"), limit)
-    right = cut_b.select("b_id", "len", "place", F.substring(F.col("text"), start + 1, size).alias("piece"))
+    right = cut_b.withColumn("piece", F.substring(F.col("b_text"), start + 1, size))
 
     own = F.length("text")
     near = a.select(F.col("id").alias("a_id"), "text", F.explode(
@@ -45,46 +47,50 @@ def _segment_pairs(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
     left = (
         spans.filter(F.col("low") <= F.col("high"))
         .select("a_id", "len", "place", "text", "size", F.explode(F.sequence("low", "high")).alias("at"))
-        .select("a_id", "len", "place", F.substring(F.col("text"), F.col("at") + 1, F.col("size")).alias("piece"))
+        .select("a_id", F.col("text").alias("a_text"), "len", "place",
+                F.substring(F.col("text"), F.col("at") + 1, F.col("size")).alias("piece"))
     )
-    return left.join(right, ["len", "place", "piece"]).select("a_id", "b_id").distinct()
+    return left.join(right, ["len", "place", "piece"]).select("a_id", "a_text", "b_id", "b_text")
 
 
-def _length_pairs(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
+def _by_length(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
     own = F.length("text")
-    left = a.select(F.col("id").alias("a_id"),
+    left = a.select(F.col("id").alias("a_id"), F.col("text").alias("a_text"),
                     F.explode(F.sequence(F.greatest(own - limit, F.lit(0)), own + limit)).alias("len"))
-    return left.join(b.select(F.col("id").alias("b_id"), F.length("text").alias("len")), "len").select("a_id", "b_id")
+    right = b.select(F.col("id").alias("b_id"), F.col("text").alias("b_text"), F.length("text").alias("len"))
+    return left.join(right, "len").select("a_id", "a_text", "b_id", "b_text")
 
 
 def _within(a: DataFrame, b: DataFrame, limit: int, same_table: bool) -> DataFrame:
-    """(a_id, b_id, distance) of the nearest b at most `limit` edits away."""
+    """(a_id, b_id, distance) of the nearest b at most `limit` edits away.
+
+    Texts travel with the join keys, so a pair is measured where it is met and
+    only the best per a_id and task is shuffled, never the pairs.
+    """
     if limit <= SEGMENT_ROUNDS:
         short_a = a.filter(F.length("text") <= 2 * limit)
-        pairs = _segment_pairs(a, b, limit).unionByName(
-            _length_pairs(short_a, b.filter(F.length("text") <= limit), limit))
+        pairs = _by_segment(a, b, limit).unionByName(_by_length(short_a, b.filter(F.length("text") <= limit), limit))
     else:
-        pairs = _length_pairs(a, b, limit)
+        pairs = _by_length(a, b, limit)
     if same_table:
         pairs = pairs.filter(F.col("a_id") != F.col("b_id"))
-    measured = (
-        pairs.join(a.select(F.col("id").alias("a_id"), F.col("text").alias("a_text")), "a_id")
-        .join(b.select(F.col("id").alias("b_id"), F.col("text").alias("b_text")), "b_id")
-        .select("a_id", "b_id", F.levenshtein("a_text", "b_text", limit).alias("distance"))
-        .filter(F.col("distance") >= 0)
-    )
-    best = measured.groupBy("a_id").agg(F.min(F.struct("distance", "b_id")).alias("best"))
+    measured = pairs.select("a_id", "b_id", F.levenshtein("a_text", "b_text", limit).alias("distance"))
+    best = measured.filter(F.col("distance") >= 0).groupBy("a_id").agg(F.min(F.struct("distance", "b_id")).alias("best"))
     return best.select("a_id", "best.b_id", "best.distance")
 
 
 def _search(a: DataFrame, b: DataFrame, same_table: bool) -> DataFrame:
     longest = max(a.agg(F.max(F.length("text"))).head()[0] or 0, b.agg(F.max(F.length("text"))).head()[0] or 0)
-    waiting, found, limit = cut_lineage(a.select("id", "text")), None, 1
-    others = waiting if same_table else cut_lineage(b.select("id", "text"))
+    # few bytes, much measuring: keep every core busy, which sizes alone would not
+    spark = a.sparkSession
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = lambda df: cut_lineage(df.select("id", "text").repartition(width, "id"))
+    waiting, found, limit = spread(a), None, 1
+    others = waiting if same_table else spread(b)
     while True:
         hits = cut_lineage(_within(waiting, others, limit, same_table))
         found = hits if found is None else found.unionByName(hits)
-        waiting = cut_lineage(waiting.join(hits.select(F.col("a_id").alias("id")), "id", "left_anti"))
+        waiting = spread(waiting.join(hits.select(F.col("a_id").alias("id")), "id", "left_anti"))
         if limit >= longest or waiting.isEmpty():
             return found
         limit *= 2

@@ -18,7 +18,8 @@ from sameas.functions.ordering import hash_key
 from sameas.operators.copies import SCORE_DIGITS, nearest_by_value, top_k
 
 MAX_PIVOTS = 256     # pivots are sent to every task: at most 256 vectors
-TILE_ROWS = 2048     # a tile holds two blocks of this many vectors and their product
+TILE_ROWS = 8192     # vectors per block; a larger tile means fewer copies of each vector
+SLICE_ROWS = 1024    # rows of A multiplied at a time, so that a product stays small
 PAIR_LIMIT = 20_000_000   # up to here all tiles are compared
 SLACK = 1e-6
 
@@ -118,20 +119,23 @@ def _multiply(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> Dat
         if len(block_a) == 0 or len(block_b) == 0:
             return pd.DataFrame({"a_id": [], "b_id": [], "score": []})
         block_b = block_b.sort_values("b_id", ignore_index=True)
-        sims = np.round(_unit(_matrix(block_a["v"])) @ _unit(_matrix(block_b["v"])).T, SCORE_DIGITS)
-        take = min(k, sims.shape[1])
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :take]      # ties: smaller b_id
-        return pd.DataFrame({
-            "a_id": np.repeat(block_a["a_id"].to_numpy(), take),
-            "b_id": block_b["b_id"].to_numpy()[best.ravel()],
-            "score": np.take_along_axis(sims, best, axis=1).ravel()})
+        ids_a, ids_b, unit_b = block_a["a_id"].to_numpy(), block_b["b_id"].to_numpy(), _unit(_matrix(block_b["v"]))
+        take, parts = min(k, len(ids_b)), []
+        for first in range(0, len(ids_a), SLICE_ROWS):
+            rows = slice(first, first + SLICE_ROWS)
+            sims = np.round(_unit(_matrix(block_a["v"].iloc[rows])) @ unit_b.T, SCORE_DIGITS)
+            best = np.argsort(-sims, axis=1, kind="stable")[:, :take]      # ties: smaller b_id
+            parts.append(pd.DataFrame({
+                "a_id": np.repeat(ids_a[rows], take), "b_id": ids_b[best.ravel()],
+                "score": np.take_along_axis(sims, best, axis=1).ravel()}))
+        return pd.concat(parts, ignore_index=True)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, schema)
 
 
 def _few_pairs(a: DataFrame, b: DataFrame, n_a: int, n_b: int, k: int, same_table: bool) -> DataFrame:
     """All tiles of two small sides, no pivots."""
-    blocks_a, blocks_b = max(1, -(-n_a // TILE_ROWS)), max(1, -(-n_b // TILE_ROWS))
+    blocks_a, blocks_b = max(1, -(-n_a // SLICE_ROWS)), max(1, -(-n_b // TILE_ROWS))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     vector = F.col("embedding").cast("array<double>").alias("v")
@@ -153,6 +157,6 @@ def knn_embedding(a: DataFrame, b: DataFrame, k: int = 20, same_table: bool = Fa
             "fp", F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256))
         side_a = prepare(a)
         side_b = side_a if same_table else prepare(b)
-        pivots = n_pivots or int(min(MAX_PIVOTS, max(1, n_b // (4 * TILE_ROWS))))
+        pivots = n_pivots or int(min(MAX_PIVOTS, max(1, n_b // TILE_ROWS)))
         near = nearest_by_value(side_a, side_b, k, lambda x, y, depth: _tile_search(x, y, depth, pivots), same_table)
     return near.select("a_id", "b_id", F.lit("embedding").alias("source"), "rank", "score")

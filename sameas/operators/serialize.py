@@ -111,19 +111,21 @@ def column_preview(df: DataFrame, id_col: str = "id") -> DataFrame:
     return firsts.unpivot([], names, "name", "example")
 
 
-def long_form(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, feature, value): every cell as text."""
-    names = _features(df, id_col)
-    return df.select(id_col, *[_cell(df, n).alias(n) for n in names]).unpivot([id_col], names, "feature", "value")
-
-
 def entity_diff(pairs: DataFrame, a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFrame:
     """Cells of both sides of each pair: (a_id, b_id, feature, part, a_value, b_value)
-    with part 'common', 'only a' or 'only b'."""
-    left = pairs.select("a_id", "b_id").join(long_form(a, id_col).withColumnRenamed(id_col, "a_id"), "a_id").select(
-        "a_id", "b_id", "feature", F.col("value").alias("a_value"), F.lit(True).alias("in_a"))
-    right = pairs.select("a_id", "b_id").join(long_form(b, id_col).withColumnRenamed(id_col, "b_id"), "b_id").select(
-        "a_id", "b_id", "feature", F.col("value").alias("b_value"), F.lit(True).alias("in_b"))
-    both = left.join(right, ["a_id", "b_id", "feature"], "full_outer")
-    part = F.when(F.col("in_a") & F.col("in_b"), "common").when(F.col("in_a"), "only a").otherwise("only b")
-    return both.select("a_id", "b_id", "feature", part.alias("part"), "a_value", "b_value")
+    with part 'common', 'only a' or 'only b'. Which features are common is known
+    from the schemas, so each pair is met once per side."""
+    names_a, names_b = _features(a, id_col), _features(b, id_col)
+    side = lambda df, names, tag: df.select(
+        F.col(id_col).alias(f"{tag}_id"), *[_cell(df, n).alias(f"{tag}_{i}") for i, n in enumerate(names)])
+    both = pairs.select("a_id", "b_id").join(side(a, names_a, "a"), "a_id").join(side(b, names_b, "b"), "b_id")
+    absent = F.lit(None).cast("string")
+    rows = []
+    for name in dict.fromkeys(names_a + names_b):
+        in_a, in_b = name in names_a, name in names_b
+        part = "common" if in_a and in_b else "only a" if in_a else "only b"
+        rows.append(F.struct(
+            F.lit(name).alias("feature"), F.lit(part).alias("part"),
+            (F.col(f"a_{names_a.index(name)}") if in_a else absent).alias("a_value"),
+            (F.col(f"b_{names_b.index(name)}") if in_b else absent).alias("b_value")))
+    return both.select("a_id", "b_id", F.inline(F.array(*rows)))

@@ -16,6 +16,7 @@ from sameas.session import cut_lineage
 
 PAIR_LIMIT = 20_000_000   # below this many possible pairs the plain token join is used
 SEED_WIDTH = 4            # first look: postings read per wanted neighbour
+JOIN_SHARE = 0.05         # a joined row costs about as much as 20 cells of a tile
 TILE_ROWS = 1024          # a tile holds two blocks of this many texts and their product
 DENSE_PAIRS = 2_000       # tokens with more pairs than this in a tile are multiplied densely
 SLACK = 1e-7              # room for rounding in every pruning bound
@@ -91,8 +92,9 @@ def bounded_similarities(wa: DataFrame, wb: DataFrame, k: int, space: int) -> Da
     partner sharing only dropped tokens scores at most that length, so it cannot
     enter the list. What survives is completed with the dropped tokens.
 
-    Where the texts are so alike that the kept tokens still read more postings
-    than there are pairs (`space`), the pairs are compared in tiles instead.
+    A row without rare tokens has no floor and keeps all its tokens. Where the
+    kept tokens together read more postings than a small share of all possible
+    pairs (`space`), the pairs are compared in tiles instead.
     """
     left, right = _sides(wa, wb)
     postings = right.groupBy("token").agg(F.count(F.lit(1)).alias("postings"))
@@ -101,12 +103,11 @@ def bounded_similarities(wa: DataFrame, wb: DataFrame, k: int, space: int) -> Da
     from_here = rare_first.rowsBetween(0, Window.unboundedFollowing)
     listed = cut_lineage(left.join(postings, "token").select(
         "a_id", "token", "wa", "postings",
-        F.row_number().over(rare_first).alias("place"),
         F.sum("postings").over(up_to).alias("reads"),
         F.sqrt(F.sum(F.col("wa") * F.col("wa")).over(from_here)).alias("tail"),
     ))
 
-    seeds = listed.filter((F.col("place") == 1) | (F.col("reads") <= SEED_WIDTH * k)).select("a_id", "token")
+    seeds = listed.filter(F.col("reads") <= SEED_WIDTH * k).select("a_id", "token")
     first_pairs = seeds.join(right.select("b_id", "token"), "token").select("a_id", "b_id").distinct()
     first_scores = (
         first_pairs.join(left, "a_id").join(right, ["b_id", "token"])
@@ -117,7 +118,7 @@ def bounded_similarities(wa: DataFrame, wb: DataFrame, k: int, space: int) -> Da
     judged = listed.join(floor, "a_id", "left").withColumn(
         "kept", F.col("floor").isNull() | (F.col("tail") >= F.col("floor") - SLACK))
     kept, dropped = judged.filter("kept"), judged.filter(~F.col("kept"))
-    if (kept.agg(F.sum("postings")).head()[0] or 0) > space:
+    if (kept.agg(F.sum("postings")).head()[0] or 0) > JOIN_SHARE * space:
         return tile_similarities(wa, wb, k)
     rest = dropped.groupBy("a_id").agg(F.max("tail").alias("rest"))
     partial = cut_lineage(

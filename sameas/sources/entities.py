@@ -15,21 +15,23 @@ CUSTOM_A, CUSTOM_B = "1_custom.csv", "2_custom.csv"
 REPLACEMENT = "�"      # what Spark puts where bytes are not valid UTF-8
 
 
-def _csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    return (spark.read.option("header", True).option("encoding", encoding).option("multiLine", True)
+def _csv(spark: SparkSession, path: str, encoding: str, line_breaks: bool) -> DataFrame:
+    return (spark.read.option("header", True).option("encoding", encoding).option("multiLine", line_breaks)
             .option("quote", '"').option("escape", '"').csv(path))
 
 
-def read_entities(spark: SparkSession, path: str, id_col: str = ID_COLUMN, as_id: str = "id") -> DataFrame:
+def read_entities(spark: SparkSession, path: str, id_col: str = ID_COLUMN, as_id: str = "id",
+                  line_breaks: bool = True) -> DataFrame:
     """CSV (all columns text, as spelled) or parquet, by the ending of `path`.
-    A CSV that is not UTF-8 is read again as Latin-1."""
+    A CSV that is not UTF-8 is read again as Latin-1. Quoted line breaks make a
+    file one task; without them, `line_breaks=False` lets Spark split large files."""
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
-        df = _csv(spark, path, "UTF-8")
+        df = _csv(spark, path, "UTF-8", line_breaks)
         damaged = F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns]).contains(REPLACEMENT)
         if not df.filter(damaged).isEmpty():
-            df = _csv(spark, path, "ISO-8859-1")
+            df = _csv(spark, path, "ISO-8859-1", line_breaks)
     return df.withColumnRenamed(id_col, as_id)
 
 
