@@ -628,6 +628,27 @@ def _(t):
 def _(t): return rounded(runs.blocking_run(t.passages, t.documents, t.gold_passages, k=15))
 
 
+def grid_variant(removed: bool) -> str:
+    """Sweep over k = 5, 8, 11 for one serialization; the column order does not move TF-IDF."""
+    tag = (lambda c: "") if removed else (lambda c: f"[COL] {c} [VAL] ")
+    side_a = f"SELECT item_id AS id, concat('{tag('text')}', text) AS text FROM benchmark"
+    side_b = "SELECT doc_id AS id, concat_ws(' ', " + ", ".join(f"concat('{tag(c)}', {c})" for c in ("text", "lang", "source")) + ") AS text FROM documents"
+    return f"""SELECT o.order_cols, {str(removed).lower()} AS remove_col_names, CAST(s.k AS INTEGER) AS k, n_candidates, n_found, space - n_candidates AS saved,
+round(1 - n_candidates / space, 6) AS reduction_ratio, round(n_found / n_gold, 6) AS recall,
+round(2 * (1 - n_candidates / space) * (n_found / n_gold) / nullif((1 - n_candidates / space) + n_found / n_gold, 0), 6) AS f1
+FROM (VALUES (false), (true)) o(order_cols), (WITH side_a AS ({side_a}), side_b AS ({side_b}), {tfidf_sql("side_a", "side_b", 11)}
+SELECT k, count(near_text.a_id) AS n_candidates, count(matching) AS n_found, (SELECT count(*) FROM gold_passages) AS n_gold,
+(SELECT count(*) FROM benchmark) * (SELECT count(*) FROM documents)::DOUBLE AS space
+FROM (VALUES (5), (8), (11)) r(k) LEFT JOIN near_text ON rank <= k LEFT JOIN gold_passages USING (a_id, b_id) GROUP BY k) s"""
+
+
+@query("blocking_grid", with_views("gold_passages") + " " + grid_variant(True) + " UNION ALL " + grid_variant(False))
+def _(t):
+    a = t.table("benchmark").withColumnRenamed("item_id", "id")
+    b = t.table("documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    return rounded(runs.blocking_grid(a, b, t.gold_passages, [5, 8, 11], with_embedding=False))
+
+
 @query("blocking_run_vectors", with_views("vectors", "gold_vectors") + ", " + knn_sql(15) + f""", once AS (SELECT DISTINCT least(a_id, b_id) AS a_id, greatest(a_id, b_id) AS b_id FROM near_vector),
 s AS (SELECT count(*) AS n_candidates, count(matching) AS n_found, (SELECT count(*) FROM gold_vectors) AS n_gold, (SELECT count(*) FROM vectors) * (SELECT count(*) FROM vectors)::DOUBLE AS space
 FROM once LEFT JOIN gold_vectors USING (a_id, b_id)) SELECT {BLOCKING} FROM s""")

@@ -50,6 +50,25 @@ def blocking_run(text_a: DataFrame, text_b: DataFrame, gold: DataFrame, k: int =
     return C.blocking_metrics(block(text_a, text_b, k, **options), gold, count_of(text_a), count_of(text_b))
 
 
+def blocking_grid(a: DataFrame, b: DataFrame, gold: DataFrame, ks: Sequence[int], orders: Sequence[bool] = (False, True),
+                  removals: Sequence[bool] = (True, False), with_embedding: bool = True) -> DataFrame:
+    """Blocking quality for every serialization and every k: one neighbour search
+    per serialization at the largest k, all k from its ranks."""
+    parts, deepest = [], max(ks)
+    for order in orders:
+        for removed in removals:
+            text_a, text_b = prepare(a, b, order=order, column_names=not removed)
+            ranked = knn_tfidf(text_a, text_b, deepest)
+            if with_embedding:
+                ranked = ranked.unionByName(knn_embedding(encode_text(text_a), encode_text(text_b), deepest))
+            sweep = C.k_sweep(ranked, gold, count_of(a), count_of(b), deepest).filter(F.col("k").isin(list(ks)))
+            parts.append(sweep.select(F.lit(order).alias("order_cols"), F.lit(removed).alias("remove_col_names"), "*"))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def supervised_run(labelled: DataFrame, text_a: DataFrame, text_b: DataFrame, threshold: float = 0.65, seed=42) -> DataFrame:
     """Learn on 80 % of the labelled pairs, decide the rest: pairs with score, pred."""
     split = split_candidates(labelled.select(*PAIR, "matching"), seed=seed)
