@@ -21,7 +21,8 @@ def blocker_overlap(merged: DataFrame) -> DataFrame:
 
 
 def neighbour_lists(candidates: DataFrame) -> DataFrame:
-    """One list per A row, as exported: (a_id, b_ids)."""
+    """One list per A row, as exported: (a_id, b_ids). A list is as long as the
+    blockers' k together; keep pairs in long form where no k bounds them."""
     return candidates.groupBy("a_id").agg(F.array_sort(F.collect_set("b_id")).alias("b_ids"))
 
 

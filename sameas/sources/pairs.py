@@ -63,7 +63,8 @@ def write_gold(pairs: DataFrame, path: str) -> None:
 
 
 def candidate_lines(candidates: DataFrame) -> DataFrame:
-    """(a_id, b_ids): the neighbour ids of one A row in one comma-joined text."""
+    """(a_id, b_ids): the neighbour ids of one A row in one comma-joined text, at
+    most the blockers' k together; write_candidates takes pairs without a bound."""
     return candidates.groupBy("a_id").agg(
         F.array_join(F.array_sort(F.collect_set("b_id")).cast("array<string>"), ",").alias("b_ids"))
 
