@@ -67,16 +67,27 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cuts[:-1][kept], cuts[1:][kept]
 
 
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse, kept between calls."""
+    if len(_powers.get("up", ())) < n:
+        size = max(n, BLOCK_BYTES // 8)
+        with np.errstate(over="ignore"):
+            for name, base in (("up", BASE), ("down", BASE_INVERSE)):
+                _powers[name] = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base)])
+    return _powers["up"][:n], _powers["down"][:n]
+
+
 class SpanHash:
     """64-bit polynomial hashes of any byte ranges of one array."""
 
     def __init__(self, data: np.ndarray):
-        n = len(data) + 1
+        up, self.down = _power(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            powers = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, BASE)]) if n > 1 else np.ones(1, np.uint64)
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, BASE_INVERSE)]) if n > 1 else np.ones(1, np.uint64)
-            self.sums = np.zeros(n, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=self.sums[1:])
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
