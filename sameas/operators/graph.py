@@ -7,12 +7,13 @@ group.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from sameas.session import cut_lineage
 
 PAIR = ["a_id", "b_id"]
-MAX_ROUNDS = 100
 
 
 def _star_round(edges: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     if nodes is not None:
         everyone = everyone.unionByName(nodes.select("id"))
     now, size = start.filter(F.col("u") != F.col("v")), -1
-    for _ in range(MAX_ROUNDS):
+    while True:         # every round that changes anything brings nodes closer to their smallest id
         after = cut_lineage(_star_round(now))
         before, size = size, after.count()
         # both are sets: the same size and no new row mean the same set
@@ -49,7 +50,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
             root = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
             return everyone.distinct().join(root, "id", "left").select(
                 "id", F.coalesce("root", "id").alias("cluster_id"))
-    raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
 
 
 def two_sided_nodes(pairs: DataFrame) -> DataFrame:
@@ -122,11 +122,10 @@ def transitive_closure(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     waiting = cut_lineage(waiting)
     result = known.withColumn("round", F.lit(0))
-    for number in range(1, MAX_ROUNDS + 1):
+    for number in count(1):         # every round takes pairs from those that wait
         added = cut_lineage(_close_once(known, waiting))
         if added.isEmpty():
             return result
         result = result.unionByName(added.withColumn("round", F.lit(number)))
         known = known.unionByName(added)
         waiting = cut_lineage(waiting.join(added, PAIR, "left_anti"))
-    raise RuntimeError(f"closure not settled after {MAX_ROUNDS} rounds")

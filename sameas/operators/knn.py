@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from sameas.functions.ordering import hash_key
 from sameas.operators.copies import SCORE_DIGITS, nearest_by_value, top_k
+from sameas.session import cut_lineage
 
 MAX_PIVOTS = 256     # pivots are sent to every task: at most 256 vectors
 TILE_ROWS = 8192     # vectors per block; a larger tile means fewer copies of each vector
 SLICE_ROWS = 1024    # rows of A multiplied at a time, so that a product stays small
-PAIR_LIMIT = 20_000_000   # up to here all tiles are compared
 SLACK = 1e-6
 
 
@@ -43,8 +43,7 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
             if len(pdf) == 0:
                 continue
             unit = _unit(_matrix(pdf["v"]))
-            # |x - p|^2 with |p| = 1; a zero vector has |x| = 0
-            sq = (unit * unit).sum(axis=1, keepdims=True) + 1 - 2 * unit @ pivots.T
+            sq = 2 - 2 * unit @ pivots.T         # |x - p|^2 of unit vectors
             cell = sq.argmin(axis=1)
             dist = np.sqrt(np.maximum(sq[np.arange(len(cell)), cell], 0))
             yield pd.DataFrame({"id": pdf["id"], "v": list(unit), "cell": cell.astype("int32"), "dist": dist})
@@ -73,16 +72,33 @@ def _blocks(cells: pd.DataFrame) -> dict[int, int]:
     return {int(c): max(1, -(-int(n) // TILE_ROWS)) for c, n in zip(cells["cell"], cells["n"])}
 
 
+def _search(a: DataFrame, b: DataFrame, k: int, n_pivots: int) -> DataFrame:
+    """k best per A row. Zero vectors score 0 with everything and obey no distance
+    bound, so they stay out of the tiles: an A row can need at most the k smallest
+    ids among B's zero rows, and a zero row of A the k smallest ids of B."""
+    some = F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
+    kind = b.schema["id"].dataType
+    lowest = lambda df: [r["id"] for r in df.select("id").orderBy("id").limit(k).collect()]
+    listed = lambda df, ids: df.select(F.col("id").alias("a_id"), F.explode(F.array(*[F.lit(i).cast(kind) for i in ids])).alias("b_id"),
+                                       F.lit(0.0).alias("score"))
+    found = _tile_search(a.filter(some), b.filter(some), k, n_pivots)
+    if zeros := lowest(b.filter(~some)):
+        found = found.unionByName(listed(a.filter(some), zeros))
+    if first := lowest(b):
+        found = found.unionByName(listed(a.filter(~some), first))
+    return found
+
+
 def _tile_search(a: DataFrame, b: DataFrame, k: int, n_pivots: int) -> DataFrame:
     spark = a.sparkSession
-    drawn = b.filter(F.exists("v", lambda x: x != 0)).orderBy(hash_key("pivot", "id")).limit(n_pivots)
+    drawn = b.orderBy(hash_key("pivot", "id")).limit(n_pivots)
     pivot_rows = drawn.select("v").toPandas()      # n_pivots rows
     if len(pivot_rows) == 0:
         dim = a.select(F.size("v").alias("n")).head()
         pivots = np.eye(1, dim["n"] if dim else 1)
     else:
         pivots = _unit(_matrix(pivot_rows["v"]))
-    in_a, in_b = _assign(a, pivots), _assign(b, pivots)
+    in_a, in_b = cut_lineage(_assign(a, pivots)), cut_lineage(_assign(b, pivots))      # read three times
 
     shape = lambda df: df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius"))
     cells_a, cells_b = shape(in_a).toPandas(), shape(in_b).toPandas()      # one row per pivot
@@ -133,30 +149,14 @@ def _multiply(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> Dat
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, schema)
 
 
-def _few_pairs(a: DataFrame, b: DataFrame, n_a: int, n_b: int, k: int, same_table: bool) -> DataFrame:
-    """All tiles of two small sides, no pivots."""
-    blocks_a, blocks_b = max(1, -(-n_a // SLICE_ROWS)), max(1, -(-n_b // TILE_ROWS))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vector = F.col("embedding").cast("array<double>").alias("v")
-    left = a.select(F.col("id").alias("a_id"), vector, block(blocks_a).alias("ba"), every(blocks_b).alias("bb"))
-    right = b.select(F.col("id").alias("b_id"), vector, block(blocks_b).alias("bb"), every(blocks_a).alias("ba"))
-    scored = _multiply(left, right, ["ba", "bb"], k + 1 if same_table else k)
-    return top_k(scored.filter(F.col("a_id") != F.col("b_id")) if same_table else scored, k)
-
-
 def knn_embedding(a: DataFrame, b: DataFrame, k: int = 20, same_table: bool = False,
                   n_pivots: int | None = None) -> DataFrame:
     """(a_id, b_id, source, rank, score): for each A vector the k nearest B vectors.
     `a`, `b` are (id, embedding)."""
-    n_a, n_b = a.count(), b.count()
-    if n_pivots is None and n_a * n_b <= PAIR_LIMIT:
-        near = _few_pairs(a, b, n_a, n_b, k, same_table)
-    else:
-        prepare = lambda df: df.select("id", F.col("embedding").cast("array<double>").alias("v")).withColumn(
-            "fp", F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256))
-        side_a = prepare(a)
-        side_b = side_a if same_table else prepare(b)
-        pivots = n_pivots or int(min(MAX_PIVOTS, max(1, n_b // TILE_ROWS)))
-        near = nearest_by_value(side_a, side_b, k, lambda x, y, depth: _tile_search(x, y, depth, pivots), same_table)
+    prepare = lambda df: df.select("id", F.col("embedding").cast("array<double>").alias("v")).withColumn(
+        "fp", F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256))
+    side_a = prepare(a)
+    side_b = side_a if same_table else prepare(b)
+    pivots = n_pivots or int(min(MAX_PIVOTS, max(1, b.count() // TILE_ROWS)))
+    near = nearest_by_value(side_a, side_b, k, lambda x, y, depth: _search(x, y, depth, pivots), same_table)
     return near.select("a_id", "b_id", F.lit("embedding").alias("source"), "rank", "score")

@@ -73,18 +73,22 @@ def serialize_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _entity_map(text: Column) -> Column:
-    """Tagged text to MAP<column, value>; the space before the next tag is not
-    part of a value."""
-    fields = F.slice(F.split(text, r"\[COL\] "), 2, 1_000_000)
+    """Tagged text to MAP<column, value>; the space before the next tag is not part
+    of a value. Of columns that a value's own tags repeat the last one counts; a field
+    without a value tag is a column with a null value."""
+    fields = F.filter(F.split(text, r"\[COL\] "), lambda _, i: i > 0)
     last = F.size(fields) - 1
 
     def entry(field: Column, place: Column) -> Column:
         cut = F.instr(field, VAL_TAG)
         value = F.substring(field, cut + len(VAL_TAG), F.length(field))
         value = F.when(place < last, F.regexp_replace(value, " $", "")).otherwise(value)
-        return F.struct(F.substring(field, F.lit(1), cut - 2).alias("key"), value.alias("value"))
+        name = F.when(cut > 0, F.substring(field, F.lit(1), cut - 2)).otherwise(F.trim(field))
+        return F.struct(name.alias("key"), F.when(cut > 0, value).alias("value"))
 
-    return F.map_from_entries(F.transform(fields, entry))
+    entries = F.transform(fields, entry)
+    final = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(final)
 
 
 def deserialize(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -103,9 +103,6 @@ m{i} AS (SELECT * FROM m{i-1} UNION ALL SELECT * FROM add{i})""")
 
 ROUNDS = 6
 CLOSED = STRONG + ", " + closing(ROUNDS)
-FULL_CLUSTERS = CLOSED + f""", links AS (SELECT 'a:' || a_id AS u, 'b:' || b_id AS v FROM m{ROUNDS} UNION SELECT 'b:' || b_id, 'a:' || a_id FROM m{ROUNDS}),
-reach AS (SELECT u AS id, u AS other FROM links UNION SELECT r.id, l.v FROM reach r JOIN links l ON r.other = l.u),
-clusters AS (SELECT id, min(other) AS cluster_id FROM reach GROUP BY id)"""
 SWEEP = """sweep AS (SELECT threshold, tp, fp, fn, tn, {rates} FROM (SELECT threshold, {counts}
   FROM (SELECT i / 99e0 AS threshold, y, CAST(score > i / 99e0 AS INTEGER) AS pred FROM {source}, range(0, 100) r(i)) GROUP BY threshold))"""
 SWEEP_ORGS = with_views("scored_orgs") + ", " + SWEEP.format(rates=RATES, counts=COUNTS, source="scored_orgs")
@@ -675,5 +672,12 @@ def _(t): return rounded(unsupervised(t))
 def _(t): return rounded(runs.evaluation_report(decided_orgs(t).withColumnRenamed("y", "matching")))
 
 
-@query("resolve_entities", FULL_CLUSTERS + " SELECT id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS size FROM clusters")
-def _(t): return runs.resolve_entities(t.trades, t.strong_trades)
+@query("resolve_entities", CLUSTERS + """, everyone AS (SELECT 'a:' || s_suppkey AS id FROM supplier UNION SELECT 'b:' || c_custkey FROM customer UNION SELECT id FROM clusters),
+whole AS (SELECT id, coalesce(cluster_id, id) AS cluster_id FROM everyone LEFT JOIN clusters USING (id)),
+m AS (SELECT x.cluster_id, count(*) AS n_matches FROM strong_trades JOIN whole x ON x.id = 'a:' || a_id JOIN whole y ON y.id = 'b:' || b_id WHERE x.cluster_id = y.cluster_id GROUP BY 1),
+c AS (SELECT x.cluster_id, count(*) AS n_candidates FROM trades JOIN whole x ON x.id = 'a:' || a_id JOIN whole y ON y.id = 'b:' || b_id WHERE x.cluster_id = y.cluster_id GROUP BY 1)
+SELECT id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS size, coalesce(n_matches, 0) AS n_matches, coalesce(n_candidates, 0) AS n_candidates
+FROM whole LEFT JOIN m USING (cluster_id) LEFT JOIN c USING (cluster_id)""")
+def _(t):
+    ids = lambda name, key: t.table(name).select(F.col(key).alias("id"))
+    return runs.resolve_entities(t.trades, t.strong_trades, ids("supplier", "s_suppkey"), ids("customer", "c_custkey"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sameas.functions.vectors import decide
 from sameas.operators import candidates as C
-from sameas.operators.graph import match_clusters, transitive_closure
+from sameas.operators.graph import connected_components, two_sided_nodes
 from sameas.operators.knn import knn_embedding
 from sameas.operators.matching import encode_text, fit_matcher, pair_features, score_pairs, zero_shot_match
 from sameas.operators.metrics import classification_metrics, roc_auc
@@ -91,6 +91,26 @@ def evaluation_report(decided: DataFrame, label: str = "matching") -> DataFrame:
     return classification_metrics(decided, label).withColumn("roc_auc", auc)
 
 
-def resolve_entities(candidates: DataFrame, matches: DataFrame) -> DataFrame:
-    """(id, cluster_id, size): matches closed inside the candidates, clustered."""
-    return match_clusters(transitive_closure(matches, candidates))
+def resolve_entities(candidates: DataFrame, matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, cluster_id, size, n_matches, n_candidates) of every entity of both tables,
+    those without a match as clusters of one. `a`, `b` hold id; ids come as 'a:1', 'b:7'.
+
+    A pair can only be closed inside a component of the matches, so closing adds no
+    entity to a cluster: one component pass is enough. n_matches and n_candidates count
+    the pairs with both ends in the cluster, decided and considered; their difference is
+    what closing could still add.
+    """
+    known = cut_lineage(two_sided_nodes(matches).distinct())
+    sides = a.select(F.concat(F.lit("a:"), F.col("id").cast("string")).alias("id")).unionByName(
+        b.select(F.concat(F.lit("b:"), F.col("id").cast("string")).alias("id")))
+    clusters = cut_lineage(connected_components(known, sides))
+    sizes = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    of = lambda end: clusters.select(F.col("id").alias(end), F.col("cluster_id").alias(f"{end}_cluster"))
+    inside = lambda pairs, n: (
+        pairs.join(of("src"), "src").join(of("dst"), "dst").filter(F.col("src_cluster") == F.col("dst_cluster"))
+        .groupBy(F.col("src_cluster").alias("cluster_id")).agg(F.count(F.lit(1)).alias(n)))
+    counts = (
+        sizes.join(inside(known, "n_matches"), "cluster_id", "left")
+        .join(inside(two_sided_nodes(candidates).distinct(), "n_candidates"), "cluster_id", "left")
+        .fillna(0, ["n_matches", "n_candidates"]))
+    return clusters.join(counts, "cluster_id").select("id", "cluster_id", "size", "n_matches", "n_candidates")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,7 +24,7 @@ def build_session(master: str | None = None, app: str = "sameas", **conf) -> Spa
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by spark.checkpoint.dir. Only a local
-    master, where driver and executors share one disk, gets a folder of its own."""
+    master, where driver and executors share one disk, gets one in its warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
@@ -34,7 +32,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         context.setCheckpointDir(shared)
     elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sameas-checkpoint-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        context.setCheckpointDir(f"{warehouse.rstrip('/')}/checkpoints")     # Spark adds a folder for each run
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 

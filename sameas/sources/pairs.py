@@ -74,17 +74,23 @@ def write_candidates(candidates: DataFrame, path: str) -> None:
 
 
 def write_candidate_lines(candidates: DataFrame, path: str) -> None:
-    """Text lines 'a_id,b_id,b_id,...', readable in any order of part files."""
-    candidate_lines(candidates).select(F.concat_ws(",", F.col("a_id").cast("string"), "b_ids")).write.mode(
-        "overwrite").text(path)
+    """Text lines 'a_id,b_id,b_id,...', readable in any order of part files. A comma
+    inside an id is written %2C, a percent sign %25."""
+    safe = lambda c: F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), "%", "%25"), ",", "%2C")
+    lines = candidates.select(safe("a_id").alias("a_id"), safe("b_id").alias("b_id"))
+    if dict(candidates.dtypes)["b_id"] == "string":
+        lines = candidate_lines(lines)
+    else:
+        lines = candidate_lines(candidates.select(safe("a_id").alias("a_id"), "b_id"))
+    lines.select(F.concat_ws(",", "a_id", "b_ids")).write.mode("overwrite").text(path)
 
 
 def read_candidate_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(a_id, b_id) from lines that start with the A id."""
+    """(a_id, b_id), both text, from lines that start with the A id."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "%2C", ","), "%25", "%")
     fields = F.split("value", ",")
     return spark.read.text(path).filter(F.trim("value") != "").select(
-        fields[0].cast("bigint").alias("a_id"),
-        F.explode(F.slice(fields, F.lit(2), F.size(fields)).cast("array<bigint>")).alias("b_id"))
+        plain(fields[0]).alias("a_id"), F.explode(F.transform(F.slice(fields, F.lit(2), F.size(fields)), plain)).alias("b_id"))
 
 
 def read_candidate_positions(spark: SparkSession, path: str) -> DataFrame:

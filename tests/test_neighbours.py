@@ -107,6 +107,20 @@ def test_embedding_paths_agree_with_brute_force(make, monkeypatch, pivots, same)
     assert got == expected
 
 
+@pytest.mark.parametrize("pivots", [1, 2, 7])
+@pytest.mark.parametrize("same", [False, True])
+def test_embedding_zero_vectors_take_no_place(make, pivots, same):
+    df = lambda rows: make(rows, "id long, embedding array<double>")
+    b = [(10, [1.0, 0.0, 0.0]), (11, [0.3, 0.0, 0.954]), (12, [0.0] * 3), (13, [0.0] * 3), (14, [-1.0, 0.0, 0.0])]
+    if same:
+        got = {(r[0], r[1]) for r in found(knn_embedding(df(b), df(b), 2, same_table=True, n_pivots=pivots))}
+        assert got == {(10, 11), (10, 12), (11, 10), (11, 12), (12, 10), (12, 11), (13, 10), (13, 11), (14, 12), (14, 13)}
+    else:
+        a = [(1, [0.999, 0.0447, 0.0]), (2, [0.0] * 3)]
+        got = {(r[0], r[1]) for r in found(knn_embedding(df(a), df(b), 2, n_pivots=pivots))}
+        assert got == {(1, 10), (1, 11), (2, 10), (2, 11)}
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -41,6 +41,8 @@ def test_deserialize_pair(make):
     df = make([("[COL] a [VAL] x y [COL] b [VAL] 1 [SEP] [COL] a [VAL] z",), ("[COL] a [VAL] q",)], "text string")
     first, second = P.deserialize(df).collect()
     assert first["entity_a"] == {"a": "x y", "b": "1"} and first["entity_b"] == {"a": "z"}
+    odd = make([("[COL] a [VAL] x [COL] a [VAL] y [COL] bare",)], "text string")
+    assert P.deserialize(odd).first()["entity_a"] == {"a": "y", "bare": None}
     assert second["entity_a"] == {"a": "q"} and second["entity_b"] is None
 
 

@@ -62,7 +62,10 @@ def test_round_trips(spark, make, tmp_path):
     R.write_scored(scored, str(tmp_path / "scored"))
     assert rows_of(R.read_scored(spark, str(tmp_path / "scored")), "a_id", "score") == [("1", 0.123456789012), ("1", 0.5), ("4", 1.0)]
     R.write_candidate_lines(scored, str(tmp_path / "lines"))
-    assert rows_of(R.read_candidate_lines(spark, str(tmp_path / "lines")), "a_id", "b_id") == [(1, 2), (1, 3), (4, 2)]
+    assert rows_of(R.read_candidate_lines(spark, str(tmp_path / "lines")), "a_id", "b_id") == [("1", "2"), ("1", "3"), ("4", "2")]
+    named = make([("x1", "y1"), ("x1", "y,2"), ("50%", "y%2C")], "a_id string, b_id string")
+    R.write_candidate_lines(named, str(tmp_path / "named"))
+    assert rows_of(R.read_candidate_lines(spark, str(tmp_path / "named")), "a_id", "b_id") == [("50%", "y%2C"), ("x1", "y,2"), ("x1", "y1")]
     (tmp_path / "pairs.txt").write_text("3,5\n\n0\n")
     assert rows_of(R.read_candidate_positions(spark, str(tmp_path / "pairs.txt")), "a_id", "b_id") == [(0, 3), (0, 5), (2, 0)]
     Z.export_results(scored, str(tmp_path / "results"))
