@@ -26,7 +26,7 @@ from sameas.llm.packing import BLOCK_BYTES, blocks, pack, pick
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LONG = 256               # bytes of a piece up to which it joins a matrix
 BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, LONG)
-CACHED = 500_000         # pieces a worker remembers
+CACHED = 250_000         # pieces a worker remembers
 ROWS = 16_384            # rows of a matrix at most
 # The usual pattern in the standard library's terms. The two differ on signs beyond
 # Latin, on numbers that are no digits and on the separators U+001C to U+001F, so texts with those keep the first form.

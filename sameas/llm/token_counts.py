@@ -31,7 +31,7 @@ MARK = "▁"          # stands for a space
 LONG = 40                # code points of a chunk up to which it joins a matrix
 BUCKETS = (4, 6, 8, 10, 12, 16, 24, LONG)
 ROWS = 65_536
-CACHED = 600_000         # chunks a worker remembers
+CACHED = 300_000         # chunks a worker remembers
 JUDGED = 1 << 20         # slots for pairs of tokens already judged
 OTHER = -2               # a sign without a piece: its bytes are its tokens
 
