@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from conftest import rows_of
 from sameas.operators import candidates as C, graph as G
 from sameas.operators.copies import top_k
+from sameas.plans import catalog
 from sameas.plans.tasks import Tasks
 from sameas.session import ensure_checkpoint_dir
 
@@ -26,7 +27,8 @@ def plan_of(df):
 def test_catalogue_is_consistent():
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(queries) and len(queries) > 80
-    assert {n for n in queries if n not in oracle} <= {"encode_text", "supervised_match", "blocking_run_merged"}
+    assert set(catalog.QUERIES) <= set(queries) and set(catalog.ORACLE) <= set(oracle)
+    assert {n for n in catalog.QUERIES if n not in oracle} <= {"encode_text", "supervised_match", "blocking_run_merged"}
 
 
 def test_entry(spark):
