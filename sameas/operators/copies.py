@@ -27,6 +27,12 @@ def _representatives(df: DataFrame) -> DataFrame:
     return df.groupBy("fp").agg(F.min("id").alias("rep"))
 
 
+def _one_each(df: DataFrame) -> DataFrame:
+    """The row with the smallest id of every fingerprint."""
+    first = df.groupBy("fp").agg(F.min_by(F.struct(*[c for c in df.columns if c != "fp"]), "id").alias("row"))
+    return first.select("row.*", "fp")
+
+
 def nearest_by_value(
     a: DataFrame,
     b: DataFrame,
@@ -43,8 +49,8 @@ def nearest_by_value(
     depth = k + 1 if same_table else k
     rep_a = _representatives(a)
     rep_b = rep_a if same_table else _representatives(b)
-    single_a = a.join(rep_a.select(F.col("rep").alias("id")), "id", "left_semi")
-    single_b = single_a if same_table else b.join(rep_b.select(F.col("rep").alias("id")), "id", "left_semi")
+    single_a = _one_each(a)
+    single_b = single_a if same_table else _one_each(b)
 
     found = search(single_a, single_b, depth).withColumn("score", F.round("score", SCORE_DIGITS))
     groups = top_k(found, depth)

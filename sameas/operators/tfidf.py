@@ -6,19 +6,14 @@ them. Weights are count * (ln((1+n)/(1+df)) + 1), rows have unit length.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sameas.functions.text import text_fingerprint, tokens
-from sameas.operators.copies import SCORE_DIGITS, nearest_by_value, top_k
+from sameas.operators.copies import nearest_by_value, top_k
 from sameas.session import cut_lineage
 
-PAIR_LIMIT = 20_000_000   # below this many possible pairs the plain token join is used
 SEED_WIDTH = 4            # first look: postings read per wanted neighbour
-JOIN_SHARE = 0.05         # a joined row costs about as much as 20 cells of a tile
-TILE_ROWS = 1024          # a tile holds two blocks of this many texts and their product
-DENSE_PAIRS = 2_000       # tokens with more pairs than this in a tile are multiplied densely
+PART_ROWS = 4096          # rows of a token on one side of a join group
 SLACK = 1e-7              # room for rounding in every pruning bound
 
 
@@ -67,200 +62,109 @@ def tfidf_vectors(a: DataFrame, b: DataFrame, corpus: DataFrame | None = None,
     return unit_weights(raw_a), raw_a if same_table else raw_weights(term_counts(b), idf)
 
 
-def _sides(wa: DataFrame, wb: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return (wa.select(F.col("id").alias("a_id"), "token", F.col("w").alias("wa")),
-            wb.select(F.col("id").alias("b_id"), "token", F.col("w").alias("wb")))
-
-
-def similarities(wa: DataFrame, raw_b: DataFrame) -> DataFrame:
-    """Cosine of every pair that shares a token: join on token, add up. B's rows
-    stay where the join with the vocabulary put them, by token; their lengths are
-    divided out per pair."""
-    left, right = _sides(wa, raw_b)
-    lengths = raw_b.groupBy(F.col("id").alias("b_id")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    sums = left.join(right, "token").groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    return sums.join(lengths, "b_id").select("a_id", "b_id", (F.col("dot") / F.col("length")).alias("score"))
-
-
-def bounded_similarities(wa: DataFrame, wb: DataFrame, k: int, space: int) -> DataFrame:
-    """A superset of the k best pairs per a_id, exact scores, without joining on
-    frequent tokens where they cannot matter.
-
-    The rarest tokens of a row give a first list of partners; the k-th score of
-    that list is a floor for the final answer. Tokens are then dropped from the
-    frequent end while the length of the dropped part stays below the floor: a
-    partner sharing only dropped tokens scores at most that length, so it cannot
-    enter the list. What survives is completed with the dropped tokens.
-
-    A row without rare tokens has no floor and keeps all its tokens. Where the
-    kept tokens together read more postings than a small share of all possible
-    pairs (`space`), the pairs are compared in tiles instead.
+def _joinable(wa: DataFrame, wb: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A's and B's weights of shared tokens with what a join on tokens needs:
+    `postings` (B rows of the token) and into how many parts each side's rows of
+    it are cut. A part holds about PART_ROWS rows, so a token that sits in every
+    text meets in many tasks of bounded size."""
+    count = lambda df, name: df.groupBy("token").agg(F.count(F.lit(1)).alias(name))
+    shared = cut_lineage(count(wa, "readers").join(count(wb, "postings"), "token"))
+    parts = lambda n: F.ceil(F.col(n) / PART_ROWS).cast("int")
+    left = wa.join(shared, "token").select(F.col("id").alias("a_id"), "token", F.col("w").alias("wa"), "postings",
+                                           parts("readers").alias("parts_a"), parts("postings").alias("parts_b"))
+    right = wb.join(shared, "token").select(F.col("id").alias("b_id"), "token", F.col("w").alias("wb"),
+                                            parts("readers").alias("parts_a"), parts("postings").alias("parts_b"))
+    return left, right
+
+
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a_id, b_id, sum of wa * wb) over the tokens in both; every part of a
+    token's A rows meets every part of its B rows once."""
+    part = lambda key, parts: F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    cut_a = left.select("a_id", "token", "wa", part("a_id", "parts_a").alias("pa"), each("parts_b").alias("pb"))
+    cut_b = right.select("b_id", "token", "wb", part("b_id", "parts_b").alias("pb"), each("parts_a").alias("pa"))
+    return cut_a.join(cut_b, ["token", "pa", "pb"]).groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+
+
+def similarities(wa: DataFrame, wb: DataFrame, k: int) -> DataFrame:
+    """A superset of the k best pairs per a_id with exact scores, without joining
+    on frequent tokens where they cannot matter.
+
+    The heaviest postings of a row's rarest tokens are its first partners, and the
+    k-th score among them is a floor for its final list. Tokens are then left out
+    from the frequent end while the length of the part left out stays below the
+    floor: a partner sharing only those scores at most that length, so it cannot
+    enter the list. Partners that can still reach the floor are completed with the
+    tokens left out. A row leaves tokens out only where reading their postings
+    would cost more than completing its partners.
     """
-    left, right = _sides(wa, wb)
-    postings = right.groupBy("token").agg(F.count(F.lit(1)).alias("postings"))
+    looked = SEED_WIDTH * k
+    left, right = _joinable(wa, wb)
+    right = cut_lineage(right)
     rare_first = Window.partitionBy("a_id").orderBy("postings", "token")
-    up_to = rare_first.rowsBetween(Window.unboundedPreceding, 0)
-    from_here = rare_first.rowsBetween(0, Window.unboundedFollowing)
-    listed = cut_lineage(left.join(postings, "token").select(
-        "a_id", "token", "wa", "postings",
-        F.sum("postings").over(up_to).alias("reads"),
-        F.sqrt(F.sum(F.col("wa") * F.col("wa")).over(from_here)).alias("tail"),
-    ))
-
-    seeds = listed.filter(F.col("reads") <= SEED_WIDTH * k).select("a_id", "token")
-    first_pairs = seeds.join(right.select("b_id", "token"), "token").select("a_id", "b_id").distinct()
+    frequent_first = Window.partitionBy("a_id").orderBy(F.col("postings").desc(), F.col("token").desc())
+    so_far = lambda c: F.sum(c).over(rare_first.rowsBetween(Window.unboundedPreceding, 0))
+    from_here = lambda c: F.sum(c).over(frequent_first.rowsBetween(Window.unboundedPreceding, 0))
+    listed = cut_lineage(left.select(
+        "*", (so_far(F.least("postings", F.lit(looked))) - F.least("postings", F.lit(looked))).alias("looks"),
+        (so_far("postings") - F.col("postings")).alias("reads"), from_here("postings").alias("reads_left"),
+        from_here(F.lit(1)).alias("tokens_left"), F.sqrt(from_here(F.col("wa") * F.col("wa"))).alias("tail")))
+
+    heaviest = Window.partitionBy("token").orderBy(F.col("wb").desc(), "b_id")
+    heads = right.withColumn("n", F.row_number().over(heaviest)).filter(F.col("n") <= looked).select("token", "b_id")
+    first_pairs = listed.filter(F.col("looks") < looked).select("a_id", "token").join(heads, "token").select("a_id", "b_id").distinct()
     first_scores = (
-        first_pairs.join(left, "a_id").join(right, ["b_id", "token"])
+        first_pairs.join(listed.select("a_id", "token", "wa"), "a_id").join(right.select("b_id", "token", "wb"), ["b_id", "token"])
         .groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
     )
-    floor = cut_lineage(top_k(first_scores, k).filter(F.col("rank") == k).select("a_id", F.col("score").alias("floor")))
-
-    judged = listed.join(floor, "a_id", "left").withColumn(
-        "kept", F.col("floor").isNull() | (F.col("tail") >= F.col("floor") - SLACK))
-    kept, dropped = judged.filter("kept"), judged.filter(~F.col("kept"))
-    if (kept.agg(F.sum("postings")).head()[0] or 0) > JOIN_SHARE * space:
-        return tile_similarities(wa, wb, k)
-    rest = dropped.groupBy("a_id").agg(F.max("tail").alias("rest"))
-    partial = cut_lineage(
-        kept.select("a_id", "token", "wa").join(right, "token")
-        .groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("head"))
-        .join(floor, "a_id", "left").join(rest, "a_id", "left")
-        .filter(F.col("floor").isNull() | (F.col("head") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor") - SLACK))
-        .select("a_id", "b_id", "head")
+    floor = top_k(first_scores, k).filter(F.col("rank") == k).select("a_id", F.col("score").alias("floor"))
+
+    out_of_reach = F.col("tail") < F.col("floor") - SLACK
+    dear = F.col("reads_left") > F.col("reads") * F.col("tokens_left")
+    begin = listed.join(floor, "a_id").filter(out_of_reach).withColumn(
+        "n", F.row_number().over(rare_first)).filter("n = 1").filter(dear)
+    cuts = cut_lineage(begin.select("a_id", "floor", F.col("tail").alias("rest")))
+    judged = listed.join(cuts, "a_id", "left").withColumn("kept", F.col("rest").isNull() | (F.col("tail") > F.col("rest")))
+    met = (
+        _meet(judged.filter("kept"), right).join(cuts, "a_id", "left")
+        .filter(F.col("rest").isNull() | (F.col("dot") + F.col("rest") >= F.col("floor") - SLACK))
     )
-    tails = (
-        partial.select("a_id", "b_id")
-        .join(dropped.select("a_id", "token", "wa"), "a_id").join(right, ["b_id", "token"])
+    partial = cut_lineage(met.select("a_id", "b_id", "dot", F.col("rest").isNotNull().alias("open")))
+    more = (
+        partial.filter("open").select("a_id", "b_id")
+        .join(judged.filter(~F.col("kept")).select("a_id", "token", "wa"), "a_id")
+        .join(right.select("b_id", "token", "wb"), ["b_id", "token"])
         .groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("more"))
     )
-    return partial.join(tails, ["a_id", "b_id"], "left").select(
-        "a_id", "b_id", (F.col("head") + F.coalesce("more", F.lit(0.0))).alias("score"))
-
-
-def tile_similarities(wa: DataFrame, wb: DataFrame, k: int) -> DataFrame:
-    """The k best pairs per a_id and tile of TILE_ROWS x TILE_ROWS rows.
-
-    Rows are spread evenly over blocks, so a token that sits in every text makes
-    no block larger; a tile adds up all its pairs in one matrix and returns k
-    per A row, never the pairs.
-    """
-    codes = cut_lineage(wb.select("token").distinct().select("token", F.monotonically_increasing_id().alias("code")))
-    rows_a, rows_b = _coded_rows(wa, codes), _coded_rows(wb, codes)
-    blocks_a, blocks_b = (max(1, -(-df.count() // TILE_ROWS)) for df in (rows_a, rows_b))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows_a.select(F.col("id").alias("a_id"), "codes", "weights", block(blocks_a).alias("ba"), every(blocks_b).alias("bb"))
-    right = rows_b.select(F.col("id").alias("b_id"), "codes", "weights", block(blocks_b).alias("bb"), every(blocks_a).alias("ba"))
-    schema = T.StructType([T.StructField("a_id", wa.schema["id"].dataType), T.StructField("b_id", wb.schema["id"].dataType),
-                           T.StructField("score", T.DoubleType())])
-
-    def best_of_tile(block_a: pd.DataFrame, block_b: pd.DataFrame) -> pd.DataFrame:
-        if len(block_a) == 0 or len(block_b) == 0:
-            return pd.DataFrame({"a_id": [], "b_id": [], "score": []})
-        block_b = block_b.sort_values("b_id", ignore_index=True)
-        sims = np.round(_sparse_product(block_a, block_b), SCORE_DIGITS)
-        take = min(k, sims.shape[1])
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :take]      # ties: smaller b_id
-        out = pd.DataFrame({
-            "a_id": np.repeat(block_a["a_id"].to_numpy(), take),
-            "b_id": block_b["b_id"].to_numpy()[best.ravel()],
-            "score": np.take_along_axis(sims, best, axis=1).ravel()})
-        return out[out["score"] > 0]
-
-    return left.groupBy("ba", "bb").cogroup(right.groupBy("ba", "bb")).applyInPandas(best_of_tile, schema)
-
-
-def _coded_rows(weights: DataFrame, codes: DataFrame) -> DataFrame:
-    """(id, codes, weights): one row per text, as long as the text's own vocabulary."""
-    entries = weights.join(codes, "token").groupBy("id").agg(F.collect_list(F.struct("code", "w")).alias("e"))
-    return cut_lineage(entries.select("id", F.col("e.code").alias("codes"), F.col("e.w").alias("weights")))
-
-
-def _sparse_product(block_a: pd.DataFrame, block_b: pd.DataFrame) -> np.ndarray:
-    """Dot products of all rows of two blocks. Tokens frequent in the tile go
-    through a dense matrix product, the others pair by pair."""
-    def flat(block: pd.DataFrame):
-        sizes = block["codes"].map(len).to_numpy()
-        return (np.concatenate(block["codes"].to_numpy()), np.repeat(np.arange(len(block)), sizes),
-                np.concatenate(block["weights"].to_numpy()))
-
-    code_a, row_a, w_a = flat(block_a)
-    code_b, row_b, w_b = flat(block_b)
-    shared = np.intersect1d(code_a, code_b)
-    n_a, n_b = len(block_a), len(block_b)
-    sims = np.zeros(n_a * n_b)
-    if len(shared) == 0:
-        return sims.reshape(n_a, n_b)
-
-    def by_token(code, row, w):
-        place = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
-        hit = shared[place] == code
-        order = np.argsort(place[hit], kind="stable")
-        token = place[hit][order]
-        return token, row[hit][order], w[hit][order], np.bincount(token, minlength=len(shared))
-
-    tok_a, row_a, w_a, n_tok_a = by_token(code_a, row_a, w_a)
-    tok_b, row_b, w_b, n_tok_b = by_token(code_b, row_b, w_b)
-    dense = n_tok_a * n_tok_b > DENSE_PAIRS
-    heavy = np.flatnonzero(dense)
-    slot = np.cumsum(dense) - 1
-    for first in range(0, len(heavy), TILE_ROWS):
-        width = min(TILE_ROWS, len(heavy) - first)
-
-        def matrix(tok, row, w, n):
-            mine = dense[tok] & (slot[tok] >= first) & (slot[tok] < first + width)
-            m = np.zeros((n, width))
-            m[row[mine], slot[tok[mine]] - first] = w[mine]
-            return m
-
-        sims += (matrix(tok_a, row_a, w_a, n_a) @ matrix(tok_b, row_b, w_b, n_b).T).ravel()
-
-    start_b = np.cumsum(n_tok_b) - n_tok_b
-    light = ~dense[tok_a]
-    tok, row, w = tok_a[light], row_a[light], w_a[light]
-    for part in np.array_split(np.arange(len(tok)), max(1, int(n_tok_b[tok].sum()) // 5_000_000)):
-        reps = n_tok_b[tok[part]]
-        entry = np.repeat(np.arange(len(part)), reps)
-        within = np.arange(len(entry)) - np.repeat(np.cumsum(reps) - reps, reps)
-        at_b = start_b[tok[part]][entry] + within
-        sims += np.bincount(row[part][entry] * n_b + row_b[at_b], w[part][entry] * w_b[at_b], minlength=n_a * n_b)
-    return sims.reshape(n_a, n_b)
+    return partial.join(more, ["a_id", "b_id"], "left").select(
+        "a_id", "b_id", (F.col("dot") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 def knn_tfidf(a: DataFrame, b: DataFrame, k: int = 20, metric: str = "cosine", same_table: bool = False,
-              pad_to_k: bool = False, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+              pad_to_k: bool = False) -> DataFrame:
     """(a_id, b_id, source, rank, score): for each A row the k nearest B rows.
 
     `a`, `b` are (id, text). Score is the cosine, or with metric "l2" the
     Euclidean distance of the unit vectors (same order). Only rows sharing a
     token with a_id are neighbours; `pad_to_k` fills up with the smallest ids.
     """
-    space = a.count() * b.count()
-    if space <= pair_limit:
-        scored = similarities(*tfidf_vectors(a, b, same_table=same_table)).withColumn("score", F.round("score", SCORE_DIGITS))
-        near = top_k(scored.filter(F.col("a_id") != F.col("b_id")) if same_table else scored, k)
-    else:
-        near = _knn_large(a, b, k, same_table, space)
-    if pad_to_k:
-        near = _pad(a, b, near, k, same_table)
-    if metric == "l2":
-        near = near.withColumn("score", F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))))
-    elif metric != "cosine":
-        raise ValueError(f"unknown metric {metric!r}")
-    return near.select("a_id", "b_id", F.lit("tfidf").alias("source"), "rank", "score")
-
-
-def _knn_large(a: DataFrame, b: DataFrame, k: int, same_table: bool, space: int) -> DataFrame:
-    """Copies collapsed, frequent tokens joined only where they can matter."""
     side_a = a.select("id", "text").withColumn("fp", text_fingerprint(F.col("text")))
     side_b = side_a if same_table else b.select("id", "text").withColumn("fp", text_fingerprint(F.col("text")))
 
     def search(one_a: DataFrame, one_b: DataFrame, depth: int) -> DataFrame:
         wa, raw_b = tfidf_vectors(one_a, one_b, corpus=side_a, same_table=same_table)
         wa = cut_lineage(wa)    # read by every step below; survives lost executors
-        return bounded_similarities(wa, wa if same_table else cut_lineage(unit_weights(raw_b)), depth, space)
+        return similarities(wa, wa if same_table else cut_lineage(unit_weights(raw_b)), depth)
 
-    return nearest_by_value(side_a, side_b, k, search, same_table)
+    near = nearest_by_value(side_a, side_b, k, search, same_table).filter(F.col("score") > 0)
+    if pad_to_k:
+        near = _pad(a, b, near, k, same_table)
+    if metric == "l2":
+        near = near.withColumn("score", F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))))
+    elif metric != "cosine":
+        raise ValueError(f"unknown metric {metric!r}")
+    return near.select("a_id", "b_id", F.lit("tfidf").alias("source"), "rank", "score")
 
 
 def _pad(a: DataFrame, b: DataFrame, near: DataFrame, k: int, same_table: bool) -> DataFrame:

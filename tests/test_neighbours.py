@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows_of
 from sameas.operators import tfidf as X
@@ -44,29 +45,38 @@ def found(df):
     return {(r["a_id"], r["b_id"], r["rank"], round(r["score"], 6)) for r in df.collect()}
 
 
-@pytest.mark.parametrize("path", ["plain", "tokens", "tiles"])
+@pytest.mark.parametrize("part_rows", [4096, 3])
 @pytest.mark.parametrize("same", [False, True])
-def test_tfidf_paths_agree_with_brute_force(make, monkeypatch, path, same):
+def test_tfidf_agrees_with_brute_force(make, monkeypatch, part_rows, same):
+    monkeypatch.setattr(X, "PART_ROWS", part_rows)
     a = texts(40, 1)
     b = a if same else texts(60, 2)
-    if path == "plain":
-        options = {}
-    else:
-        options = {"pair_limit": 0}
-        monkeypatch.setattr(X, "TILE_ROWS", 16)
-        monkeypatch.setattr(X, "DENSE_PAIRS", 20)
-        keep = X.bounded_similarities
-        monkeypatch.setattr(X, "bounded_similarities",
-                            lambda wa, wb, k, space: keep(wa, wb, k, 10**12 if path == "tokens" else -1))
     df = lambda rows: make(rows, "id long, text string")
-    assert found(knn_tfidf(df(a), df(b), 4, same_table=same, **options)) == tfidf_by_hand(a, b, 4, same)
+    assert found(knn_tfidf(df(a), df(b), 4, same_table=same)) == tfidf_by_hand(a, b, 4, same)
+
+
+def test_tfidf_token_in_every_text(make, monkeypatch):
+    """The rare word decides, the common ones are left out and completed; their
+    rows meet in parts of bounded size."""
+    monkeypatch.setattr(X, "PART_ROWS", 32)
+    rows = [(i, f"red steel code{i // 5} lot{i // 5} kind{i % 5}") for i in range(240)]
+    df = make(rows, "id long, text string")
+    assert found(knn_tfidf(df, df, 2, same_table=True)) == tfidf_by_hand(rows, rows, 2, True)
+    seen, meet = [], X._meet
+    monkeypatch.setattr(X, "_meet", lambda left, right: seen.append(left) or meet(left, right))
+    knn_tfidf(df, df, 2, same_table=True).count()
+    assert seen[0].filter("token in ('red', 'steel')").count() == 0
+    wa = make([(i, "red", 1.0) for i in range(240)], "id long, token string, w double")
+    left, right = X._joinable(wa, wa)
+    assert left.select("parts_a", "parts_b").distinct().collect() == [(8, 8)]
+    assert meet(left, right).agg(F.count("*"), F.sum("dot")).head() == (240 * 240, 240.0 * 240)
 
 
 def test_tfidf_hot_copies(make):
     """A third of all rows are one text: every list is whole, ties by id."""
     rows = [(i, "red steel ring") for i in range(50)] + [(100 + i, t) for i, t in texts(100, 3)]
     df = make(rows, "id long, text string")
-    assert found(knn_tfidf(df, df, 3, same_table=True, pair_limit=0)) == tfidf_by_hand(rows, rows, 3, True)
+    assert found(knn_tfidf(df, df, 3, same_table=True)) == tfidf_by_hand(rows, rows, 3, True)
 
 
 def test_tfidf_edges(make):
