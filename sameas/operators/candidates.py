@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PAIR = ["a_id", "b_id"]
 
@@ -57,18 +57,25 @@ def gold_found(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     return true_matches(gold).join(candidates.select(*PAIR), PAIR, "left_semi")
 
 
+def _with_gold(candidates: DataFrame, gold: DataFrame, about: Column) -> DataFrame:
+    """(a_id, b_id, is_gold 0/1, about): candidate and true pairs together, once
+    each, in one grouping. `about` aggregates the candidate's columns (null without one)."""
+    truth = gold.filter(F.col("matching") == 1).select(*PAIR, F.lit(1).alias("is_gold"))
+    rows = candidates.withColumn("is_gold", F.lit(0)).unionByName(truth, allowMissingColumns=True)
+    return rows.groupBy(*PAIR).agg(F.max("is_gold").alias("is_gold"), about)
+
+
 def blocking_metrics(candidates: DataFrame, gold: DataFrame, size_a, size_b) -> DataFrame:
     """One row: pair counts, reduction ratio, recall and their harmonic mean.
     Recall and F1 are null without gold pairs. Sizes are numbers or scalars."""
-    labelled = label_candidates(candidates.select(*PAIR), gold)
-    n_gold = true_matches(gold).agg(F.count(F.lit(1)).alias("n")).scalar()
     space = (F.lit(size_a) if isinstance(size_a, int) else size_a).cast("double") * size_b
-    counted = labelled.agg(F.count(F.lit(1)).alias("n_candidates"),
-                           F.coalesce(F.sum("matching"), F.lit(0)).alias("n_found"))
+    seen = _with_gold(candidates.select(*PAIR, F.lit(1).alias("hit")), gold, F.sum("hit").alias("times"))
+    counted = seen.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (
+        (F.col("times"), "n_candidates"), (F.col("times") * F.col("is_gold"), "n_found"), (F.col("is_gold"), "n_gold"))])
     rates = counted.select(
-        "n_candidates", "n_found", n_gold.alias("n_gold"),
+        "n_candidates", "n_found", "n_gold",
         (1 - F.try_divide(F.col("n_candidates"), space)).alias("reduction_ratio"),
-        F.try_divide(F.col("n_found"), n_gold).alias("recall"))
+        F.try_divide("n_found", "n_gold").alias("recall"))
     return rates.withColumn("f1", F.try_divide(2 * F.col("reduction_ratio") * F.col("recall"),
                                                F.col("reduction_ratio") + F.col("recall")))
 
@@ -86,22 +93,22 @@ def k_sweep(ranked: DataFrame, gold: DataFrame, size_a, size_b, k_max: int) -> D
     A pair enters at its best rank and stays: count pairs per entry rank (at most
     k_max rows), then add up along k. `ranked` may union several blockers.
     """
-    entry = ranked.filter(F.col("rank") <= k_max).groupBy(*PAIR).agg(F.min("rank").alias("k"))
-    steps = label_candidates(entry, gold).groupBy("k").agg(
-        F.count(F.lit(1)).alias("new_pairs"), F.sum("matching").alias("new_found"))
-    every_k = ranked.sparkSession.range(1, k_max + 1).select(F.col("id").cast("int").alias("k"))
-    so_far = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    n_gold = true_matches(gold).agg(F.count(F.lit(1)).alias("n")).scalar()
+    entry = _with_gold(ranked.filter(F.col("rank") <= k_max).select(*PAIR, "rank"), gold, F.min("rank").alias("k"))
+    steps = entry.groupBy("k").agg(F.count("k").alias("new_pairs"), F.sum("is_gold").alias("golden"))
+    every_k = ranked.sparkSession.range(1, k_max + 1).select(
+        F.col("id").cast("int").alias("k"), F.lit(0).alias("new_pairs"), F.lit(0).alias("golden"))
+    so_far = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)      # k_max + 1 rows; pairs not found: k null
     space = (F.lit(size_a) if isinstance(size_a, int) else size_a).cast("double") * size_b
-    summed = every_k.join(steps, "k", "left").select(
-        "k",
-        F.sum(F.coalesce("new_pairs", F.lit(0))).over(so_far).alias("n_candidates"),
-        F.sum(F.coalesce("new_found", F.lit(0))).over(so_far).alias("n_found"))
+    per_k = steps.unionByName(every_k).groupBy("k").agg(F.sum("new_pairs").alias("new_pairs"), F.sum("golden").alias("golden"))
+    summed = per_k.select(
+        "k", F.sum("new_pairs").over(so_far).alias("n_candidates"),
+        F.sum(F.when(F.col("k").isNotNull(), F.col("golden")).otherwise(0)).over(so_far).alias("n_found"),
+        F.sum("golden").over(Window.partitionBy()).alias("n_gold")).filter(F.col("k").isNotNull())
     rates = summed.select(
         "k", "n_candidates", "n_found",
         (space - F.col("n_candidates")).alias("saved"),
         (1 - F.try_divide(F.col("n_candidates"), space)).alias("reduction_ratio"),
-        F.try_divide(F.col("n_found"), n_gold).alias("recall"))
+        F.try_divide("n_found", "n_gold").alias("recall"))
     return rates.withColumn("f1", F.try_divide(2 * F.col("reduction_ratio") * F.col("recall"),
                                                F.col("reduction_ratio") + F.col("recall")))
 

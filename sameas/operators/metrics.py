@@ -90,21 +90,17 @@ def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
         _count(F.col(label) == 1).alias("pos"), _count(F.col(label) == 0).alias("neg"))
 
 
-def _totals(df: DataFrame, label: str) -> tuple[Column, Column]:
-    count = lambda v: df.agg(_count(F.col(label) == v).alias("n")).scalar()
-    return count(1), count(0)
-
-
 def roc_curve(df: DataFrame, label: str = "y", score: str = "score") -> DataFrame:
     """(threshold, tp, fp, tpr, fpr) at every distinct score, and the origin
     (threshold null). A rate without its class is null."""
-    n_pos, n_neg = _totals(df, label)
     summed = running_totals(_by_score(df, label, score), "score", ["pos", "neg"], descending=True)
-    points = summed.select(F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
-    origin = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
-                                             F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"))
+    points = summed.select(F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+                           "total_pos", "total_neg")
+    none = F.lit(0).cast("bigint")
+    origin = summed.agg(F.max("total_pos").alias("total_pos"), F.max("total_neg").alias("total_neg")).select(
+        F.lit(None).cast("double").alias("threshold"), none.alias("tp"), none.alias("fp"), "total_pos", "total_neg")
     return points.unionByName(origin).select(
-        "threshold", "tp", "fp", F.try_divide(F.col("tp"), n_pos).alias("tpr"), F.try_divide(F.col("fp"), n_neg).alias("fpr"))
+        "threshold", "tp", "fp", F.try_divide("tp", "total_pos").alias("tpr"), F.try_divide("fp", "total_neg").alias("fpr"))
 
 
 def roc_auc(df: DataFrame, label: str = "y", score: str = "score") -> DataFrame:

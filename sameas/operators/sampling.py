@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sameas.functions.ordering import hash_key, hash_number, hash_rank
 from sameas.operators.graph import connected_components, two_sided_nodes
+from sameas.session import cut_lineage
 
 PAIR = ["a_id", "b_id"]
 
@@ -22,10 +23,9 @@ def _split_by_rank(rank: Column, first: Column, second: Column) -> Column:
 
 def random_split(df: DataFrame, keys: Sequence[str] = PAIR, train: float = 0.7, val: float = 0.15, seed=42) -> DataFrame:
     """Adds split; exact sizes floor(train * n), floor(val * n), rest test."""
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = hash_rank(df, keys, seed)
+    ranked = hash_rank(df, keys, seed, total="n_rows")
     return ranked.withColumn("split", _split_by_rank(
-        F.col("rank"), F.floor(F.lit(train) * n), F.floor(F.lit(val) * n))).drop("rank")
+        F.col("rank"), F.floor(train * F.col("n_rows")), F.floor(val * F.col("n_rows")))).drop("rank", "n_rows")
 
 
 def hashed_split(df: DataFrame, keys: Sequence[str] = PAIR, train: float = 0.7, val: float = 0.15, seed=42) -> DataFrame:
@@ -52,7 +52,7 @@ def few_shot_sample(labelled: DataFrame, positives: int = 5, negatives: int = 5,
     sizes = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
     draws = sizes.filter(want > 0).select(label, "size", F.explode(F.sequence(F.lit(1), want)).alias("draw"))
     draws = draws.select(label, "draw", (hash_number(hash_key(seed, label, "draw")) % F.col("size") + 1).alias("rank"))
-    return ranked.join(F.broadcast(draws), [label, "rank"]).drop("rank")      # positives + negatives rows
+    return ranked.join(draws, [label, "rank"]).drop("rank")      # positives + negatives rows
 
 
 def component_split(positives: DataFrame, train: float = 0.7, val: float = 0.15, seed=42) -> DataFrame:
@@ -65,27 +65,28 @@ def component_split(positives: DataFrame, train: float = 0.7, val: float = 0.15,
     return pairs.join(owner, "a_text").join(split, "cluster_id").select(*PAIR, "cluster_id", "split")
 
 
-def negative_samples(positives: DataFrame, ratio: int = 1, seed=42, spare: int = 4) -> DataFrame:
-    """(a_id, b_id, split): up to `ratio` non-matching pairs per positive, ends
-    taken from positives of the same split.
+def negative_samples(positives: DataFrame, ratio: int = 1, seed=42) -> DataFrame:
+    """(a_id, b_id, split): for every A end `ratio` non-matching pairs per positive it
+    has, ends taken from positives of the same split.
 
-    Each positive draws ratio + spare partners by shuffled rank; known positives
-    are dropped and the first `ratio` kept. A split that admits too few returns fewer.
+    The B ends of a split stand in shuffled order; an A end with p positives walks
+    (ratio + 1) * p of them from a place of its own and keeps the first ratio * p that
+    are not its positives, so only a split with too few B ends gives fewer.
     """
-    ranked = hash_rank(positives.select(*PAIR, "split").distinct(), PAIR, seed, within=["split"])
-    sizes = ranked.groupBy("split").agg(F.count(F.lit(1)).alias("size"))     # one row per split
-    draws = (
-        ranked.join(F.broadcast(sizes), "split")
-        .select("split", "a_id", F.col("rank").alias("from_rank"), "size",
-                F.explode(F.sequence(F.lit(1), F.lit(ratio + spare))).alias("draw"))
-        .select("split", "a_id", "from_rank", "draw",
-                (hash_number(hash_key(seed, "split", "from_rank", "draw")) % F.col("size") + 1).alias("rank"))
+    known = cut_lineage(positives.select(*PAIR, "split").distinct())
+    ends = hash_rank(known.select("split", "b_id").distinct(), ["b_id"], seed, within=["split"])
+    sizes = known.groupBy("split").agg(F.countDistinct("b_id").alias("size"))     # one row per split
+    own = known.groupBy("split", "a_id").agg(F.count(F.lit(1)).alias("own"))
+    place = hash_number(hash_key(seed, "split", "a_id"))
+    walks = own.join(F.broadcast(sizes), "split").select(
+        "split", "a_id", (ratio * F.col("own")).alias("wanted"), "size", place.alias("place"),
+        F.explode(F.sequence(F.lit(0), F.least((ratio + 1) * F.col("own"), "size") - 1)).alias("step"))
+    met = (
+        walks.withColumn("rank", (F.col("place") + F.col("step")) % F.col("size") + 1).join(ends, ["split", "rank"])
+        .join(known, [*PAIR, "split"], "left_anti")
     )
-    partners = ranked.select("split", "rank", "b_id")
-    drawn = draws.join(partners, ["split", "rank"]).join(positives.select(*PAIR), PAIR, "left_anti")
-    first = Window.partitionBy("split", "from_rank").orderBy("draw")
-    kept = drawn.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= ratio)
-    return kept.select(*PAIR, "split").distinct()
+    first = Window.partitionBy("split", "a_id").orderBy("step")
+    return met.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= F.col("wanted")).select(*PAIR, "split")
 
 
 def assembled_split(positives: DataFrame, negatives: DataFrame, seed=42) -> DataFrame:

@@ -81,13 +81,14 @@ SPLIT_OF = """CASE WHEN {rank} <= floor(0.7e0 * {n}) THEN 'train' WHEN {rank} <=
 COMPONENT_SPLIT = CLUSTERS + """, shuffled AS (SELECT cluster_id, row_number() OVER (ORDER BY md5(concat_ws(':', '42', cluster_id)), cluster_id) AS rank FROM (SELECT DISTINCT cluster_id FROM clusters)),
 positives AS (SELECT a_id, b_id, cluster_id, """ + SPLIT_OF.format(rank="rank", n="(SELECT count(*) FROM shuffled)") + """ AS split
   FROM strong_trades JOIN clusters ON id = 'a:' || a_id JOIN shuffled USING (cluster_id))"""
-NEGATIVES = COMPONENT_SPLIT + f""", ranked AS (SELECT a_id, b_id, split, row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws(':', '42', a_id, b_id)), a_id, b_id) AS rank FROM positives),
-sizes AS (SELECT split, count(*) AS size FROM ranked GROUP BY split),
-draws AS (SELECT split, a_id, rank AS from_rank, draw, {hash_number_sql("'42'", "split", "rank", "draw")} % size + 1 AS rank
-  FROM ranked JOIN sizes USING (split), range(1, 7) d(draw)),
-drawn AS (SELECT d.split, d.from_rank, d.draw, d.a_id, r.b_id FROM draws d JOIN ranked r USING (split, rank)
-  WHERE NOT EXISTS (SELECT 1 FROM positives p WHERE p.a_id = d.a_id AND p.b_id = r.b_id)),
-negatives AS (SELECT DISTINCT a_id, b_id, split FROM (SELECT *, row_number() OVER (PARTITION BY split, from_rank ORDER BY draw) AS n FROM drawn) WHERE n <= 2)"""
+NEGATIVES = COMPONENT_SPLIT + f""", ends AS (SELECT split, b_id, row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws(':', '42', b_id)), b_id) AS rank
+  FROM (SELECT DISTINCT split, b_id FROM positives)),
+sizes AS (SELECT split, count(*) AS size FROM ends GROUP BY split),
+own AS (SELECT split, a_id, count(*) AS own FROM positives GROUP BY split, a_id),
+walks AS (SELECT split, a_id, own, {hash_number_sql("'42'", "split", "a_id")} % size AS place, size FROM own JOIN sizes USING (split)),
+met AS (SELECT w.split, w.a_id, e.b_id, own, (e.rank - 1 - place + size) % size AS step FROM walks w JOIN ends e USING (split)
+  WHERE NOT EXISTS (SELECT 1 FROM positives p WHERE p.split = w.split AND p.a_id = w.a_id AND p.b_id = e.b_id)),
+negatives AS (SELECT a_id, b_id, split FROM (SELECT *, row_number() OVER (PARTITION BY split, a_id ORDER BY step) AS n FROM met) WHERE n <= 2 * own)"""
 
 
 def closing(rounds: int) -> str:

@@ -124,6 +124,10 @@ def test_component_split_and_negatives(make):
     negatives = S.negative_samples(split, ratio=2)
     assert negatives.count() > 0
     assert negatives.join(positives, ["a_id", "b_id"]).count() == 0
+    few = split.groupBy("split", "a_id").agg(F.count("*").alias("own")).join(
+        split.groupBy("split").agg(F.countDistinct("b_id").alias("size")), "split").join(
+        negatives.groupBy("split", "a_id").agg(F.count("*").alias("n")), ["split", "a_id"], "left")
+    assert few.filter("coalesce(n, 0) <> least(2 * own, size - own)").count() == 0      # whole, or all there are
     ends = split.select("split", "a_id").distinct()
     assert negatives.join(ends, ["split", "a_id"], "left_anti").count() == 0
     whole = S.assembled_split(split, negatives)
