@@ -21,14 +21,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sameas.session import cut_lineage
 
-PERIOD = 1000          # slots in which shares come out exactly; sources at most
+PERIOD = 1000          # slots in which shares come out exactly; a multiple of it for over half as many sources
 BLOCK_ROWS = 8         # documents in a block
 BUCKET_ROWS = 1000     # documents ranked together
 
 
 def target_shares(sizes: DataFrame, period: int, power: float) -> DataFrame:
     """(src, n, weight, share): shares of the period by largest remainder, at
-    least 1 each. `sizes` is (src, n[, weight]); without a weight it is n ** power."""
+    least 1 each. `sizes` is (src, n[, weight]); without a weight it is n ** power.
+
+    Where lifting small sources to 1 takes more than one slot from each larger one,
+    every source has its one slot and the others are dealt by what quotas exceed it."""
     if "weight" not in sizes.columns:
         sizes = sizes.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(power)))
     # the windows see one row per source
@@ -41,7 +44,14 @@ def target_shares(sizes: DataFrame, period: int, power: float) -> DataFrame:
     by_size = F.row_number().over(whole.orderBy(F.col("low").desc(), F.col("src").asc_nulls_first()))
     ranked = left.withColumn("by_rest", by_rest).withColumn("by_size", by_size)
     step = F.when(F.col("by_rest") <= F.col("left"), 1).when(F.col("by_size") <= -F.col("left"), -1).otherwise(0)
-    return ranked.select("src", "n", "weight", (F.col("low") + step).cast("bigint").alias("share"))
+    over = F.greatest(F.col("quota") - 1, F.lit(0.0))
+    dealt = ranked.withColumn("extra", over / F.sum(over).over(whole) * (F.lit(period) - F.count(F.lit(1)).over(whole)))
+    dealt = dealt.withColumn("whole", F.floor("extra")).withColumn("unfit", -F.col("left") > F.sum((F.col("low") > 1).cast("int")).over(whole))
+    spare = F.lit(period) - F.count(F.lit(1)).over(whole) - F.sum("whole").over(whole)
+    by_extra = F.row_number().over(whole.orderBy((F.col("extra") - F.col("whole")).desc(), F.col("src").asc_nulls_first()))
+    anew = 1 + F.col("whole") + F.when(by_extra <= spare, 1).otherwise(0)
+    return dealt.withColumn("anew", anew).select(
+        "src", "n", "weight", F.when(F.col("unfit"), F.col("anew")).otherwise(F.col("low") + step).cast("bigint").alias("share"))
 
 
 def _earliest_deadline(shares: Column, done: Column, slot: Column, period: int) -> Column:

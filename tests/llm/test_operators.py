@@ -236,6 +236,23 @@ def test_mix_is_within_a_block(spark):
         assert abs(lag).max() < 1
 
 
+@pytest.mark.parametrize("sizes", [[10_000_000] + [1] * 99, [3_000_000] + [100_000] * 8 + [3] * 120, [1_000_000] + [1] * 400])
+def test_every_source_has_a_share(spark, sizes):
+    table = spark.createDataFrame([(f"s{i:03}", n) for i, n in enumerate(sizes)], "src string, n bigint")
+    shares = {r["src"]: r["share"] for r in mixing.target_shares(table, 1000, 0.5).collect()}
+    assert sum(shares.values()) == 1000 and min(shares.values()) == 1 and len(shares) == len(sizes)
+    over = np.maximum(np.sqrt(sizes) / np.sqrt(sizes).sum() * 1000 - 1, 0)
+    dealt = 1 + over / over.sum() * (1000 - len(sizes))
+    assert max(abs(shares[f"s{i:03}"] - d) for i, d in enumerate(dealt)) < 1
+
+
+def test_mix_keeps_all_rows_of_a_skewed_table(spark):
+    docs = spark.range(2_100).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2_000, "huge").otherwise(
+        F.concat(F.lit("s"), F.col("id"))).alias("source"))
+    weights = docs.select("source").distinct().withColumn("weight", F.when(F.col("source") == "huge", 3162.0).otherwise(1.0))
+    assert sorted(r["doc_id"] for r in mixing.mix_sources(docs, weights).collect()) == list(range(2_100))
+
+
 def test_mix_of_odd_tables(odd, none):
     out = mixing.mix_sources(odd)
     assert out.count() == len(ODD) and out.columns[:len(odd.columns)] == odd.columns
