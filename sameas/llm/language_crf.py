@@ -18,7 +18,10 @@ and memory are linear in the words of a text of any length.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
+from functools import cache
+from unicodedata import category
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -37,24 +40,43 @@ EDGES = (1, 2, 3, 4)      # bytes of beginnings and endings
 GRAMS = (2, 3, 4)
 UNKNOWN = "und"
 
-_LETTER = np.zeros(256, bool)
-_LETTER[97:123] = _LETTER[128:] = True
-_LETTER[39] = False
+_LETTER = np.zeros(128, bool)
+_LETTER[97:123] = True
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """2 for every code point that is a letter, 1 for a mark, else 0."""
+    return np.array([{"L": 2, "M": 1}.get(category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)], np.uint8)
+
+
+def letter_kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of its code point at every byte of lower-cased UTF-8."""
+    out = np.zeros(len(data), np.uint8)
+    plain = data < 128
+    out[plain] = _LETTER[data[plain]] * np.uint8(2)
+    lead = np.flatnonzero(data >= 0xC0)
+    size = 2 + (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0)
+    lead, size = lead[lead + size <= len(data)], size[lead + size <= len(data)]
+    code = data[lead].astype(np.int64) & (0x7F >> size)
+    for i in range(1, 4):
+        on = size > i
+        code[on] = code[on] << 6 | (data[lead[on] + i] & 0x3F)
+    kind = _kinds()[np.minimum(code, sys.maxunicode)]
+    for i in range(4):
+        on = size > i
+        out[lead[on] + i] = kind[on]
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of letters of lower-cased text; bytes beyond ASCII count as letters
-    except the two-byte signs below U+00C0 and the punctuation block of U+2000."""
-    inside = _LETTER[data]
-    if len(data) > 1:
-        sign = data[:-1] == 0xC2
-        inside[:-1] &= ~sign
-        inside[1:] &= ~sign
-    if len(data) > 2:
-        sign = (data[:-2] == 0xE2) & ((data[1:-1] == 0x80) | (data[1:-1] == 0x81))
-        for shift in range(3):
-            inside[shift:len(data) - 2 + shift] &= ~sign
-    return spans(inside, offsets)
+    """Runs of letters, with their marks, of lower-cased text; letters are the code
+    points of Unicode category L. A run without a letter is no word."""
+    kinds = letter_kinds(data)
+    starts, ends = spans(kinds > 0, offsets)
+    letters = np.r_[0, np.cumsum(kinds == 2)]
+    kept = letters[ends] > letters[starts]
+    return starts[kept], ends[kept]
 
 
 def word_features(spell: SpanHash, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

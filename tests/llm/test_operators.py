@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -183,6 +184,16 @@ def test_language_odd_tables_and_switches(spark, odd, none, real):
     assert row["runs"][0]["first"] < row["runs"][0]["end"] <= row["runs"][-1]["first"]
 
 
+def test_only_letters_are_words():
+    texts = ["😀🎉", "→✓€", "。、「」", "１２３", "٣٤٥", "ª", "µº", "é", "漢字。かな", "हिन्दी भाषा", "\u0301", "ab1c x", "×÷ ß", ""]
+    data, offsets = packing.pack(pa.array(texts))
+    starts, ends = language_crf.word_spans(data, offsets)
+    words = [[] for _ in texts]
+    for row, a, b in zip(packing.row_of(offsets, starts), starts, ends):
+        words[row].append(data[a:b].tobytes().decode())
+    assert words == [[], [], [], [], [], ["ª"], ["µº"], ["é"], ["漢字", "かな"], ["हिन्दी", "भाषा"], [], ["ab", "c", "x"], ["ß"], []]
+
+
 def test_forward_backward_equals_the_plain_one():
     rng = np.random.default_rng(0)
     model = language_crf.LanguageModel(["a", "b", "c"], None, rng.normal(size=(3, 3)), np.zeros(3))
