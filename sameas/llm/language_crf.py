@@ -38,6 +38,7 @@ BATCH = 64                # sequences
 STRIP = 64
 EDGES = (1, 2, 3, 4)      # bytes of beginnings and endings
 GRAMS = (2, 3, 4)
+LONGEST = 32              # bytes of a word at most; longer runs of letters are several words
 UNKNOWN = "und"
 
 _LETTER = np.zeros(128, bool)
@@ -76,12 +77,24 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, ends = spans(kinds > 0, offsets)
     letters = np.r_[0, np.cumsum(kinds == 2)]
     kept = letters[ends] > letters[starts]
-    return starts[kept], ends[kept]
+    return cut_runs(data, starts[kept], ends[kept])
+
+
+def cut_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of over LONGEST bytes cut into like parts, each at the start of a code point."""
+    parts = -(-(ends - starts) // (LONGEST - 3))        # moving a cut lengthens a part by up to 3 bytes
+    parts[ends - starts <= LONGEST] = 1
+    run = np.repeat(np.arange(len(starts)), parts)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = starts[run] + nth * (ends - starts)[run] // parts[run]
+    for _ in range(3):
+        begin -= (nth > 0) & (data[begin] & 0xC0 == 0x80)
+    last = np.r_[run[1:] != run[:-1], True] if len(run) else np.zeros(0, bool)
+    return begin, np.where(last, ends[run], np.r_[begin[1:], 0] if len(run) else begin)
 
 
 def word_features(spell: SpanHash, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, word of each), ordered by word. Words of over 32 bytes give the
-    n-grams of their first and last 16."""
+    """(buckets, word of each), ordered by word, over all bytes of every word."""
     size = ends - starts
     number = np.arange(len(starts))
     parts = [(number, spell(starts, ends), 0)]
@@ -90,10 +103,10 @@ def word_features(spell: SpanHash, starts: np.ndarray, ends: np.ndarray) -> tupl
         parts.append((number[has], spell(starts[has], starts[has] + n), 10 + n))
         parts.append((number[has], spell(ends[has] - n, ends[has]), 20 + n))
     for n in GRAMS:
-        count = np.clip(size - n + 1, 0, 32)
+        count = np.maximum(size - n + 1, 0)
         word = np.repeat(number, count)
         inner = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
-        place = np.where(inner < 16, starts[word] + inner, ends[word] - n - (count[word] - 1 - inner))
+        place = starts[word] + inner
         parts.append((word, spell(place, place + n), 30 + n))
     words = np.concatenate([p[0] for p in parts])
     with np.errstate(over="ignore"):

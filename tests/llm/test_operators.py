@@ -194,6 +194,20 @@ def test_only_letters_are_words():
     assert words == [[], [], [], [], [], ["ª"], ["µº"], ["é"], ["漢字", "かな"], ["हिन्दी", "भाषा"], [], ["ab", "c", "x"], ["ß"], []]
 
 
+def test_long_runs_are_read_whole():
+    texts = ["漢字" * 500, "x" * 32, "é" + "x" * 32, "a" * 33 + "。" + "한국어" * 20, "ab"]
+    data, offsets = packing.pack(pa.array(texts))
+    starts, ends = language_crf.word_spans(data, offsets)
+    words = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    assert b"".join(words).decode() == "".join(texts).replace("。", "") and max(map(len, words)) <= 32
+    assert all(w.decode() for w in words) and b"x" * 32 in words
+    spell = packing.SpanHash(data)
+    _, of = language_crf.word_features(spell, starts, ends)
+    grams = sum(max(0, len(w) - n + 1) for w in words for n in (2, 3, 4))
+    edges = sum(2 * (len(w) > n) for w in words for n in (1, 2, 3, 4))
+    assert len(of) == len(words) + grams + edges
+
+
 def test_forward_backward_equals_the_plain_one():
     rng = np.random.default_rng(0)
     model = language_crf.LanguageModel(["a", "b", "c"], None, rng.normal(size=(3, 3)), np.zeros(3))
