@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sameas.llm import (byte_bpe, embedding_dedup, language_crf, line_dedup, lz_fingerprint, mixing, quality, simhash,
-                        token_counts, toxicity)
+from sameas.llm import (byte_bpe, conversation_repair, embedding_dedup, impact_search, language_crf, line_dedup, lz_fingerprint,
+                        mixing, quality, simhash, spelling, token_counts, toxicity)
 from sameas.llm.packing import fold_of
 
 
@@ -68,9 +68,22 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_matches(table(spark, sf_dir, "embeddings"), queries="id % 50 = 0", k=5)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_toxicity, op3_token_counts, op4_language, op5_line_dedup, op6_simhash,
-                            op7_byte_bpe, op8_mixing, op9_embedding_dedup, op10_lz_fingerprint)}
+                            op7_byte_bpe, op8_mixing, op9_embedding_dedup, op10_lz_fingerprint, op11_impact_search, op12_spelling,
+                            op13_conversation_repair)}
 
 BARE = "trim(x, ' ' || chr(9) || chr(13))"
 ORACLE: dict[str, str] = {
@@ -84,6 +97,15 @@ bad AS (SELECT c.source, list(c.line) AS bad FROM c JOIN n ON c.source = n.sourc
 f AS (SELECT d.*, bad, list_filter(ls, lambda x: NOT list_contains(bad, {BARE})) AS kept FROM d LEFT JOIN bad ON d.source = bad.source)
 SELECT doc_id, source, CASE WHEN bad IS NULL OR text IS NULL THEN text ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text,
   CAST(CASE WHEN bad IS NULL OR text IS NULL THEN 0 ELSE len(ls) - len(kept) END AS BIGINT) AS lines_dropped FROM f
+""",
+    "op11_impact_search": """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(256 * CAST(x AS DOUBLE)))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum([coalesce(x[1] * x[2], 0) FOR x IN list_zip(q.e, c.e)]), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op8_mixing": f"""
 WITH RECURSIVE s AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 0.5) AS w FROM documents GROUP BY source),
