@@ -1,8 +1,7 @@
 import corpus_pipeline
-import numpy as np
-from pyspark.sql import functions as F
+from test_near_copies import plain_groups
 
-from sameas.llm import byte_bpe, mixing, simhash
+from sameas.llm import byte_bpe, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,8 +21,8 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert after.count() < before.count()
     assert after.join(labels.filter("quality = 1"), "doc_id").count() >= 0.95 * before.join(labels.filter("quality = 1"), "doc_id").count()
     before, after = seen["near_copies"]
-    groups = simhash.simhash_groups(before, bits=corpus_pipeline.NEAR_BITS)
-    assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted(r[0] for r in groups.select("component_id").distinct().collect())
+    groups = plain_groups({r["doc_id"]: r["text"] for r in before.select("doc_id", "text").collect()})
+    assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted(set(groups.values()))
     before, after = seen["mix"]
     order = mixing.mix_sources(before).orderBy("mix_slot", "mix_row").select("doc_id").collect()
     files = sorted((tmp_path / "mix").glob("*.parquet"))
