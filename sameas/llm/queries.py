@@ -109,28 +109,34 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op8_mixing": f"""
 WITH RECURSIVE s AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 0.5) AS w FROM documents GROUP BY source),
-q AS (SELECT source, w / sum(w) OVER (ORDER BY source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
-  * {mixing.PERIOD} AS quota FROM s),
-l AS (SELECT source, quota, greatest(floor(quota), 1) AS low FROM q),
-r AS (SELECT source, low, {mixing.PERIOD} - sum(low) OVER () AS rest,
-  row_number() OVER (ORDER BY quota - low DESC, source NULLS FIRST) AS by_rest,
-  row_number() OVER (ORDER BY low DESC, source NULLS FIRST) AS by_size FROM l),
-a AS (SELECT source, CAST(low + CASE WHEN by_rest <= rest THEN 1 WHEN by_size <= -rest THEN -1 ELSE 0 END AS BIGINT) AS share,
-  row_number() OVER (ORDER BY source NULLS FIRST) AS place FROM r),
-al AS (SELECT list(share ORDER BY place) AS shares FROM a),
+u AS (SELECT source, (n + {mixing.BLOCK_ROWS - 1}) // {mixing.BLOCK_ROWS} AS blocks, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place,
+  greatest(1, CAST(floor(w / max(w) OVER () * {mixing.UNITS} / count(*) OVER () + 0.5) AS BIGINT)) AS units FROM s),
+t AS (SELECT CAST(sum(units) AS HUGEINT) AS total, CAST(greatest({mixing.PERIOD}, count(*)) AS HUGEINT) AS p FROM u),
+m AS (SELECT CAST(max((blocks * total + units * p - 1) // (units * p)) AS BIGINT) AS periods FROM u, t),
+b AS (SELECT k, place, units, blocks, (k * p * units) // total AS low, (k * p * units) % total AS rest, p
+  FROM u, t, (SELECT unnest(range(0, periods + 1)) AS k FROM m)),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rest DESC, place) AS nth, k * p - sum(low) OVER (PARTITION BY k) AS spare FROM b),
+q AS (SELECT k, place, units, blocks, low + CASE WHEN nth <= spare THEN 1 ELSE 0 END AS quota FROM r),
+f AS (SELECT e.k AS frame, e.place, e.units, o.quota AS first, least(e.quota, e.blocks) - o.quota AS n,
+    o.quota * total - (e.k - 1) * p * e.units AS owed
+  FROM q e JOIN q o ON e.place = o.place AND e.k = o.k + 1, t WHERE least(e.quota, e.blocks) > o.quota),
+w AS (SELECT frame, place, first, n, [struct_pack(rel := CAST((owed + i * total - ((owed + i * total) % units + units) % units) // units AS BIGINT),
+    due := CAST((owed + (i + 1) * total + ((-owed - (i + 1) * total) % units + units) % units) // units AS BIGINT))
+    FOR i IN range(0, CAST(n AS BIGINT))] AS win FROM f, t),
+a AS (SELECT frame, list(struct_pack(place := place, first := CAST(first AS BIGINT), n := CAST(n AS BIGINT), win := win) ORDER BY place) AS src,
+  CAST(sum(n) AS BIGINT) AS every FROM w GROUP BY frame),
 step AS (
-  SELECT -1 AS slot, CAST(NULL AS BIGINT) AS place, [CAST(0 AS BIGINT) FOR x IN shares] AS done, shares FROM al
+  SELECT frame, src, every, CAST(-1 AS BIGINT) AS slot, [CAST(0 AS BIGINT) FOR x IN src] AS done, CAST(NULL AS BIGINT) AS pick FROM a
   UNION ALL
-  SELECT slot + 1, pick, [done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END FOR i IN range(1, len(shares) + 1)], shares
-  FROM (SELECT slot, done, shares, list_min([CASE WHEN done[i] < shares[i] AND (done[i] * {mixing.PERIOD}) // shares[i] <= slot + 1
-      THEN (((done[i] + 1) * {mixing.PERIOD} + shares[i] - 1) // shares[i]) * 100000 + i END FOR i IN range(1, len(shares) + 1)]) % 100000 AS pick
-    FROM step WHERE slot < {mixing.PERIOD} - 1)),
-t AS (SELECT place, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS turn FROM step WHERE slot >= 0),
+  SELECT frame, src, every, slot + 1, [done[i] + CASE WHEN i = go THEN 1 ELSE 0 END FOR i IN range(1, len(src) + 1)], go
+  FROM (SELECT *, CASE WHEN best.early = 0 OR every - list_sum(done) >= p - (slot + 1) THEN best.i END AS go
+    FROM (SELECT *, list_min([CASE WHEN done[i] < src[i].n THEN struct_pack(early := CASE WHEN src[i].win[done[i] + 1].rel > slot + 1 THEN 1 ELSE 0 END,
+        due := src[i].win[done[i] + 1].due, i := i) END FOR i IN range(1, len(src) + 1)]) AS best FROM step, t WHERE slot < p - 1))),
+g AS (SELECT src[pick].place AS place, src[pick].first + done[pick] - 1 AS block, CAST((frame - 1) * p + slot AS BIGINT) AS mix_slot
+  FROM step, t WHERE pick IS NOT NULL),
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS num
-  FROM documents),
-b AS (SELECT d.*, num // {mixing.BLOCK_ROWS} AS block, a.place, a.share FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source)
-SELECT b.doc_id, b.source, CAST(block AS BIGINT) AS mix_block, CAST((block // share) * {mixing.PERIOD} + t.slot AS BIGINT) AS mix_slot,
-  CAST(num % {mixing.BLOCK_ROWS} AS BIGINT) AS mix_row
-FROM b JOIN t ON b.place = t.place AND block % share = t.turn
+  FROM documents)
+SELECT d.doc_id, d.source, CAST(num // {mixing.BLOCK_ROWS} AS BIGINT) AS mix_block, g.mix_slot, CAST(num % {mixing.BLOCK_ROWS} AS BIGINT) AS mix_row
+FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN g ON g.place = u.place AND g.block = num // {mixing.BLOCK_ROWS}
 """,
 }

@@ -231,7 +231,8 @@ def test_forward_backward_equals_the_plain_one():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DOCS}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DOCS}/{table}.parquet'")
     result = con.execute(queries.ORACLE[name])
     columns = [d[0] for d in result.description]
     assert sorted(map(tuple, queries.QUERIES[name](spark, DOCS).select(*columns).collect())) == sorted(result.fetchall())
@@ -261,14 +262,36 @@ def test_mix_is_within_a_block(spark):
         assert abs(lag).max() < 1
 
 
-@pytest.mark.parametrize("sizes", [[10_000_000] + [1] * 99, [3_000_000] + [100_000] * 8 + [3] * 120, [1_000_000] + [1] * 400])
-def test_every_source_has_a_share(spark, sizes):
-    table = spark.createDataFrame([(f"s{i:03}", n) for i, n in enumerate(sizes)], "src string, n bigint")
-    shares = {r["src"]: r["share"] for r in mixing.target_shares(table, 1000, 0.5).collect()}
-    assert sum(shares.values()) == 1000 and min(shares.values()) == 1 and len(shares) == len(sizes)
-    over = np.maximum(np.sqrt(sizes) / np.sqrt(sizes).sum() * 1000 - 1, 0)
-    dealt = 1 + over / over.sum() * (1000 - len(sizes))
-    assert max(abs(shares[f"s{i:03}"] - d) for i, d in enumerate(dealt)) < 1
+def furthest(out, weights):
+    """Largest distance of any source from its exact share, until the first one runs out."""
+    slots = out.select("source", "mix_slot").distinct().toPandas().sort_values("mix_slot")
+    total, until = sum(weights.values()), slots.groupby("source")["mix_slot"].max().min()
+    slots = slots[slots["mix_slot"] <= until]
+    assert slots["mix_slot"].tolist() == list(range(until + 1))
+    steps = np.arange(1, until + 2)
+    return max(abs((slots["source"] == s).cumsum().to_numpy() - w / total * steps).max() for s, w in weights.items()), until
+
+
+@pytest.mark.parametrize("weights,rows,given", [
+    ({"a": 1.0, "b": 1.0, "c": 1.0}, 20_500, True), ({"a": 3**0.5, "b": 2**0.5, "c": 1.0}, 9_000, True), ({"a": 1.0, "b": 1.0, "c": 1.0}, 20_500, False),
+    ({f"s{i:03}": 1.0 + i % 7 for i in range(600)}, 8, True), ({f"s{i:03}": 1.0 for i in range(600)}, 8, False),
+    ({**{f"f{i}": 10.0 for i in range(5)}, **{f"s{i}": 1.0 for i in range(50)}}, 1000, True)])
+def test_mix_follows_true_weights_over_many_periods(spark, weights, rows, given):
+    names = F.array(*[F.lit(s) for s in weights])
+    docs = spark.range(len(weights) * rows).select(F.col("id").alias("doc_id"), F.get(names, (F.col("id") % len(weights)).cast("int")).alias("source"))
+    table = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    out = mixing.mix_sources(docs, table if given else None, block_rows=4 if rows > 8 else 1).cache()
+    distance, slots = furthest(out, weights)
+    assert distance < 1 and slots > 0
+    assert out.select("doc_id").distinct().count() == docs.count() == out.count()
+    out.unpersist()
+
+
+def test_mix_names_sources_without_a_weight(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id int, source string")
+    for rows in ([("a", 1.0), ("b", 2.0)], [("a", 1.0), ("b", 0.0), (None, 1.0)], [("a", 1.0), ("a", 1.0), ("b", 1.0), (None, 1.0)]):
+        with pytest.raises(ValueError, match="weight above 0"):
+            mixing.mix_sources(docs, spark.createDataFrame(rows, "source string, weight double"))
 
 
 def test_mix_keeps_all_rows_of_a_skewed_table(spark):
