@@ -390,6 +390,44 @@ def test_embedding_links_against_brute_force(spark):
     assert embedding_dedup.embedding_groups(table.filter("false")).collect() == []
 
 
+def test_embeddings_of_any_length_and_scale(spark):
+    rng = np.random.default_rng(4)
+    vectors = [rng.normal(size=w) for w in (1, 1, 2, 2, 3, 5, 8, 8, 30) for _ in range(6)]
+    vectors += [v * f for v in vectors[::2] for f in (1e200, 1e-200, -1e-300, 3.0)] + [[1e-200, 1e-200], [1e200, 1e200], [5e-324], [-1.0]]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    unit = [np.array(v) / np.abs(v).max() for _, v in rows]
+    unit = [v / np.linalg.norm(v) for v in unit]
+    near = [(i, j) for i, a in enumerate(unit) for j, b in enumerate(unit) if i != j and len(a) == len(b) and a @ b >= 0.95]
+    root = plain_groups(range(len(rows)), near)
+    for i in range(len(rows)):
+        assert got[i]["n_links"] == sum(a == i for a, _ in near) and got[i]["component_id"] == root[i] and got[i]["kept"] == (root[i] == i)
+
+
+def test_cells_come_by_rising_distance():
+    rng = np.random.default_rng(5)
+    for one, two, margin in [(np.sort(rng.random(9)), np.sort(rng.random(7)), 1.1), ([0.0] * 5, [0.0] * 4, 0.0), ([0.0], [0.0, 2.0], 1.0), ([], [0.0], 1.0)]:
+        found = list(embedding_dedup.frontier(list(one), list(two), margin))
+        sums = [one[i] + two[j] for i, j in found]
+        assert sums == sorted(sums) and set(found) == {(i, j) for i in range(len(one)) for j in range(len(two)) if one[i] + two[j] <= margin}
+
+
+@pytest.mark.parametrize("rows", [48, 1024])
+def test_tiles_of_crowded_cells(spark, monkeypatch, rows):
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", rows)
+    monkeypatch.setattr(embedding_dedup, "TILE_ROWS", 64)
+    rng = np.random.default_rng(6)
+    m = np.concatenate([rng.normal(size=8) + 0.2 * rng.normal(size=(300, 8)), rng.normal(size=(700, 8))])
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id bigint, embedding array<float>")
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_groups(table).collect()}
+    m = m.astype(np.float32).astype(float)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    counts = np.array([got[i]["n_links"] for i in range(len(m))])
+    assert (counts <= near.sum(axis=1)).all() and counts.sum() >= 0.95 * near.sum()
+
+
 # 10 --------------------------------------------------------------------------
 
 def plain_phrases(text):
