@@ -6,14 +6,17 @@ them. Weights are count * (ln((1+n)/(1+df)) + 1), rows have unit length.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sameas.functions.text import text_fingerprint, tokens
 from sameas.operators.copies import nearest_by_value, top_k
 from sameas.session import cut_lineage
 
 SEED_WIDTH = 4            # first look: postings read per wanted neighbour
-PART_ROWS = 4096          # rows of a token on one side of a join group
+BLOCK_ROWS = 256          # postings of a block, about
+PART_ROWS = 4096          # A rows of a token that meet a block in one task, about
+LEVELS = 40               # half octaves of weight in which postings are kept
+VOCABULARY = 200_000      # tokens sent to every task at most; more are joined
 SLACK = 1e-7              # room for rounding in every pruning bound
 
 
@@ -29,16 +32,19 @@ def term_counts(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
 
 
 def inverse_frequencies(terms: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(token, idf) over a corpus whose rows may have copies: `corpus` is every
-    row (fp), `terms` the counts of one row per fp with its number of copies."""
+    """(token, idf, term) over a corpus whose rows may have copies: `corpus` is every
+    row (fp), `terms` the counts of one row per fp with its number of copies. `term`
+    numbers the tokens, so that no later step moves or sorts their text."""
     n = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return terms.groupBy("token").agg(F.sum("copies").alias("df")).select(
+    found = terms.groupBy("token").agg(F.sum("copies").alias("df")).select(
         "token", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    return cut_lineage(found.withColumn("term", F.monotonically_increasing_id()))
 
 
-def raw_weights(terms: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, token, w) before scaling; tokens outside the vocabulary are dropped."""
-    return terms.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
+def raw_weights(terms: DataFrame, idf: DataFrame, small: bool = False) -> DataFrame:
+    """(id, term, w) before scaling; tokens outside the vocabulary are dropped. A
+    vocabulary known to be `small` goes to the rows, which then stay where their id is."""
+    return terms.join(F.broadcast(idf) if small else idf, "token").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def unit_weights(raw: DataFrame) -> DataFrame:
@@ -58,86 +64,102 @@ def tfidf_vectors(a: DataFrame, b: DataFrame, corpus: DataFrame | None = None,
         copies = a.select("id", "fp").join(corpus.groupBy("fp").agg(F.count(F.lit(1)).alias("copies")), "fp")
         counted = terms_a.join(copies.select("id", "copies"), "id")
     idf = inverse_frequencies(counted, corpus)
-    raw_a = raw_weights(terms_a, idf)
-    return unit_weights(raw_a), raw_a if same_table else raw_weights(term_counts(b), idf)
-
-
-def _joinable(wa: DataFrame, wb: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A's and B's weights of shared tokens with what a join on tokens needs:
-    `postings` (B rows of the token) and into how many parts each side's rows of
-    it are cut. A part holds about PART_ROWS rows, so a token that sits in every
-    text meets in many tasks of bounded size."""
-    count = lambda df, name: df.groupBy("token").agg(F.count(F.lit(1)).alias(name))
-    shared = cut_lineage(count(wa, "readers").join(count(wb, "postings"), "token"))
-    parts = lambda n: F.ceil(F.col(n) / PART_ROWS).cast("int")
-    left = wa.join(shared, "token").select(F.col("id").alias("a_id"), "token", F.col("w").alias("wa"), "postings",
-                                           parts("readers").alias("parts_a"), parts("postings").alias("parts_b"))
-    right = wb.join(shared, "token").select(F.col("id").alias("b_id"), "token", F.col("w").alias("wb"),
-                                            parts("readers").alias("parts_a"), parts("postings").alias("parts_b"))
-    return left, right
-
-
-def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a_id, b_id, sum of wa * wb) over the tokens in both; every part of a
-    token's A rows meets every part of its B rows once."""
-    part = lambda key, parts: F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
-    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    cut_a = left.select("a_id", "token", "wa", part("a_id", "parts_a").alias("pa"), each("parts_b").alias("pb"))
-    cut_b = right.select("b_id", "token", "wb", part("b_id", "parts_b").alias("pb"), each("parts_a").alias("pa"))
-    return cut_a.join(cut_b, ["token", "pa", "pb"]).groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    small = idf.count() <= VOCABULARY
+    raw_a = raw_weights(terms_a, idf, small)
+    return unit_weights(raw_a), raw_a if same_table else raw_weights(term_counts(b), idf, small)
+
+
+def _posting_lists(wa: DataFrame, wb: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lists, blocks) of the terms in both tables.
+
+    lists: term, how many B rows hold it and, level by level of their weights, how many and the largest.
+    blocks: (term, level, block, pa, held): the postings (b_id, wb) in arrays of about
+    BLOCK_ROWS of one level. For a term that many A rows read, each block stands
+    there once for every part `pa` of them, so no meeting is large.
+    """
+    level = F.least(F.floor(-2 * F.log2("w")), F.lit(LEVELS)).cast("int")
+    levelled = wb.withColumn("level", F.greatest(level, F.lit(0)))
+    readers = wa.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts_a"))
+    counts = levelled.groupBy("term", "level").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("top"))
+    lists = cut_lineage(counts.groupBy("term").agg(
+        F.sum("n").alias("postings"), F.array_sort(F.collect_list(F.struct("level", "n", "top"))).alias("levels")).join(readers, "term"))
+    small = lists.count() <= VOCABULARY
+    n = F.filter("levels", lambda x: x["level"] == F.col("level"))[0]["n"]
+    block = F.pmod(F.xxhash64("id"), F.ceil(n / BLOCK_ROWS)).cast("int")
+    dealt = levelled.join(F.broadcast(lists) if small else lists, "term").select("term", "level", block.alias("block"), "parts_a", "id", "w")
+    blocks = dealt.groupBy("term", "level", "block", "parts_a").agg(F.collect_list(F.struct(F.col("id").alias("b_id"), F.col("w").alias("wb"))).alias("held"))
+    return lists, blocks.select("term", "level", "block", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)).alias("pa"), "held")
+
+
+def _entries(wa: DataFrame, lists: DataFrame) -> DataFrame:
+    """What each A row can read: (a_id, term, level, wa, n, gain, best, pa). A posting of the
+    entry adds `gain` at most; a partner first met here, its rarest shared term, scores `best` at most."""
+    rare_first = Window.partitionBy("a_id").orderBy(F.col("postings").desc(), F.col("term").desc())
+    behind = F.sum(F.col("wa") * F.col("wa")).over(rare_first.rowsBetween(Window.unboundedPreceding, -1))
+    known = wa.join(lists, "term").select(F.col("id").alias("a_id"), "term", F.col("w").alias("wa"), "postings", "levels", "parts_a")
+    listed = known.withColumn("tail", F.sqrt(F.coalesce(behind, F.lit(0.0)))).withColumn("x", F.explode("levels"))
+    gain = F.col("wa") * F.col("x.top")
+    return listed.select("a_id", "term", "x.level", "wa", "x.n", gain.alias("gain"), (gain + F.col("tail")).alias("best"),
+                         F.pmod(F.xxhash64("a_id"), "parts_a").cast("int").alias("pa"))
+
+
+def _read(entries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(a_id, b_id, dot) over the postings of (a_id, term, level, block, pa, wa)."""
+    met = entries.join(blocks, ["term", "level", "block", "pa"]).select("a_id", "wa", F.inline("held"))
+    return met.groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+
+
+def _kth(scored: DataFrame, k: int, name: str) -> DataFrame:
+    return top_k(scored.withColumnRenamed("dot", "score"), k).filter(F.col("rank") == k).select("a_id", F.col("score").alias(name))
 
 
 def similarities(wa: DataFrame, wb: DataFrame, k: int) -> DataFrame:
-    """A superset of the k best pairs per a_id with exact scores, without joining
-    on frequent tokens where they cannot matter.
-
-    The heaviest postings of a row's rarest tokens are its first partners, and the
-    k-th score among them is a floor for its final list. Tokens are then left out
-    from the frequent end while the length of the part left out stays below the
-    floor: a partner sharing only those scores at most that length, so it cannot
-    enter the list. Partners that can still reach the floor are completed with the
-    tokens left out. A row leaves tokens out only where reading their postings
-    would cost more than completing its partners.
+    """A superset of the k best pairs per a_id with exact scores, without reading
+    postings that cannot matter.
+
+    Postings lie in blocks of one token and level of weight, whose largest weight is
+    known. A row first reads the blocks that can give it most; the k-th sum found is a floor for
+    its list, since weights only add. Then it reads a block only if a partner first met there,
+    with the block's largest weight and all that the row's more frequent tokens can add,
+    reaches the floor. The sums give a higher floor; partners that can still reach it
+    with what was not read are completed. A row reads all where that costs less
+    than completing partners.
     """
     looked = SEED_WIDTH * k
-    left, right = _joinable(wa, wb)
-    right = cut_lineage(right)
-    rare_first = Window.partitionBy("a_id").orderBy("postings", "token")
-    frequent_first = Window.partitionBy("a_id").orderBy(F.col("postings").desc(), F.col("token").desc())
-    so_far = lambda c: F.sum(c).over(rare_first.rowsBetween(Window.unboundedPreceding, 0))
-    from_here = lambda c: F.sum(c).over(frequent_first.rowsBetween(Window.unboundedPreceding, 0))
-    listed = cut_lineage(left.select(
-        "*", (so_far(F.least("postings", F.lit(looked))) - F.least("postings", F.lit(looked))).alias("looks"),
-        (so_far("postings") - F.col("postings")).alias("reads"), from_here("postings").alias("reads_left"),
-        from_here(F.lit(1)).alias("tokens_left"), F.sqrt(from_here(F.col("wa") * F.col("wa"))).alias("tail")))
-
-    heaviest = Window.partitionBy("token").orderBy(F.col("wb").desc(), "b_id")
-    heads = right.withColumn("n", F.row_number().over(heaviest)).filter(F.col("n") <= looked).select("token", "b_id")
-    first_pairs = listed.filter(F.col("looks") < looked).select("a_id", "token").join(heads, "token").select("a_id", "b_id").distinct()
-    first_scores = (
-        first_pairs.join(listed.select("a_id", "token", "wa"), "a_id").join(right.select("b_id", "token", "wb"), ["b_id", "token"])
-        .groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
-    )
-    floor = top_k(first_scores, k).filter(F.col("rank") == k).select("a_id", F.col("score").alias("floor"))
-
-    out_of_reach = F.col("tail") < F.col("floor") - SLACK
-    dear = F.col("reads_left") > F.col("reads") * F.col("tokens_left")
-    begin = listed.join(floor, "a_id").filter(out_of_reach).withColumn(
-        "n", F.row_number().over(rare_first)).filter("n = 1").filter(dear)
-    cuts = cut_lineage(begin.select("a_id", "floor", F.col("tail").alias("rest")))
-    judged = listed.join(cuts, "a_id", "left").withColumn("kept", F.col("rest").isNull() | (F.col("tail") > F.col("rest")))
-    met = (
-        _meet(judged.filter("kept"), right).join(cuts, "a_id", "left")
-        .filter(F.col("rest").isNull() | (F.col("dot") + F.col("rest") >= F.col("floor") - SLACK))
-    )
-    partial = cut_lineage(met.select("a_id", "b_id", "dot", F.col("rest").isNotNull().alias("open")))
+    lists, blocks = _posting_lists(wa, wb)
+    blocks = cut_lineage(blocks)
+    entries = cut_lineage(_entries(wa, lists))
+    by_gain = Window.partitionBy("a_id").orderBy(F.desc("gain"), "term", "level")
+    size = F.least("n", F.lit(BLOCK_ROWS))
+    first = entries.withColumn("before", F.sum(size).over(by_gain.rowsBetween(Window.unboundedPreceding, 0)) - size).filter(F.col("before") < looked)
+    floor = _kth(_read(first.withColumn("block", F.lit(0)), blocks), k, "floor")
+
+    # without a floor everything is read
+    reach = F.col("floor").isNull() | (F.col("best") >= F.col("floor") - SLACK)
+    rated = entries.join(floor, "a_id", "left").withColumn("reach", reach)
+    here = Window.partitionBy("a_id")
+    over = lambda value: F.sum(F.when(F.col("reach"), 0).otherwise(value)).over(here)
+    cheap = over(F.col("n")) <= F.sum(F.when(F.col("reach"), F.col("n")).otherwise(0)).over(here) * over(F.lit(1))
+    judged = cut_lineage(rated.withColumn("kept", F.col("reach") | cheap).drop("reach"))
+    every = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK_ROWS).cast("int") - 1))
+    met = _read(judged.filter("kept").withColumn("block", every), blocks)
+    skipped = judged.filter(~F.col("kept"))
+    # a token adds its largest weight left out at most, all of them their length
+    rest = skipped.groupBy("a_id", "term").agg(F.max("gain").alias("gain"), F.first("wa").alias("wa")).groupBy("a_id").agg(
+        F.least(F.sum("gain"), F.sqrt(F.sum(F.col("wa") * F.col("wa")))).alias("rest"))
+    if skipped.isEmpty():
+        return met.withColumnRenamed("dot", "score")
+    partial = cut_lineage(met.join(rest, "a_id", "left"))
+    risen = _kth(partial.select("a_id", "b_id", "dot"), k, "risen")
+    able = partial.join(risen, "a_id", "left").filter(
+        F.col("rest").isNull() | F.col("risen").isNull() | (F.col("dot") + F.col("rest") >= F.col("risen") - SLACK))
+    one = blocks.filter("pa = 0").select("term", "level", F.inline("held"))
     more = (
-        partial.filter("open").select("a_id", "b_id")
-        .join(judged.filter(~F.col("kept")).select("a_id", "token", "wa"), "a_id")
-        .join(right.select("b_id", "token", "wb"), ["b_id", "token"])
+        able.filter(F.col("rest").isNotNull()).select("a_id", "b_id")
+        .join(skipped.select("a_id", "term", "level", "wa"), "a_id").join(one, ["b_id", "term", "level"])
         .groupBy("a_id", "b_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("more"))
     )
-    return partial.join(more, ["a_id", "b_id"], "left").select(
+    return able.join(more, ["a_id", "b_id"], "left").select(
         "a_id", "b_id", (F.col("dot") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 

@@ -20,7 +20,7 @@ from sameas.operators.sampling import hashed_split
 from sameas.operators.serialize import serialize
 
 SENTENCE_BREAK = "[.\n]+"
-SENTENCE_LENGTH = 40
+SENTENCE_ROWS = 4096       # documents of a sentence that meet its passages in one task, about
 
 
 class Tasks:
@@ -106,9 +106,15 @@ class Tasks:
     def gold_passages(self) -> DataFrame:
         def sentences(df: DataFrame, name: str) -> DataFrame:
             parts = df.select(F.col("id").alias(name), F.explode(F.split("text", SENTENCE_BREAK)).alias("s"))
-            return parts.select(name, F.trim("s").alias("s")).filter(F.length("s") >= SENTENCE_LENGTH).distinct()
-
-        shared = sentences(self.passages, "a_id").join(sentences(self.documents, "b_id"), "s")
+            return parts.select(name, F.trim("s").alias("s")).filter(F.col("s") != "").distinct()
+
+        # documents that hold a sentence of many are dealt to parts, its passages go to every part
+        passages, documents = sentences(self.passages, "a_id"), sentences(self.documents, "b_id")
+        wanted = documents.join(passages.select("s").distinct(), "s", "left_semi")
+        parts = wanted.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / SENTENCE_ROWS).cast("int").alias("parts"))
+        left = passages.join(parts, "s").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = wanted.join(parts, "s").withColumn("part", F.pmod(F.xxhash64("b_id"), "parts").cast("int"))
+        shared = left.join(right, ["s", "part"])
         return shared.select("a_id", "b_id").distinct().select("a_id", "b_id", F.lit(1).alias("matching"))
 
     @cached_property
@@ -180,8 +186,8 @@ gold_products AS (SELECT a_id, b_id, matching, {hashed_split_sql()} AS split FRO
     "strong_trades": "strong_trades AS (SELECT a_id, b_id FROM trades WHERE strong)",
     "passages": "passages AS (SELECT item_id AS id, text FROM benchmark)",
     "docs": "docs AS (SELECT doc_id AS id, text FROM documents)",
-    "gold_passages": f"""sentences_a AS (SELECT DISTINCT id, trim(s) AS s FROM (SELECT item_id AS id, unnest(regexp_split_to_array(text, '[.\\n]+')) AS s FROM benchmark) WHERE length(trim(s)) >= {SENTENCE_LENGTH}),
-sentences_b AS (SELECT DISTINCT id, trim(s) AS s FROM (SELECT doc_id AS id, unnest(regexp_split_to_array(text, '[.\\n]+')) AS s FROM documents) WHERE length(trim(s)) >= {SENTENCE_LENGTH}),
+    "gold_passages": """sentences_a AS (SELECT DISTINCT id, trim(s) AS s FROM (SELECT item_id AS id, unnest(regexp_split_to_array(text, '[.\\n]+')) AS s FROM benchmark) WHERE trim(s) <> ''),
+sentences_b AS (SELECT DISTINCT id, trim(s) AS s FROM (SELECT doc_id AS id, unnest(regexp_split_to_array(text, '[.\\n]+')) AS s FROM documents) WHERE trim(s) <> ''),
 gold_passages AS (SELECT DISTINCT a.id AS a_id, b.id AS b_id, 1 AS matching FROM sentences_a a JOIN sentences_b b USING (s))""",
     "gold_copies": """gold_copies AS (SELECT f.a_id, d.doc_id AS b_id, 1 AS matching FROM documents d
   JOIN (SELECT text, min(doc_id) AS a_id FROM documents GROUP BY text) f USING (text) WHERE d.doc_id <> f.a_id)""",

@@ -62,14 +62,34 @@ def test_tfidf_token_in_every_text(make, monkeypatch):
     rows = [(i, f"red steel code{i // 5} lot{i // 5} kind{i % 5}") for i in range(240)]
     df = make(rows, "id long, text string")
     assert found(knn_tfidf(df, df, 2, same_table=True)) == tfidf_by_hand(rows, rows, 2, True)
-    seen, meet = [], X._meet
-    monkeypatch.setattr(X, "_meet", lambda left, right: seen.append(left) or meet(left, right))
+    seen, read = [], X._read
+    monkeypatch.setattr(X, "_read", lambda entries, blocks: seen.append(entries) or read(entries, blocks))
     knn_tfidf(df, df, 2, same_table=True).count()
-    assert seen[0].filter("token in ('red', 'steel')").count() == 0
-    wa = make([(i, "red", 1.0) for i in range(240)], "id long, token string, w double")
-    left, right = X._joinable(wa, wa)
-    assert left.select("parts_a", "parts_b").distinct().collect() == [(8, 8)]
-    assert meet(left, right).agg(F.count("*"), F.sum("dot")).head() == (240 * 240, 240.0 * 240)
+    assert seen[1].groupBy("term").agg(F.max("n").alias("n")).filter("n >= 240").count() == 0     # red, steel
+    wa = make([(i, 5, 1.0) for i in range(240)], "id long, term long, w double")
+    lists, blocks = X._posting_lists(wa, wa)
+    assert lists.select("parts_a").distinct().collect() == [(8,)]
+    entries = X._entries(wa, lists).withColumn("block", F.lit(0))
+    assert read(entries, blocks).agg(F.count("*"), F.sum("dot")).head() == (240 * 240, 240.0 * 240)
+
+
+def test_tfidf_reads_fewer_postings_of_larger_tables(make, monkeypatch):
+    """Texts of one rare and many frequent words: the share of all postings that is read falls."""
+    monkeypatch.setattr(X, "BLOCK_ROWS", 8)
+    shares = []
+    for n in (100, 1000):
+        rng = random.Random(9)
+        rows = [(i, f"code{i // 4} code{i // 4} code{i // 4} " + " ".join(rng.choices(WORDS, k=3))) for i in range(n)]
+        df = make(rows, "id long, text string")
+        wa = X.tfidf_vectors(df, df, same_table=True)[0].cache()
+        asked, read = [], X._read
+        monkeypatch.setattr(X, "_read", lambda entries, blocks: asked.append(entries) or read(entries, blocks))
+        X.similarities(wa, wa, 3).count()
+        monkeypatch.setattr(X, "_read", read)
+        held = wa.groupBy("term").count()
+        everything = held.agg(F.sum(F.col("count") * F.col("count"))).head()[0]
+        shares.append(asked[1].dropDuplicates(["a_id", "term", "level"]).agg(F.sum("n")).head()[0] / everything)
+    assert shares[1] < shares[0] / 2, shares
 
 
 def test_tfidf_hot_copies(make):
