@@ -1,11 +1,13 @@
 """Exact k-nearest-neighbour join on dense vectors by cosine.
 
-On unit vectors d^2 = 2 - 2 cos, and d obeys the triangle inequality. Both sides
-are assigned to the nearest of a bounded number of pivots; from the cell radii
-and the cells' smallest pivot distances follows, per cell of A, a distance beyond
-which no neighbour can lie (Lu et al., PVLDB 2012). Only B cells that reach into
-it are compared, in tiles of bounded size, so that a cell holding a third of all
-rows is many tasks. Each tile keeps its k best per A row and the rest is a top-k.
+On unit vectors d^2 = 2 - 2 cos, and d obeys the triangle inequality. B lies in cells
+around about sqrt(n) pivots, which are found through a table of sqrt(pivots) upper
+ones. From its distances to pivots and the members that lie closest to them every A row has a
+distance within which its k nearest must lie (Lu et al., PVLDB 2012, there per
+cell); it visits only cells that reach into it, and whole branches of the tree
+are ruled out first. Visitors and members of a cell are compared in tiles of bounded
+size, so that a cell holding a third of all rows is many tasks. Each tile keeps its k
+best per A row and the rest is a top-k.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from sameas.functions.ordering import hash_key
 from sameas.operators.copies import SCORE_DIGITS, nearest_by_value, top_k
 from sameas.session import cut_lineage
 
-MAX_PIVOTS = 256     # pivots are sent to every task: at most 256 vectors
+CELL_ROWS = 1024     # rows wanted in a cell at least
+PIVOT_NUMBERS = 1 << 22      # components of all pivots, which every task holds: 32 MB
 TILE_ROWS = 8192     # vectors per block; a larger tile means fewer copies of each vector
 SLICE_ROWS = 1024    # rows of A multiplied at a time, so that a product stays small
 SLACK = 1e-6
@@ -33,8 +36,57 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(id, v, cell, dist): unit vector, its nearest pivot and the distance."""
+class _Tree:
+    """Pivots, each under the nearest of the upper ones, which are the first of them."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.upper = pivots[:max(1, int(np.ceil(len(pivots) ** 0.5)))]
+        above = (pivots @ self.upper.T).argmax(axis=1)
+        self.children = [np.flatnonzero(above == u) for u in range(len(self.upper))]
+        self.away = [_distance(self.upper[u:u + 1], pivots[c])[0] for u, c in enumerate(self.children)]
+
+    def nearest(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pivot, distance): the nearest one under the nearest upper one."""
+        first = (unit @ self.upper.T).argmax(axis=1)
+        cell, dist = np.zeros(len(unit), np.int64), np.zeros(len(unit))
+        for u in np.unique(first):
+            rows = np.flatnonzero(first == u)
+            apart = _distance(unit[rows], self.pivots[self.children[u]])
+            best = apart.argmin(axis=1)
+            cell[rows], dist[rows] = self.children[u][best], apart[np.arange(len(rows)), best]
+        return cell, dist
+
+    def visits(self, unit: np.ndarray, radius: np.ndarray, firsts: np.ndarray, k: int) -> list[list[int]]:
+        """Cells that can hold one of the k nearest of each row. radius is -1 for empty
+        cells; firsts are the k smallest distances of members per cell, else infinite."""
+        to_upper = _distance(unit, self.upper)
+        found = [[] for _ in range(len(unit))]
+        bound = np.full(len(unit), np.inf)
+        first = to_upper.argmin(axis=1)
+        for u in np.unique(first):
+            rows, cells = np.flatnonzero(first == u), self.children[u]
+            seen = (_distance(unit[rows], self.pivots[cells])[:, :, None] + firsts[cells][None, :, :]).reshape(len(rows), -1)
+            if seen.shape[1] >= k:
+                bound[rows] = np.partition(seen, k - 1, axis=1)[:, k - 1]
+        for u, cells in enumerate(self.children):
+            full = radius[cells] >= 0
+            if not full.any():
+                continue
+            cells, reach = cells[full], (self.away[u][full] + radius[cells[full]]).max()
+            rows = np.flatnonzero(to_upper[:, u] - reach <= bound + SLACK)
+            near = _distance(unit[rows], self.pivots[cells]) - radius[cells] <= bound[rows, None] + SLACK
+            for row, cell in zip(*np.nonzero(near)):
+                found[rows[row]].append(int(cells[cell]))
+        return found
+
+
+def _distance(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * one @ two.T, 0))
+
+
+def _placed(df: DataFrame, tree: _Tree) -> DataFrame:
+    """(id, v, cell, dist): unit vector, its pivot and the distance."""
     schema = T.StructType([T.StructField("id", df.schema["id"].dataType), T.StructField("v", T.ArrayType(T.DoubleType())),
                            T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType())])
 
@@ -43,36 +95,28 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
             if len(pdf) == 0:
                 continue
             unit = _unit(_matrix(pdf["v"]))
-            sq = 2 - 2 * unit @ pivots.T         # |x - p|^2 of unit vectors
-            cell = sq.argmin(axis=1)
-            dist = np.sqrt(np.maximum(sq[np.arange(len(cell)), cell], 0))
+            cell, dist = tree.nearest(unit)
             yield pd.DataFrame({"id": pdf["id"], "v": list(unit), "cell": cell.astype("int32"), "dist": dist})
 
     return df.select("id", "v").mapInPandas(nearest, schema)
 
 
-def _reach(cells_a: pd.DataFrame, cells_b: pd.DataFrame, firsts: dict, pivots: np.ndarray, k: int) -> list[tuple]:
-    """Surviving (cell of A, cell of B). Works on at most MAX_PIVOTS^2 cell pairs.
-
-    Upper bound for the k-th distance of any row of an A cell: the k-th smallest
-    of radius + |pivot, pivot| + dist(b, pivot) over the cells' closest members.
-    """
-    gap = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
-    kept = []
-    for i, radius in zip(cells_a["cell"], cells_a["radius"]):
-        reach = np.sort(np.concatenate([radius + gap[i, j] + firsts[j] for j in cells_b["cell"]]))
-        bound = reach[k - 1] if len(reach) >= k else np.inf
-        for j, far in zip(cells_b["cell"], cells_b["radius"]):
-            if gap[i, j] - radius - far <= bound + SLACK:
-                kept.append((int(i), int(j)))
-    return kept
+def _visiting(df: DataFrame, tree: _Tree, radius: np.ndarray, firsts: np.ndarray, k: int) -> DataFrame:
+    """(id, v, cells): unit vector and the cells it must see."""
+    schema = T.StructType([T.StructField("id", df.schema["id"].dataType), T.StructField("v", T.ArrayType(T.DoubleType())),
+                           T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
+    def visits(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), SLICE_ROWS):
+                part = pdf.iloc[at:at + SLICE_ROWS]
+                unit = _unit(_matrix(part["v"]))
+                yield pd.DataFrame({"id": part["id"], "v": list(unit), "cells": tree.visits(unit, radius, firsts, k)})
 
-def _blocks(cells: pd.DataFrame) -> dict[int, int]:
-    return {int(c): max(1, -(-int(n) // TILE_ROWS)) for c, n in zip(cells["cell"], cells["n"])}
+    return df.select("id", "v").mapInPandas(visits, schema)
 
 
-def _search(a: DataFrame, b: DataFrame, k: int, n_pivots: int) -> DataFrame:
+def _search(a: DataFrame, b: DataFrame, k: int, n_pivots: int | None) -> DataFrame:
     """k best per A row. Zero vectors score 0 with everything and obey no distance
     bound, so they stay out of the tiles: an A row can need at most the k smallest
     ids among B's zero rows, and a zero row of A the k smallest ids of B."""
@@ -89,40 +133,39 @@ def _search(a: DataFrame, b: DataFrame, k: int, n_pivots: int) -> DataFrame:
     return found
 
 
-def _tile_search(a: DataFrame, b: DataFrame, k: int, n_pivots: int) -> DataFrame:
+def _tile_search(a: DataFrame, b: DataFrame, k: int, n_pivots: int | None) -> DataFrame:
     spark = a.sparkSession
-    drawn = b.orderBy(hash_key("pivot", "id")).limit(n_pivots)
-    pivot_rows = drawn.select("v").toPandas()      # n_pivots rows
+    if n_pivots is None:
+        n, width = b.agg(F.count(F.lit(1)), F.max(F.size("v"))).head()
+        n_pivots = max(1, min(int(n ** 0.5), n // CELL_ROWS, PIVOT_NUMBERS // max(1, width or 1)))
+    pivot_rows = b.orderBy(hash_key("pivot", "id")).limit(n_pivots).select("v").toPandas()
     if len(pivot_rows) == 0:
-        dim = a.select(F.size("v").alias("n")).head()
-        pivots = np.eye(1, dim["n"] if dim else 1)
-    else:
-        pivots = _unit(_matrix(pivot_rows["v"]))
-    in_a, in_b = cut_lineage(_assign(a, pivots)), cut_lineage(_assign(b, pivots))      # read three times
-
-    shape = lambda df: df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius"))
-    cells_a, cells_b = shape(in_a).toPandas(), shape(in_b).toPandas()      # one row per pivot
+        return a.join(b.select(F.col("id").alias("b_id")), F.lit(False)).select(F.col("id").alias("a_id"), "b_id", F.lit(0.0).alias("score"))
+    tree = _Tree(_unit(_matrix(pivot_rows["v"])))
+    in_b = cut_lineage(_placed(b, tree))        # read for the shape of the cells and for the tiles
     closest = top_k(in_b.select(F.col("cell").alias("a_id"), F.col("id").alias("b_id"), (-F.col("dist")).alias("score")), k)
-    firsts = {int(c): np.sort(-g["score"].to_numpy()) for c, g in closest.toPandas().groupby("a_id")}  # k rows per pivot
-    blocks_a, blocks_b = _blocks(cells_a), _blocks(cells_b)
-    pairs = _reach(cells_a, cells_b, firsts, pivots, k)
-
-    tiles = spark.createDataFrame([(i, j, blocks_a[i], blocks_b[j]) for i, j in pairs] or [(-1, -1, 1, 1)],
-                                  "ca int, cb int, na int, nb int")
+    shape = in_b.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).join(
+        closest.groupBy(F.col("a_id").alias("cell")).agg(F.sort_array(F.collect_list(-F.col("score"))).alias("firsts")), "cell").toPandas()
+    cells = shape["cell"].to_numpy(np.int64)            # a row per pivot, k numbers each
+    radius, firsts = np.full(len(tree.pivots), -1.0), np.full((len(tree.pivots), k), np.inf)
+    radius[cells] = shape["radius"]
+    for cell, some in zip(cells, shape["firsts"]):
+        firsts[cell, :len(some)] = some
+    in_a = cut_lineage(_visiting(a, tree, radius, firsts, k))
+    blocks = lambda n: max(1, -(-int(n) // TILE_ROWS))
+    visitors = in_a.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    members = dict(zip(cells.tolist(), shape["n"]))
+    # a row for each cell, as many as pivots
+    tiles = spark.createDataFrame([(int(c), blocks(n), blocks(members[c])) for c, n in visitors] or [(-1, 1, 1)], "cell int, na int, nb int")
     spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    keys = ["ca", "ba", "cb", "bb"]
-    # one row of A goes to every surviving tile of its cell, likewise for B
-    left = (
-        in_a.join(F.broadcast(tiles), in_a["cell"] == tiles["ca"])
-        .withColumn("ba", spread(F.col("na"))).withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select(*[F.col(c).alias(c) for c in keys], F.col("id").alias("a_id"), "v")
-    )
-    right = (
-        in_b.join(F.broadcast(tiles), in_b["cell"] == tiles["cb"])
-        .withColumn("bb", spread(F.col("nb"))).withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
-        .select(*[F.col(c).alias(c) for c in keys], F.col("id").alias("b_id"), "v")
-    )
-    return _multiply(left, right, keys, k)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["cell", "ba", "bb"]
+    # a row of A goes to every tile of a cell it visits, a row of B to every tile of its cell's visitors
+    left = in_a.select("id", "v", F.explode("cells").alias("cell")).join(F.broadcast(tiles), "cell").withColumn(
+        "ba", spread(F.col("na"))).withColumn("bb", every("nb")).select(*keys, F.col("id").alias("a_id"), "v")
+    right = in_b.join(F.broadcast(tiles), "cell").withColumn("bb", spread(F.col("nb"))).withColumn(
+        "ba", every("na")).select(*keys, F.col("id").alias("b_id"), "v")
+    return _multiply(left, right.toDF(*right.columns), keys, k)
 
 
 def _multiply(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -157,6 +200,5 @@ def knn_embedding(a: DataFrame, b: DataFrame, k: int = 20, same_table: bool = Fa
         "fp", F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256))
     side_a = prepare(a)
     side_b = side_a if same_table else prepare(b)
-    pivots = n_pivots or int(min(MAX_PIVOTS, max(1, b.count() // TILE_ROWS)))
-    near = nearest_by_value(side_a, side_b, k, lambda x, y, depth: _search(x, y, depth, pivots), same_table)
+    near = nearest_by_value(side_a, side_b, k, lambda x, y, depth: _search(x, y, depth, n_pivots), same_table)
     return near.select("a_id", "b_id", F.lit("embedding").alias("source"), "rank", "score")

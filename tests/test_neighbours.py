@@ -113,7 +113,7 @@ def test_tfidf_edges(make):
         knn_tfidf(a, b, 2, metric="city")
 
 
-@pytest.mark.parametrize("pivots", [None, 1, 7])
+@pytest.mark.parametrize("pivots", [None, 1, 2, 7, 3000])
 @pytest.mark.parametrize("same", [False, True])
 def test_embedding_paths_agree_with_brute_force(make, monkeypatch, pivots, same):
     from sameas.operators import knn
@@ -137,6 +137,25 @@ def test_embedding_paths_agree_with_brute_force(make, monkeypatch, pivots, same)
     assert got == expected
 
 
+def test_embedding_rows_skip_far_cells():
+    """Each row's cells hold its k nearest, and few of all cells are visited."""
+    from sameas.operators import knn
+    rng = np.random.default_rng(8)
+    b = knn._unit(np.concatenate([c + 0.05 * rng.normal(size=(200, 8)) for c in 3 * rng.normal(size=(40, 8))]))
+    tree = knn._Tree(b[rng.permutation(len(b))[:120]])
+    cell, dist = tree.nearest(b)
+    assert np.allclose(dist, np.linalg.norm(b - tree.pivots[cell], axis=1), atol=1e-6)
+    radius, firsts = np.full(120, -1.0), np.full((120, 5), np.inf)
+    for c in range(120):
+        inside = np.sort(dist[cell == c])
+        if len(inside):
+            radius[c], firsts[c, :min(5, len(inside))] = inside[-1], inside[:5]
+    visits = tree.visits(b[:300], radius, firsts, 5)
+    nearest = np.argsort(-(b[:300] @ b.T), axis=1)[:, :5]
+    assert all(set(cell[near]) <= set(seen) for near, seen in zip(nearest, visits))
+    assert np.mean([len(v) for v in visits]) < 20
+
+
 @pytest.mark.parametrize("pivots", [1, 2, 7])
 @pytest.mark.parametrize("same", [False, True])
 def test_embedding_zero_vectors_take_no_place(make, pivots, same):
