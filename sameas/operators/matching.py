@@ -3,28 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from sameas.functions.ordering import hash_key, hash_number
 from sameas.functions.text import edit_ratio, length_ratio, token_jaccard, tokens
 from sameas.functions.vectors import cosine_similarity, decide
 from sameas.operators.metrics import best_threshold, classification_metrics, log_loss, threshold_sweep
 from sameas.operators.serialize import pair_texts
+from sameas.session import cut_lineage
 
 PAIR = ["a_id", "b_id"]
 FEATURES = ["edit_ratio", "token_jaccard", "length_ratio", "text_cosine"]
+DIM = 512           # slots of the built-in encoder
+GRID = (("logistic", 0.0), ("logistic", 0.01), ("logistic", 0.1))
 
 
-def encode_text(df: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, dim: int = 512) -> DataFrame:
+def piece_slots(text: Column, dim: int) -> Column:
+    """The slots, as text, of a text's words and their letter triples: the first 32 bits
+    of a piece's md5 modulo `dim`, the same wherever md5 is."""
+    triples = lambda word: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(word) - 2, F.lit(1))), lambda at: F.substring(word, at, 3))
+    words = tokens(F.coalesce(text, F.lit("")))
+    pieces = F.concat(words, F.flatten(F.transform(words, triples)))
+    return F.transform(pieces, lambda piece: (hash_number(F.md5(piece)) % dim).cast("string"))
+
+
+def _unit_counts(df: DataFrame, texts: dict[str, str], dim: int) -> DataFrame:
+    """Adds, per text column, the unit vector of its slots' counts under the given name. All in the JVM."""
+    names = df.columns
+    for at, (text, name) in enumerate(texts.items()):
+        df = df.withColumn(f"__slots{at}", piece_slots(F.col(text), dim))
+        counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol=f"__slots{at}", outputCol=f"__counts{at}")
+        unit = Normalizer(inputCol=f"__counts{at}", outputCol=f"__unit{at}")
+        df = unit.transform(counts.transform(df)).withColumn(name, vector_to_array(f"__unit{at}"))
+    return df.select(*names, *texts.values())
+
+
+def encode_text(df: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, dim: int = DIM) -> DataFrame:
     """(id, embedding). With a user's `encoder` (texts in, matrix out) it runs on
     Arrow batches; without one, words and their letter triples are hashed into
-    `dim` counts of unit length, all in the JVM."""
+    `dim` counts of unit length, all in the JVM. A text without a word has the zero vector."""
     if encoder is not None:
         @F.pandas_udf(T.ArrayType(T.FloatType()))
         def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -32,14 +58,7 @@ def encode_text(df: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None
                 yield pd.Series(list(np.asarray(encoder(texts.fillna("").tolist()), dtype=np.float32)))
 
         return df.select("id", apply("text").alias("embedding"))
-    triples = lambda word: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(word) - 2, F.lit(1))), lambda at: F.substring(word, at, 3))
-    words = tokens(F.coalesce("text", F.lit("")))
-    pieces = df.select("id", words.alias("words")).select(
-        "id", F.concat("words", F.flatten(F.transform("words", triples))).alias("pieces"))
-    counted = HashingTF(numFeatures=dim, inputCol="pieces", outputCol="counts").transform(pieces)
-    unit = Normalizer(inputCol="counts", outputCol="unit").transform(counted)
-    return unit.select("id", vector_to_array("unit").alias("embedding"))
+    return _unit_counts(df.select("id", "text"), {"text": "embedding"}, dim).select("id", "embedding")
 
 
 def pair_cosine(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -57,14 +76,13 @@ def zero_shot_match(pairs: DataFrame, a: DataFrame, b: DataFrame, threshold: flo
 
 
 def pair_features(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """The columns of `pairs` and FEATURES, from the whole texts of both sides."""
+    """The columns of `pairs` and FEATURES, from the whole texts of both sides, which
+    are brought to the pair once; only texts in pairs are encoded."""
     ta, tb = F.col("a_text"), F.col("b_text")
-    rated = pair_texts(pairs, a, b).select(
+    encoded = _unit_counts(pair_texts(pairs, a, b), {"a_text": "__a", "b_text": "__b"}, DIM)
+    return encoded.select(
         *pairs.columns, edit_ratio(ta, tb).alias("edit_ratio"), token_jaccard(ta, tb).alias("token_jaccard"),
-        length_ratio(ta, tb).alias("length_ratio"))
-    vectors_a, vectors_b = encode_text(a), encode_text(b)
-    cosines = pair_cosine(pairs.select(*PAIR).distinct(), vectors_a, vectors_b).withColumnRenamed("score", "text_cosine")
-    return rated.join(cosines, PAIR)
+        length_ratio(ta, tb).alias("length_ratio"), cosine_similarity(F.col("__a"), F.col("__b")).alias("text_cosine"))
 
 
 def _estimator(kind: str, regularisation: float):
@@ -98,7 +116,7 @@ def validation_metrics(scored: DataFrame, label: str = "matching") -> DataFrame:
 
 
 def fit_best(train: DataFrame, validation: DataFrame, label: str = "matching",
-             grid: Sequence[tuple[str, float]] = (("logistic", 0.0), ("logistic", 0.01), ("logistic", 0.1))) -> PipelineModel:
+             grid: Sequence[tuple[str, float]] = GRID) -> PipelineModel:
     """The grid point with the lowest loss on the validation pairs, the first
     among equals."""
     train, validation = train.persist(), validation.persist()
@@ -115,6 +133,34 @@ def fit_best(train: DataFrame, validation: DataFrame, label: str = "matching",
         validation.unpersist()
 
 
+def fold_of(key: str, folds: int, seed=42) -> Column:
+    """A number below `folds` by hash: rows of one key are in one fold."""
+    return (hash_number(hash_key(seed, F.lit("fold"), key)) % folds).cast("int")
+
+
+def out_of_fold_scores(features: DataFrame, folds: int = 3, label: str = "matching", grid: Sequence[tuple[str, float]] = GRID,
+                       seed=42) -> DataFrame:
+    """`features` with fold and score, every score from a model that saw no pair of
+    the row's a_id. One table of features serves all folds and grid points; the grid
+    point of the lowest loss over all held-out rows, the first among equals, gives the scores."""
+    rows = cut_lineage(features.withColumn("fold", fold_of("a_id", folds, seed)))
+    best, best_loss = None, float("inf")
+    for kind, regularisation in grid:
+        parts = []
+        for fold in range(folds):
+            train = rows.filter(F.col("fold") != fold)
+            if train.select(label).distinct().count() < 2:      # one label only: its share
+                held = rows.filter(F.col("fold") == fold).join(train.agg(F.coalesce(F.avg(F.col(label).cast("double")), F.lit(0.5)).alias("score")))
+            else:
+                held = score_pairs(fit_matcher(train, label, kind, regularisation), rows.filter(F.col("fold") == fold))
+            parts.append(held.select(*rows.columns, "score"))
+        scored = cut_lineage(reduce(DataFrame.unionByName, parts))
+        loss = log_loss(scored, label).head()["log_loss"]
+        if best is None or (loss is not None and loss < best_loss):
+            best, best_loss = scored, float("inf") if loss is None else loss
+    return best
+
+
 def few_shot_threshold(sample: DataFrame, label: str = "matching") -> DataFrame:
     """(threshold, f1) learned from a handful of scored, labelled pairs."""
     return best_threshold(threshold_sweep(sample, label=label))

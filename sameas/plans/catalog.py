@@ -15,7 +15,7 @@ from sameas.operators.editdistance import levenshtein_nearest
 from sameas.operators.knn import knn_embedding
 from sameas.operators.tfidf import knn_tfidf
 from sameas.plans import runs
-from sameas.plans.tasks import Tasks, hash_number_sql, knn_sql, tfidf_sql, with_views
+from sameas.plans.tasks import Tasks, encode_sql, hash_number_sql, knn_between_sql, knn_sql, tfidf_sql, with_views
 from sameas.sources import entities, pairs, results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -548,8 +548,9 @@ def _(t):
 
 
 # ---------------------------------------------------------------- matchers
-@query("encode_text")
-def _(t): return D.encode_text(t.documents, dim=64).select("id", F.array_join(F.transform("embedding", lambda x: F.round(x, 6).cast("string")), ",").alias("vector"))
+@query("encode_text", with_views("docs") + ",\n" + encode_sql("docs", 64, "coded") + """
+SELECT id, CAST(i AS INTEGER) AS slot, round(embedding[i + 1], 6) AS value FROM coded, range(0, 64) r(i) WHERE embedding[i + 1] > 0""")
+def _(t): return rounded(D.encode_text(t.documents, dim=64).select("id", F.posexplode("embedding").alias("slot", "value")).filter("value > 0"))
 
 
 ZERO_SHOT = with_views("vectors", "vector_steps") + """, scored AS (SELECT a_id, b_id, matching AS y, round(list_cosine_similarity(a.embedding, b.embedding), 9) AS score
@@ -563,19 +564,46 @@ def _(t): return rounded(D.zero_shot_match(t.vector_steps, t.vectors, t.vectors,
 TOKENS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]{{2,}}'))"
 
 
-@query("pair_features", with_views("gold_products", "product_texts") + f""", p AS (SELECT a_id, b_id, matching, a.text AS x, b.text AS y FROM gold_products JOIN product_texts a ON a.id = a_id JOIN product_texts b ON b.id = b_id),
+@query("pair_features", with_views("gold_products", "product_texts") + ", " + encode_sql("product_texts", 512, "coded") + f""", p AS (SELECT a_id, b_id, matching, a.text AS x, b.text AS y, list_cosine_similarity(ca.embedding, cb.embedding) AS c
+FROM gold_products JOIN product_texts a ON a.id = a_id JOIN product_texts b ON b.id = b_id JOIN coded ca ON ca.id = a_id JOIN coded cb ON cb.id = b_id),
 q AS (SELECT *, {TOKENS.format('x')} AS tx, {TOKENS.format('y')} AS ty FROM p)
 SELECT a_id, b_id, matching, round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) AS edit_ratio,
-round(len(list_intersect(tx, ty)) / len(list_distinct(list_concat(tx, ty))), 6) AS token_jaccard, round(least(length(x), length(y)) / greatest(length(x), length(y)), 6) AS length_ratio FROM q""")
-def _(t):
-    features = D.pair_features(t.gold_products.select(*PAIR, "matching"), t.product_texts, t.product_texts)
-    return rounded(features.select(*PAIR, "matching", "edit_ratio", "token_jaccard", "length_ratio"))
+round(len(list_intersect(tx, ty)) / len(list_distinct(list_concat(tx, ty))), 6) AS token_jaccard, round(least(length(x), length(y)) / greatest(length(x), length(y)), 6) AS length_ratio, round(c, 6) AS text_cosine FROM q""")
+def _(t): return rounded(D.pair_features(t.gold_products.select(*PAIR, "matching"), t.product_texts, t.product_texts))
 
 
 @query("supervised_match")
 def _(t): return rounded(runs.supervised_run(t.gold_products, t.product_texts, t.product_texts))
 
 
+FOLDS = 3
+BLOCKED = with_views("gold_products", "product_texts") + ",\n" + tfidf_sql("product_texts", "product_texts", K, same_table=True) + f""",
+families AS (SELECT a_id, b_id FROM gold_products WHERE matching = 1),
+blocked AS (SELECT DISTINCT n.a_id, n.b_id, CAST(f.a_id IS NOT NULL AS INTEGER) AS matching, CAST({hash_number_sql("'42'", "'fold'", "n.a_id")} % {FOLDS} AS INTEGER) AS fold
+  FROM near_text n LEFT JOIN families f ON f.a_id = n.a_id AND f.b_id = n.b_id)"""
+
+
+def supervised_candidates(t: Tasks) -> DataFrame:
+    near = knn_tfidf(t.product_texts, t.product_texts, K, same_table=True)
+    return runs.supervised_candidates_run(t.product_texts, t.product_texts, near, t.gold_products.filter("matching = 1"), FOLDS)
+
+
+@query("supervised_candidates", BLOCKED + " SELECT a_id, b_id, matching, fold, true AS rated, true AS decided FROM blocked")
+def _(t):
+    """Pairs, labels and folds are determined; scores are probabilities and decide the pair."""
+    rated = F.col("score").between(0.0, 1.0)
+    return supervised_candidates(t).select(*PAIR, "matching", "fold", rated.alias("rated"), (
+        (F.col("score") > 0.65) == (F.col("pred") == 1)).alias("decided"))
+
+
+@query("supervised_report", BLOCKED + " SELECT count(*) AS n_pairs, sum(matching)::BIGINT AS n_matching, count(DISTINCT fold) AS n_folds, true AS separates FROM blocked")
+def _(t):
+    scored = supervised_candidates(t)
+    auc = M.roc_auc(scored, "matching").scalar()
+    return scored.agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("matching").cast("bigint").alias("n_matching"),
+                      F.countDistinct("fold").alias("n_folds")).withColumn("separates", auc >= 0.8)
+
+
 def few_shot(t: Tasks) -> tuple[DataFrame, DataFrame]:
     scored = D.pair_cosine(t.vector_steps, t.vectors, t.vectors)
     return scored, S.few_shot_sample(scored, 10, 30)
@@ -622,7 +650,11 @@ def _(t):
     return rounded(C.blocking_metrics(C.merge_candidates(found), t.gold_passages, runs.count_of(t.passages), runs.count_of(t.documents)))
 
 
-@query("blocking_run_merged")
+@query("blocking_run_merged", with_views("passages", "docs", "gold_passages") + ",\n" + tfidf_sql("passages", "docs", 15) + ",\n"
+       + encode_sql("passages", 512, "coded_a") + ",\n" + encode_sql("docs", 512, "coded_b") + ",\n" + knn_between_sql("coded_a", "coded_b", 15, "near_coded") + f""",
+s AS (SELECT count(*) AS n_candidates, count(matching) AS n_found, (SELECT count(*) FROM gold_passages) AS n_gold,
+(SELECT count(*) FROM passages) * (SELECT count(*) FROM docs)::DOUBLE AS space
+FROM (SELECT a_id, b_id FROM near_text UNION SELECT a_id, b_id FROM near_coded) LEFT JOIN gold_passages USING (a_id, b_id)) SELECT {BLOCKING} FROM s""")
 def _(t): return rounded(runs.blocking_run(t.passages, t.documents, t.gold_passages, k=15))
 
 

@@ -10,7 +10,7 @@ from sameas.functions.vectors import decide
 from sameas.operators import candidates as C
 from sameas.operators.graph import connected_components, two_sided_nodes
 from sameas.operators.knn import knn_embedding
-from sameas.operators.matching import encode_text, fit_matcher, pair_features, score_pairs, zero_shot_match
+from sameas.operators.matching import encode_text, fit_matcher, out_of_fold_scores, pair_features, score_pairs, zero_shot_match
 from sameas.operators.metrics import classification_metrics, roc_auc
 from sameas.operators.sampling import split_candidates
 from sameas.operators.serialize import drop_columns, order_columns, serialize
@@ -78,6 +78,16 @@ def supervised_run(labelled: DataFrame, text_a: DataFrame, text_b: DataFrame, th
     return scored.select(*PAIR, "matching", "score", decide(F.col("score"), threshold).alias("pred"))
 
 
+def supervised_candidates_run(text_a: DataFrame, text_b: DataFrame, candidates: DataFrame, gold: DataFrame, folds: int = 3,
+                              threshold: float = 0.65, seed=42) -> DataFrame:
+    """From blocked candidates to decisions: pairs are labelled from `gold` (a_id, b_id,
+    matching), scored by models that saw no pair of their a_id and decided. Columns
+    a_id, b_id, matching, fold, score, pred."""
+    labelled = C.label_candidates(candidates.select(*PAIR).distinct(), gold)
+    scored = out_of_fold_scores(pair_features(labelled, text_a, text_b), folds, seed=seed)
+    return scored.select(*PAIR, "matching", "fold", "score", decide(F.col("score"), threshold).alias("pred"))
+
+
 def unsupervised_run(pairs: DataFrame, vectors_a: DataFrame, vectors_b: DataFrame, gold: DataFrame,
                      threshold: float = 0.65) -> DataFrame:
     """Candidate pairs decided by cosine and labelled from the gold pairs."""

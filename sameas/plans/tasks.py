@@ -236,3 +236,20 @@ def knn_sql(k: int, name: str = "near_vector") -> str:
     return f"""vector_sims AS (SELECT a.id AS a_id, b.id AS b_id, round(list_cosine_similarity(a.embedding, b.embedding), 9) AS score
   FROM vectors a JOIN vectors b ON a.id <> b.id),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS rank FROM vector_sims) WHERE rank <= {k})"""
+
+
+def encode_sql(view: str, dim: int, name: str) -> str:
+    """View `name` (id, embedding) of the hashed words and letter triples, unit length."""
+    words = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}')"
+    return f"""{name}_pieces AS (SELECT id, list_concat(ws, flatten([[substr(w, i, 3) FOR i IN range(1, greatest(length(w) - 2, 1) + 1)] FOR w IN ws])) AS ps
+  FROM (SELECT id, {words} AS ws FROM {view})),
+{name}_counts AS (SELECT id, slot, count(*) AS n FROM (SELECT id, CAST('0x' || substr(md5(unnest(ps)), 1, 8) AS BIGINT) % {dim} AS slot FROM {name}_pieces) GROUP BY ALL),
+{name}_maps AS (SELECT id, map_from_entries(list((slot, n))) AS m, sqrt(sum(n * n)) AS norm FROM {name}_counts GROUP BY id),
+{name} AS (SELECT v.id, [coalesce(m[i] / norm, 0e0) FOR i IN range(0, {dim})] AS embedding FROM {view} v LEFT JOIN {name}_maps USING (id))"""
+
+
+def knn_between_sql(a: str, b: str, k: int, name: str) -> str:
+    """View `name` (a_id, b_id, score, rank) of the k nearest B vectors of every A vector."""
+    return f"""{name}_sims AS (SELECT x.id AS a_id, y.id AS b_id, round(coalesce(CASE WHEN isnan(c) THEN 0 ELSE c END, 0), 9) AS score
+  FROM (SELECT x, y, list_cosine_similarity(x.embedding, y.embedding) AS c FROM {a} x, {b} y)),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS rank FROM {name}_sims) WHERE rank <= {k})"""

@@ -28,7 +28,7 @@ def test_catalogue_is_consistent():
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(queries) and len(queries) > 80
     assert set(catalog.QUERIES) <= set(queries) and set(catalog.ORACLE) <= set(oracle)
-    assert {n for n in catalog.QUERIES if n not in oracle} <= {"encode_text", "supervised_match", "blocking_run_merged"}
+    assert {n for n in catalog.QUERIES if n not in oracle} <= {"supervised_match"}
 
 
 def test_entry(spark):
