@@ -49,6 +49,12 @@ def value_text(col: Column, dtype: T.DataType) -> Column:
     return col.cast("string")
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` names it; a column
+    named in a lambda is computed again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 

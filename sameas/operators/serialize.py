@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sameas.functions.text import COL_TAG, PAIR_SEPARATOR, VAL_TAG, value_text
+from sameas.functions.text import COL_TAG, PAIR_SEPARATOR, VAL_TAG, once, value_text
 
 
 def _features(df: DataFrame, id_col: str) -> list[str]:
@@ -76,8 +76,8 @@ def _entity_map(text: Column) -> Column:
     """Tagged text to MAP<column, value>; the space before the next tag is not part
     of a value. Of columns that a value's own tags repeat the last one counts; a field
     without a value tag is a column with a null value."""
-    fields = F.filter(F.split(text, r"\[COL\] "), lambda _, i: i > 0)
-    last = F.size(fields) - 1
+    parts = F.split(text, r"\[COL\] ")
+    fields, last = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.size(parts) - 2
 
     def entry(field: Column, place: Column) -> Column:
         cut = F.instr(field, VAL_TAG)
@@ -86,9 +86,12 @@ def _entity_map(text: Column) -> Column:
         name = F.when(cut > 0, F.substring(field, F.lit(1), cut - 2)).otherwise(F.trim(field))
         return F.struct(name.alias("key"), F.when(cut > 0, value).alias("value"))
 
-    entries = F.transform(fields, entry)
-    final = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(final)
+    def last_of_each(entries: Column) -> Column:
+        keys = F.transform(entries, lambda e: e["key"])
+        final = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+        return F.when(F.size(keys) == F.size(F.array_distinct(keys)), entries).otherwise(final)
+
+    return F.map_from_entries(once(F.transform(fields, entry), last_of_each))
 
 
 def deserialize(df: DataFrame, text_col: str = "text") -> DataFrame:
