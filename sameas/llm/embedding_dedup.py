@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sameas.functions.text import once
 from sameas.llm.packing import pick
 from sameas.operators.graph import connected_components
 from sameas.session import cut_lineage
@@ -297,8 +298,8 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.95, recall: float = 0
     usable = F.coalesce(F.col("id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     top = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
     # the factor of a vector plays no part; + 0.0 makes one zero of two
-    scaled = F.transform("v", lambda x: (x.cast("double") / F.col("top") + 0.0).cast("string"))
-    keyed = rows.withColumn("top", F.when(usable, top)).withColumn("key", F.when(F.col("top").isNotNull(), F.unhex(F.md5(F.array_join(scaled, ",")))))
+    scaled = once(top, lambda t: F.transform("v", lambda x: (x.cast("double") / t + 0.0).cast("string")))
+    keyed = rows.withColumn("key", F.when(usable, F.unhex(F.md5(F.array_join(scaled, ",")))))
     distinct = cut_lineage(keyed.filter(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v")))
     kind = distinct.schema["rep"].dataType.simpleString()

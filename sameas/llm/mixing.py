@@ -31,6 +31,7 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sameas.functions.text import once
 from sameas.session import cut_lineage
 
 PERIOD = 1024          # slots of a period at least; more for more sources
@@ -124,7 +125,7 @@ def schedule(quotas: DataFrame, total: int, period: int) -> DataFrame:
 
         # a block goes before its release only where there are as many blocks as slots left
         goes = lambda best: best.isNotNull() & (~best["early"] | (F.col("every") - state["given"] >= period - slot))
-        return _once(F.array_min(F.transform("sources", entry)), lambda best: _once(F.when(goes(best), best["i"]), taken))
+        return once(F.array_min(F.transform("sources", entry)), lambda best: once(F.when(goes(best), best["i"]), taken))
 
     steps = F.sequence(F.lit(0).cast("bigint"), F.lit(period - 1).cast("bigint"))
     dealt = opened.withColumn("every", every).select("frame", F.aggregate(steps, start, step)["row"].alias("row"))
@@ -132,11 +133,6 @@ def schedule(quotas: DataFrame, total: int, period: int) -> DataFrame:
     return slots.select("x.place", "x.block", ((F.col("frame") - 1) * period + F.col("at")).cast("bigint").alias("slot"))
 
 
-def _once(value: Column, use) -> Column:
-    """use(value), with the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _exact_floor(x: Column, y: Column) -> Column:
     """floor(x / y) of whole numbers below 2**63, without doubles."""
     return F.call_function("div", x - F.pmod(x, y), y)
