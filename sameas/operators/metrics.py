@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sameas.functions.ordering import previous_point, running_totals
 from sameas.functions.vectors import decide, linspace
 
 
-def _count(condition: Column) -> Column:
-    return F.coalesce(F.sum(condition.cast("bigint")), F.lit(0).cast("bigint"))
+def _count(condition: Column, weight: str | None = None) -> Column:
+    """Rows that meet the condition; with `weight` a row stands for that many."""
+    each = condition.cast("bigint") if weight is None else F.when(condition, F.col(weight)).otherwise(0).cast("bigint")
+    return F.coalesce(F.sum(each), F.lit(0).cast("bigint"))
 
 
 def _rates(zero_division: float | None) -> list[Column]:
@@ -39,6 +42,11 @@ def classification_metrics(df: DataFrame, label: str = "y", pred: str = "pred",
     return confusion_counts(df, label, pred, by).select(*by, "tp", "fp", "fn", "tn", *_rates(zero_division))
 
 
+def rates_of(counts: DataFrame, zero_division: float | None = 0.0) -> DataFrame:
+    """Adds accuracy, precision, recall and f1 to tp, fp, fn, tn."""
+    return counts.select("*", *_rates(zero_division))
+
+
 def match_set_metrics(matches: DataFrame, truth: DataFrame) -> DataFrame:
     """Two sets of pairs compared; 'accuracy' is the found share of the truth."""
     pair = ["a_id", "b_id"]
@@ -84,16 +92,16 @@ def classification_report(df: DataFrame, label: str = "y", pred: str = "pred") -
         row("weighted avg", weighted("p"), weighted("r"), weighted("f"), total))))
 
 
-def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
+def _by_score(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
     """(score, pos, neg): one row per distinct score."""
     return df.groupBy(F.col(score).alias("score")).agg(
-        _count(F.col(label) == 1).alias("pos"), _count(F.col(label) == 0).alias("neg"))
+        _count(F.col(label) == 1, weight).alias("pos"), _count(F.col(label) == 0, weight).alias("neg"))
 
 
-def roc_curve(df: DataFrame, label: str = "y", score: str = "score") -> DataFrame:
+def roc_curve(df: DataFrame, label: str = "y", score: str = "score", weight: str | None = None) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr) at every distinct score, and the origin
     (threshold null). A rate without its class is null."""
-    summed = running_totals(_by_score(df, label, score), "score", ["pos", "neg"], descending=True)
+    summed = running_totals(_by_score(df, label, score, weight), "score", ["pos", "neg"], descending=True)
     points = summed.select(F.col("score").alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
                            "total_pos", "total_neg")
     none = F.lit(0).cast("bigint")
@@ -103,10 +111,10 @@ def roc_curve(df: DataFrame, label: str = "y", score: str = "score") -> DataFram
         "threshold", "tp", "fp", F.try_divide("tp", "total_pos").alias("tpr"), F.try_divide("fp", "total_neg").alias("fpr"))
 
 
-def roc_auc(df: DataFrame, label: str = "y", score: str = "score") -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "y", score: str = "score", weight: str | None = None) -> DataFrame:
     """One row (roc_auc): share of (positive, negative) pairs in the right order,
     ties half. Null with one class only."""
-    summed = running_totals(_by_score(df, label, score), "score", ["neg"])
+    summed = running_totals(_by_score(df, label, score, weight), "score", ["neg"])
     below = F.col("cum_neg") - F.col("neg")
     sums = summed.agg(F.sum(F.col("pos") * (below + F.col("neg") / 2)).alias("won"),
                       F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -121,17 +129,26 @@ def auc_of_curve(curve: DataFrame, x: str = "fpr", y: str = "tpr") -> DataFrame:
 
 
 def threshold_sweep(df: DataFrame, thresholds: Sequence[float] | None = None, label: str = "y",
-                    score: str = "score", zero_division: float | None = 0.0) -> DataFrame:
+                    score: str = "score", zero_division: float | None = 0.0, weight: str | None = None) -> DataFrame:
     """Metrics at each threshold (default 100 in [0, 1]).
 
-    Every score falls between two thresholds; rows are counted per gap (as many
-    as thresholds) and the gaps added up from above.
+    Every score falls between two thresholds, found by binary search; rows are counted
+    per gap (as many as thresholds) and the gaps added up from above. A null score
+    is above no threshold, NaN above all.
     """
     grid = sorted(linspace(0.0, 1.0, 100) if thresholds is None else thresholds)
-    cuts = F.array(*[F.lit(float(t)) for t in grid])
-    passed = F.size(F.filter(cuts, lambda t: t < F.col("score")))
-    gaps = _by_score(df, label, score).withColumn("passed", passed).groupBy("passed").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = df.select((-F.col(score)).cast("double").alias("__low"), F.col(label).alias("__label"), *([] if weight is None else [weight]))
+    distinct = sorted(set(map(float, grid)))
+    if distinct:
+        splits = [float("-inf"), *[-t for t in reversed(distinct)], float("inf")]
+        counts = Bucketizer(splits=splits, inputCol="__low", outputCol="__not", handleInvalid="keep").transform(counts)
+        reached = F.when(F.col("__low").isNull(), 0).when(F.isnan("__low"), len(distinct)).otherwise(len(distinct) - F.col("__not").cast("int"))
+    else:
+        reached = F.lit(0)
+    # equal thresholds are passed together
+    upto = F.array(*[F.lit(sum(t in distinct[:i] for t in grid)) for i in range(len(distinct) + 1)])
+    gaps = counts.groupBy(F.get(upto, reached).alias("passed")).agg(
+        _count(F.col("__label") == 1, weight).alias("pos"), _count(F.col("__label") == 0, weight).alias("neg"))
     spark = df.sparkSession
     steps = spark.createDataFrame([(i, float(t)) for i, t in enumerate(grid)] + [(len(grid), None)],
                                   "passed int, threshold double")

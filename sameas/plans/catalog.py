@@ -3,6 +3,7 @@ state it. Doubles are rounded to six places on both sides."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,6 +17,7 @@ from sameas.operators.knn import knn_embedding
 from sameas.operators.tfidf import knn_tfidf
 from sameas.plans import runs
 from sameas.plans.tasks import Tasks, encode_sql, hash_number_sql, knn_between_sql, knn_sql, tfidf_sql, with_views
+from sameas.session import ensure_checkpoint_dir
 from sameas.sources import entities, pairs, results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -658,25 +660,39 @@ FROM (SELECT a_id, b_id FROM near_text UNION SELECT a_id, b_id FROM near_coded)
 def _(t): return rounded(runs.blocking_run(t.passages, t.documents, t.gold_passages, k=15))
 
 
-def grid_variant(removed: bool) -> str:
-    """Sweep over k = 5, 8, 11 for one serialization; the column order does not move TF-IDF."""
+def grid_variant(removed: bool, blocker: str = "tfidf", ks: tuple[int, ...] = (5, 8, 11), orders: str = "(false), (true)") -> str:
+    """Sweep over k for one serialization; the column order moves neither words nor letter triples."""
     tag = (lambda c: "") if removed else (lambda c: f"[COL] {c} [VAL] ")
     side_a = f"SELECT item_id AS id, concat('{tag('text')}', text) AS text FROM benchmark"
     side_b = "SELECT doc_id AS id, concat_ws(' ', " + ", ".join(f"concat('{tag(c)}', {c})" for c in ("text", "lang", "source")) + ") AS text FROM documents"
-    return f"""SELECT o.order_cols, {str(removed).lower()} AS remove_col_names, CAST(s.k AS INTEGER) AS k, n_candidates, n_found, space - n_candidates AS saved,
+    near = tfidf_sql("side_a", "side_b", max(ks), name="near") if blocker == "tfidf" else ",\n".join(
+        [encode_sql("side_a", 512, "coded_a"), encode_sql("side_b", 512, "coded_b"), knn_between_sql("coded_a", "coded_b", max(ks), "near")])
+    return f"""SELECT '{blocker}' AS blocker, o.order_cols, {str(removed).lower()} AS remove_col_names, CAST(s.k AS INTEGER) AS k, n_candidates, n_found, space - n_candidates AS saved,
 round(1 - n_candidates / space, 6) AS reduction_ratio, round(n_found / n_gold, 6) AS recall,
 round(2 * (1 - n_candidates / space) * (n_found / n_gold) / nullif((1 - n_candidates / space) + n_found / n_gold, 0), 6) AS f1
-FROM (VALUES (false), (true)) o(order_cols), (WITH side_a AS ({side_a}), side_b AS ({side_b}), {tfidf_sql("side_a", "side_b", 11)}
-SELECT k, count(near_text.a_id) AS n_candidates, count(matching) AS n_found, (SELECT count(*) FROM gold_passages) AS n_gold,
+FROM (VALUES {orders}) o(order_cols), (WITH side_a AS ({side_a}), side_b AS ({side_b}), {near}
+SELECT k, count(near.a_id) AS n_candidates, count(matching) AS n_found, (SELECT count(*) FROM gold_passages) AS n_gold,
 (SELECT count(*) FROM benchmark) * (SELECT count(*) FROM documents)::DOUBLE AS space
-FROM (VALUES (5), (8), (11)) r(k) LEFT JOIN near_text ON rank <= k LEFT JOIN gold_passages USING (a_id, b_id) GROUP BY k) s"""
+FROM (VALUES {", ".join(f"({k})" for k in ks)}) r(k) LEFT JOIN near ON rank <= k LEFT JOIN gold_passages USING (a_id, b_id) GROUP BY k) s"""
+
+
+def grid_tables(t: Tasks) -> tuple[DataFrame, DataFrame]:
+    return t.table("benchmark").withColumnRenamed("item_id", "id"), t.table("documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
 
 
 @query("blocking_grid", with_views("gold_passages") + " " + grid_variant(True) + " UNION ALL " + grid_variant(False))
+def _(t): return rounded(runs.blocking_grid(*grid_tables(t), t.gold_passages, [5, 8, 11], blockers=["tfidf"]))
+
+
+@query("blocking_grid_resumed", with_views("gold_passages") + " " + " UNION ALL ".join(
+    grid_variant(removed, blocker, (5, 10), "(false)") for blocker in ("tfidf", "embedding") for removed in (True, False)))
 def _(t):
-    a = t.table("benchmark").withColumnRenamed("item_id", "id")
-    b = t.table("documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
-    return rounded(runs.blocking_grid(a, b, t.gold_passages, [5, 8, 11], with_embedding=False))
+    """Both blockers; the run breaks off after three cells and is resumed."""
+    ensure_checkpoint_dir(t.spark)
+    path = f"{t.spark.sparkContext.getCheckpointDir()}/grid-{uuid.uuid4().hex}"
+    run = lambda most: runs.blocking_grid(*grid_tables(t), t.gold_passages, [5, 10], orders=[False], blockers=["embedding", "tfidf"], path=path, most=most)
+    run(3)
+    return rounded(run(None))
 
 
 @query("blocking_run_vectors", with_views("vectors", "gold_vectors") + ", " + knn_sql(15) + f""", once AS (SELECT DISTINCT least(a_id, b_id) AS a_id, greatest(a_id, b_id) AS b_id FROM near_vector),
@@ -705,6 +721,21 @@ def _(t): return rounded(unsupervised(t))
 def _(t): return rounded(runs.evaluation_report(decided_orgs(t).withColumnRenamed("y", "matching")))
 
 
+@query("evaluation_table", DECIDED + ", n AS (SELECT " + COUNTS + " FROM decided), r AS (SELECT *, " + RATES + " FROM n), " + ROC.format(source="decided") + ", " +
+       SWEEP.format(rates=RATES, counts=COUNTS, source="decided") + """, best AS (SELECT threshold, f1 FROM sweep ORDER BY f1 DESC, threshold LIMIT 1),
+e AS (SELECT *, row_number() OVER (PARTITION BY pred ORDER BY a_id, b_id) AS n FROM decided),
+o AS (SELECT a_id, b_id, y, pred, row_number() OVER (ORDER BY n > CASE WHEN pred = 1 THEN 3 ELSE 2 END, pred DESC, n) AS place FROM e WHERE n <= 5),
+long AS (
+SELECT 'count' AS section, unnest(['pairs', 'matches', 'positives', 'negatives']) AS item, unnest([tp + fp + fn + tn, tp + fp, tp + fn, fp + tn])::DOUBLE AS x, NULL::DOUBLE AS y FROM n
+UNION ALL SELECT 'cell', unnest(['tp', 'fp', 'fn', 'tn']), unnest([tp, fp, fn, tn])::DOUBLE, NULL FROM n
+UNION ALL SELECT 'rate', unnest(['accuracy', 'precision', 'recall', 'f1']), unnest([accuracy, precision, recall, f1]), NULL FROM r
+UNION ALL SELECT 'auc', 'roc_auc', """ + AUC.format(source="decided") + """, NULL
+UNION ALL SELECT 'roc', 'point', fpr, tpr FROM roc UNION ALL SELECT 'best', 'threshold', threshold, f1 FROM best
+UNION ALL SELECT 'example', a_id || ':' || b_id, pred, y FROM o WHERE place <= 5)
+SELECT section, item, round(x, 6) AS x, round(y, 6) AS y FROM long""")
+def _(t): return rounded(runs.evaluation_table(decided_orgs(t), "y"))
+
+
 @query("resolve_entities", CLUSTERS + """, everyone AS (SELECT 'a:' || s_suppkey AS id FROM supplier UNION SELECT 'b:' || c_custkey FROM customer UNION SELECT id FROM clusters),
 whole AS (SELECT id, coalesce(cluster_id, id) AS cluster_id FROM everyone LEFT JOIN clusters USING (id)),
 m AS (SELECT x.cluster_id, count(*) AS n_matches FROM strong_trades JOIN whole x ON x.id = 'a:' || a_id JOIN whole y ON y.id = 'b:' || b_id WHERE x.cluster_id = y.cluster_id GROUP BY 1),

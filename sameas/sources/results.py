@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Header of an exported result file, and dataset names.
@@ -61,6 +62,34 @@ def pending(grid: DataFrame, done: DataFrame, config: Sequence[str]) -> DataFram
     return grid.join(done.select(*config).distinct(), list(config), "left_anti")
 
 
+def write_cell(rows: DataFrame, path: str, cell: dict) -> None:
+    """The rows of one grid cell as a partition of its own, which replaces what stands
+    there; other cells are not touched, and a cell is there whole or not at all."""
+    marked = rows.select("*", *[F.lit(v).alias(c) for c, v in cell.items()])
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*cell).parquet(path)
+
+
+def read_cells(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The finished cells, none where nothing was written yet. `schema` is that of the rows and the cell."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def run_grid(grid: DataFrame, run: Callable[[dict], DataFrame], path: str, schema: str, most: int | None = None) -> DataFrame:
+    """Runs the cells of `grid` (a small table, a row per cell) that have no result under
+    `path` yet, one after another, at most `most` of them, and returns all finished
+    rows. A run that broke off is resumed by calling it again."""
+    spark, config = grid.sparkSession, grid.columns
+    waiting = pending(grid, read_cells(spark, path, schema), config).orderBy(*config)
+    for cell in (waiting if most is None else waiting.limit(most)).collect():
+        write_cell(run(cell.asDict()), path, cell.asDict())
+    return read_cells(spark, path, schema)
+
+
 def option_grid(spark: SparkSession, options: dict[str, Sequence]) -> DataFrame:
     """Every combination of the given option values."""
     grid = spark.range(1).drop("id")

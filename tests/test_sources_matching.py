@@ -141,3 +141,37 @@ def test_pair_scorer_and_few_shot(products):
     decided = D.few_shot_match(labelled, labelled.limit(60))
     assert set(r["pred"] for r in decided.select("pred").distinct().collect()) <= {0, 1}
     assert D.zero_shot_match(pairs, D.encode_text(a), D.encode_text(b), 0.2).filter("pred = 1").count() > 0
+
+
+def test_grid_resumes_where_it_broke_off(spark, make, tmp_path):
+    path, ran = str(tmp_path / "grid"), []
+    grid = Z.option_grid(spark, {"model": ["m", "n"], "k": [5, 8, 9]})
+    schema = "f1 double, model string, k int"
+
+    def run(cell, fail_at=None):
+        if len(ran) == fail_at:
+            raise RuntimeError("lost")
+        ran.append((cell["model"], cell["k"]))
+        return make([(cell["k"] / 10,), (1.0,)], "f1 double")
+
+    assert Z.read_cells(spark, path, schema).count() == 0
+    with pytest.raises(RuntimeError):
+        Z.run_grid(grid, lambda cell: run(cell, fail_at=3), path, schema)
+    assert ran == [("m", 5), ("m", 8), ("m", 9)]
+    assert rows_of(Z.run_grid(grid, run, path, schema, most=1).select("model", "k").distinct(), "model", "k") == [*ran]
+    whole = Z.run_grid(grid, run, path, schema)
+    assert ran == [(m, k) for m in ("m", "n") for k in (5, 8, 9)] and whole.count() == 12
+    Z.write_cell(make([(0.0,)], "f1 double"), path, {"model": "m", "k": 8})      # a cell is replaced alone
+    assert sorted(r["f1"] for r in Z.read_cells(spark, path, schema).filter("model = 'm'").collect()) == [0.0, 0.5, 0.9, 1.0, 1.0]
+
+
+def test_folds_never_see_their_own_entities(make):
+    rows = [(i % 40, i, int(i % 3 == 0)) for i in range(240)]
+    features = make([(a, b, y, 0.9 * y + 0.05 * (b % 2)) for a, b, y in rows], "a_id long, b_id long, matching int, f double")
+    wide = features.select("*", *[F.col("f").alias(c) for c in D.FEATURES]).drop("f")
+    scored = D.out_of_fold_scores(wide, 3, grid=[("logistic", 0.01)])
+    assert scored.count() == 240 and scored.groupBy("a_id").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
+    assert {r["fold"] for r in scored.select("fold").distinct().collect()} == {0, 1, 2}
+    assert scored.filter("(score > 0.5) <> (matching = 1)").count() == 0
+    one_label = D.out_of_fold_scores(wide.withColumn("matching", F.lit(0)), 2, grid=[("logistic", 0.01)])
+    assert one_label.filter("score = 0").count() == 240
