@@ -1,10 +1,14 @@
 """Nearest text by edit distance, without comparing every pair.
 
-Distances are tried in rounds with the limit t doubling. Two texts within t edits
-share one of the t + 1 segments the second is cut into, at nearly the same place
-(Li et al., Pass-Join, PVLDB 2011), so a round is an equi-join on segments; rows
-that found a partner leave. From SEGMENT_ROUNDS on segments are too short to
-select anything and the join is on the length alone, which edits also bound.
+Distances are tried in rounds with the limit t doubling; rows that found a partner
+leave. B texts lie in bands of t + 1 lengths, so an A text looks into three bands at
+most. Of a text whose band is q the first q (t + 1) letters are cut into t + 1 pieces of
+q letters. t edits leave one of them whole, the i-th at most i places off (Li et
+al., Pass-Join, PVLDB 2011), so a band is met by an equi-join on pieces; only ids and hashes of
+pieces move, and candidates are looked up once. Where pieces would be shorter than
+PIECE letters, or more than four for each letter, they select nothing: there the
+rows of a band meet in slices of fixed size. In both ways counts of letter classes, which an
+edit changes by one at most, rule pairs out before their distance is measured.
 """
 
 from __future__ import annotations
@@ -15,65 +19,76 @@ from sameas.functions.text import text_fingerprint
 from sameas.operators.copies import nearest_by_value
 from sameas.session import cut_lineage
 
-SEGMENT_ROUNDS = 8     # largest limit tried with segments
+PIECE = 3               # letters of a piece at least
+SLICE_ROWS = 512        # rows of a band that meet as many others in one task
+# Any division into classes gives a true bound; these are frequent letters, digits, spaces and marks. All others are one class more.
+CLASSES = ("e", "t", "a", "o", "i", "n", "s", "r", "l", "d", "c", "u", "m", " ", "01234", "56789", "EAOIU", "TNSRL", "#-_./,")
 
 
-def _segment(length: Column, place: Column, limit: int) -> tuple[Column, Column]:
-    """(start, length) of a segment: even cut into limit + 1, longer ones last."""
-    parts = limit + 1
-    base, longer = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts))
-    first_long = F.lit(parts) - longer
-    start = place * base + F.greatest(place - first_long, F.lit(0))
-    return start, base + (place >= first_long).cast("int")
+def letter_counts(text: Column) -> Column:
+    """How many letters of each class a text has."""
+    length = F.length(text)
+    known = [length - F.length(F.translate(text, letters, "")) for letters in CLASSES]
+    return F.array(*known, F.length(F.translate(text, "".join(CLASSES), "")))
 
 
-def _by_segment(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
-    """(a_id, a_text, b_id, b_text) that may lie within `limit` edits, some more than
-    once; b has limit + 1 characters or more."""
+def least_edits(left: Column, right: Column) -> Column:
+    """A bound that no edit distance of texts with these letter counts falls below."""
+    surplus = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.greatest(p - q, F.lit(0))), F.lit(0), lambda n, d: n + d)
+    return F.greatest(surplus(left, right), surplus(right, left))
+
+
+def _cut(band: Column, limit: int) -> Column:
+    """Whether texts of a band are cut into pieces."""
+    return (band >= PIECE) & (F.lit(limit + 1) <= 4 * band)
+
+
+def _banded(a: DataFrame, limit: int) -> DataFrame:
+    """A rows, once for each band that their partners can lie in."""
+    low = F.floor(F.greatest(F.col("length") - limit, F.lit(0)) / (limit + 1))
+    return a.withColumn("band", F.explode(F.sequence(low, F.floor((F.col("length") + limit) / (limit + 1)))))
+
+
+def _by_pieces(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
+    """(a_id, b_id) that share a piece at nearly the same place."""
     places = F.explode(F.sequence(F.lit(0), F.lit(limit))).alias("place")
-    cut_b = b.filter(F.length("text") > limit).select(
-        F.col("id").alias("b_id"), F.col("text").alias("b_text"), F.length("text").alias("len"), places)
-    start, size = _segment(F.col("len"), F.col("place"), limit)
-    right = cut_b.withColumn("piece", F.substring(F.col("b_text"), start + 1, size))
-
-    own = F.length("text")
-    near = a.select(F.col("id").alias("a_id"), "text", F.explode(
-        F.sequence(F.greatest(own - limit, F.lit(limit + 1)), F.greatest(own + limit, F.lit(limit + 1)))).alias("len"))
-    near = near.select("a_id", "text", "len", places)
-    shift = F.length("text") - F.col("len")
-    low = F.greatest(F.lit(0), start - F.col("place"), start + shift - (limit - F.col("place")))
-    high = F.least(F.length("text") - size, start + F.col("place"), start + shift + (limit - F.col("place")))
-    spans = near.select("a_id", "text", "len", "place", size.alias("size"), low.alias("low"), high.alias("high"))
-    left = (
-        spans.filter(F.col("low") <= F.col("high"))
-        .select("a_id", "len", "place", "text", "size", F.explode(F.sequence("low", "high")).alias("at"))
-        .select("a_id", F.col("text").alias("a_text"), "len", "place",
-                F.substring(F.col("text"), F.col("at") + 1, F.col("size")).alias("piece"))
-    )
-    return left.join(right, ["len", "place", "piece"]).select("a_id", "a_text", "b_id", "b_text")
-
-
-def _by_length(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
-    own = F.length("text")
-    left = a.select(F.col("id").alias("a_id"), F.col("text").alias("a_text"),
-                    F.explode(F.sequence(F.greatest(own - limit, F.lit(0)), own + limit)).alias("len"))
-    right = b.select(F.col("id").alias("b_id"), F.col("text").alias("b_text"), F.length("text").alias("len"))
-    return left.join(right, "len").select("a_id", "a_text", "b_id", "b_text")
+    piece = lambda at: F.xxhash64(F.substr("text", (at + 1).cast("int"), F.col("band").cast("int")))
+    right = b.filter(_cut(F.col("band"), limit)).select(F.col("id").alias("b_id"), "band", "text", places).select(
+        "b_id", "band", "place", piece(F.col("place") * F.col("band")).alias("piece"))
+    start = F.col("place") * F.col("band")
+    spans = _banded(a, limit).filter(_cut(F.col("band"), limit)).select(F.col("id").alias("a_id"), "band", "text", "length", places).withColumn(
+        "low", start - F.least("place", start)).withColumn("high", F.least(start + F.col("place"), F.col("length") - F.col("band")))
+    left = spans.filter(F.col("low") <= F.col("high")).withColumn("at", F.explode(F.sequence("low", "high"))).select(
+        "a_id", "band", "place", piece(F.col("at")).alias("piece")).distinct()
+    return left.join(right, ["band", "place", "piece"]).select("a_id", "b_id").distinct()
+
+
+def _by_slices(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
+    """(a_id, a_text, b_id, b_text) of bands that are not cut, letters allowing it:
+    A rows are dealt to slices and B rows go to each of them, and the other way round."""
+    whole_a = _banded(a, limit).filter(~_cut(F.col("band"), limit))
+    whole_b = b.filter(~_cut(F.col("band"), limit))
+    count = lambda df, name: df.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias(name))
+    # a row for each band: as many as lengths at most
+    sizes = cut_lineage(count(whole_a, "parts_a").join(count(whole_b, "parts_b"), "band"))
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = whole_a.join(F.broadcast(sizes), "band").withColumn("sa", own("parts_a")).withColumn("sb", every("parts_b")).select(
+        "band", "sa", "sb", F.col("id").alias("a_id"), F.col("text").alias("a_text"), F.col("letters").alias("a_letters"))
+    right = whole_b.join(F.broadcast(sizes), "band").withColumn("sb", own("parts_b")).withColumn("sa", every("parts_a")).select(
+        "band", "sa", "sb", F.col("id").alias("b_id"), F.col("text").alias("b_text"), F.col("letters").alias("b_letters"))
+    return left.join(right, ["band", "sa", "sb"]).filter(least_edits(F.col("a_letters"), F.col("b_letters")) <= limit).select(
+        "a_id", "a_text", "b_id", "b_text")
 
 
 def _within(a: DataFrame, b: DataFrame, limit: int, same_table: bool) -> DataFrame:
-    """(a_id, b_id, distance) of the nearest b at most `limit` edits away.
-
-    Texts travel with the join keys, so a pair is measured where it is met and
-    only the best per a_id and task is shuffled, never the pairs.
-    """
-    if limit <= SEGMENT_ROUNDS:
-        short_a = a.filter(F.length("text") <= 2 * limit)
-        pairs = _by_segment(a, b, limit).unionByName(_by_length(short_a, b.filter(F.length("text") <= limit), limit))
-    else:
-        pairs = _by_length(a, b, limit)
-    if same_table:
-        pairs = pairs.filter(F.col("a_id") != F.col("b_id"))
+    """(a_id, b_id, distance) of the nearest b at most `limit` edits away."""
+    banded = b.withColumn("band", F.floor(F.col("length") / (limit + 1)))
+    other = F.col("a_id") != F.col("b_id") if same_table else F.lit(True)
+    end = lambda df, name: df.select(F.col("id").alias(f"{name}_id"), F.col("text").alias(f"{name}_text"), F.col("letters").alias(f"{name}_letters"))
+    found = _by_pieces(a, banded, limit).filter(other).join(end(a, "a"), "a_id").join(end(b, "b"), "b_id").filter(
+        least_edits(F.col("a_letters"), F.col("b_letters")) <= limit).select("a_id", "a_text", "b_id", "b_text")
+    pairs = found.unionByName(_by_slices(a, banded, limit).filter(other))
     measured = pairs.select("a_id", "b_id", F.levenshtein("a_text", "b_text", limit).alias("distance"))
     best = measured.filter(F.col("distance") >= 0).groupBy("a_id").agg(F.min(F.struct("distance", "b_id")).alias("best"))
     return best.select("a_id", "best.b_id", "best.distance")
@@ -84,7 +99,8 @@ def _search(a: DataFrame, b: DataFrame, same_table: bool) -> DataFrame:
     # few bytes, much measuring: keep every core busy, which sizes alone would not
     spark = a.sparkSession
     width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = lambda df: cut_lineage(df.select("id", "text").repartition(width, "id"))
+    counted = lambda df: df.select("id", "text", F.length("text").alias("length"), letter_counts(F.col("text")).alias("letters"))
+    spread = lambda df: cut_lineage(counted(df).repartition(width, "id"))
     waiting, found, limit = spread(a), None, 1
     others = waiting if same_table else spread(b)
     while True:

@@ -191,3 +191,41 @@ def test_edit_distance_nearest(make, same):
         expected.append((i, j, d))
     df = lambda rows: make(rows, "id long, text string")
     assert rows_of(levenshtein_nearest(df(a), df(b), same_table=same), "a_id", "b_id", "distance") == sorted(expected)
+
+
+def test_edit_distance_of_long_texts(make):
+    """Texts of 5,000 letters and more, near ones 1 to 20 edits apart, far ones that only meet in slices."""
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abcdefgh ", k=n)) for n in (5000, 5200, 5200)]
+
+    def edited(text, n):
+        for _ in range(n):
+            at = rng.randrange(len(text))
+            text = rng.choice([text[:at] + text[at + 1:], text[:at] + "x" + text[at:], text[:at] + "y" + text[at + 1:]])
+        return text
+
+    rows = [(100 * i + n, edited(text, n)) for i, text in enumerate(base) for n in (0, 1, 5, 20)]
+    df = make(rows, "id long, text string")
+    got = {r["a_id"]: (r["b_id"], r["distance"]) for r in levenshtein_nearest(df, df, same_table=True).collect()}
+    for i in range(3):
+        assert got[100 * i + 1] == (100 * i, 1) and got[100 * i + 5][0] // 100 == i and got[100 * i + 20][0] // 100 == i
+        assert got[100 * i][1] == 1 and got[100 * i + 5][1] <= 6 and got[100 * i + 20][1] <= 21
+
+
+def test_edit_distance_of_many_texts_of_one_length(make):
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices("abcdefghijkl", k=24))) for i in range(2500)]
+    rows += [(2500 + i, t[:k] + "z" + t[k + 1:]) for i, (_, t) in enumerate(rows[:2500]) for k in [rng.randrange(24)]]
+    df = make(rows, "id long, text string")
+    got = rows_of(levenshtein_nearest(df, df, same_table=True), "a_id", "b_id", "distance")
+    assert got == sorted([(i, 2500 + i, 1) for i in range(2500)] + [(2500 + i, i, 1) for i in range(2500)])
+
+
+def test_letter_counts_are_a_bound(make):
+    from sameas.operators.editdistance import least_edits, letter_counts
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdeéß 9#") for _ in range(rng.randint(0, 12)))
+    pairs = make([(word(), word()) for _ in range(300)], "x string, y string")
+    bound = least_edits(letter_counts(F.col("x")), letter_counts(F.col("y")))
+    rated = pairs.select(bound.alias("bound"), F.levenshtein("x", "y").alias("d"))
+    assert rated.filter("bound > d").count() == 0 and rated.agg(F.max("bound")).head()[0] > 4
