@@ -6,32 +6,33 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sameas.sources.lines import csv_records
+
 # Names in a dataset folder.
 ID_COLUMN = "subject_id"
 GOLD_FILES = {"train": "gs_train.csv", "val": "gs_val.csv", "test": "gs_test.csv"}
 CUSTOM_FOLDER = "custom_dataset"
 CUSTOM_A, CUSTOM_B = "1_custom.csv", "2_custom.csv"
 
-REPLACEMENT = "�"      # what Spark puts where bytes are not valid UTF-8
+QUOTES = {"quote": '"', "escape": '"'}
 
 
 def _csv(spark: SparkSession, path: str, encoding: str, line_breaks: bool) -> DataFrame:
-    return (spark.read.option("header", True).option("encoding", encoding).option("multiLine", line_breaks)
-            .option("quote", '"').option("escape", '"').csv(path))
+    return spark.read.options(header=True, encoding=encoding, multiLine=line_breaks, **QUOTES).csv(path)
 
 
-def read_entities(spark: SparkSession, path: str, id_col: str = ID_COLUMN, as_id: str = "id",
-                  line_breaks: bool = True) -> DataFrame:
-    """CSV (all columns text, as spelled) or parquet, by the ending of `path`.
-    A CSV that is not UTF-8 is read again as Latin-1. Quoted line breaks make a
-    file one task; without them, `line_breaks=False` lets Spark split large files."""
+def read_entities(spark: SparkSession, path: str, id_col: str = ID_COLUMN, as_id: str = "id") -> DataFrame:
+    """CSV (all columns text, as spelled) or parquet, by the ending of `path`. A CSV is
+    read in splits, with quoted line breaks put together again across them; one that is not
+    UTF-8 is Latin-1. Every file has the header of the first; empty lines are skipped."""
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
-        df = _csv(spark, path, "UTF-8", line_breaks)
-        damaged = F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns]).contains(REPLACEMENT)
-        if not df.filter(damaged).isEmpty():
-            df = _csv(spark, path, "ISO-8859-1", line_breaks)
+        records, encoding = csv_records(spark, path)
+        columns = _csv(spark, path, encoding, True).columns      # reads the first record
+        rows = records.filter((F.col("record") > 0) & (F.trim("text") != ""))
+        kinds = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
+        df = rows.select(F.from_csv("text", kinds, QUOTES).alias("row")).select("row.*")
     return df.withColumnRenamed(id_col, as_id)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sameas.operators.sampling import random_split
+from sameas.sources.lines import numbered_lines
 
 PAIR = ["a_id", "b_id"]
 
@@ -95,10 +96,9 @@ def read_candidate_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_candidate_positions(spark: SparkSession, path: str) -> DataFrame:
     """(a_id, b_id) from an old positional file: line i holds the B positions of
-    A row i. Line numbers need the file whole, so these files stay small."""
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split(F.regexp_replace("value", "\\n$", ""), "\\r?\\n")).alias("a_id", "line"))
-    return lines.select(F.col("a_id").cast("bigint"), F.explode(F.split("line", ",")).alias("b_id")).select(
+    A row i. Lines are numbered split by split."""
+    lines = numbered_lines(spark, path)
+    return lines.select(F.col("line").alias("a_id"), F.explode(F.split("value", ",")).alias("b_id")).select(
         "a_id", F.col("b_id").try_cast("bigint").alias("b_id")).filter(F.col("b_id").isNotNull())
 
 

@@ -175,3 +175,47 @@ def test_folds_never_see_their_own_entities(make):
     assert scored.filter("(score > 0.5) <> (matching = 1)").count() == 0
     one_label = D.out_of_fold_scores(wide.withColumn("matching", F.lit(0)), 2, grid=[("logistic", 0.01)])
     assert one_label.filter("score = 0").count() == 240
+
+
+def odd_csv(seed, rows):
+    import random
+    rng = random.Random(seed)
+    cell = lambda: rng.choice(['plain', '', '""', '"a, b"', '"two\nlines"', '"she said ""no"",\n\nthen ""yes"""', '5" disk', 'ü', '"\n"', ' x ', '"long ' + "y" * 300 + '"'])
+    return "subject_id,name,note\n" + "".join(f"{i},{cell()},{cell()}\n" for i in range(rows)) + "\n"
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "latin1"])
+@pytest.mark.parametrize("split", ["257", "4096", "128m"])
+def test_csv_is_read_in_splits(spark, tmp_path, split, encoding):
+    text = odd_csv(3, 300)
+    path = folder(tmp_path, "tables", {"table_a.csv": text.encode(encoding), "table_b.csv": odd_csv(4, 40).encode(encoding)})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for source in (f"{path}/table_a.csv", path + "/*.csv"):
+            whole = E._csv(spark, source, "UTF-8" if encoding == "utf-8" else "ISO-8859-1", True).toDF("id", "name", "note")
+            read = E.read_entities(spark, source)
+            assert read.columns == ["id", "name", "note"]
+            order = lambda df: sorted(map(repr, df.collect()))
+            assert order(read) == order(whole)
+        assert split == "128m" or E.csv_records(spark, f"{path}/table_a.csv")[0].rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_positions_are_numbered_over_splits(spark, tmp_path):
+    lines = [",".join(str((i * 7 + j) % 500) for j in range(i % 4)) for i in range(500)]
+    path = folder(tmp_path, "blocked", {"positions.txt": "\n".join(lines) + "\n"})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        found = rows_of(R.read_candidate_positions(spark, path + "/positions.txt"), "a_id", "b_id")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == sorted((i, int(x)) for i, line in enumerate(lines) for x in line.split(",") if x)
+
+
+def test_empty_csv_files(spark, tmp_path):
+    path = folder(tmp_path, "none", {"a.csv": "subject_id,name\n"})
+    df = E.read_entities(spark, path + "/a.csv")
+    assert df.columns == ["id", "name"] and df.count() == 0
