@@ -48,6 +48,7 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.find_plain = re.compile(PLAIN).findall if pattern == public_tokenizers.PATTERN else self.find
         self.known: dict[str, bytes] = {}
+        self.cached = CACHED
 
     def cut(self, text: str) -> list[str]:
         return self.find(text) if UNUSUAL(text) else self.find_plain(text)
@@ -81,7 +82,7 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.cut(text) for text in texts]
         seen = set().union(*cut) if cut else set()
-        if len(self.known) + len(seen) > CACHED:
+        if len(self.known) + len(seen) > self.cached:
             self.known = {p: self.known[p] for p in seen if p in self.known}
         new = [p for p in seen if p not in self.known]
         if new:
@@ -107,8 +108,9 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id",
-           text_col: str = "text", ids: bool = False) -> DataFrame:
+           text_col: str = "text", ids: bool = False, cached: int = CACHED) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids array<bigint>]) of every whole text.
+    A worker remembers the ids of about `cached` pieces.
 
     A null text counts as empty: no tokens, the digests of nothing. Rows are kept
     one by one, repeated ids included; other columns are not read. The path must
@@ -122,6 +124,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, pattern)
+        tool.cached = cached
         for batch in batches:
             for first, last, texts in _texts(batch.column(1)):
                 coded = tool.encode_block(texts)
