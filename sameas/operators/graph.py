@@ -77,16 +77,29 @@ def _meet(pairs: DataFrame, links: DataFrame, degree: DataFrame) -> DataFrame:
     return steps.join(links, ["node", "other"], "left_semi").select("x", "y").distinct()
 
 
-def _close_once(matched: DataFrame, open_pairs: DataFrame) -> DataFrame:
+def _ends(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, other) seen from A and from B."""
+    return (pairs.select(F.col("a_id").alias("node"), F.col("b_id").alias("other")),
+            pairs.select(F.col("b_id").alias("node"), F.col("a_id").alias("other")))
+
+
+def _degrees(pairs: DataFrame, before: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node, degree) of A and of B; with `before` the pairs are added to what it counts."""
+    found = []
+    for side, ends in enumerate(_ends(pairs)):
+        new = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        found.append(new if before is None else before[side].unionByName(new).groupBy("node").agg(F.sum("degree").alias("degree")))
+    return found[0], found[1]
+
+
+def _close_once(matched: DataFrame, open_pairs: DataFrame, degrees: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Open (e1, e4) with matched (e1, e2), (e3, e2), (e3, e4) for some e2, e3.
 
     From the end of (e1, e4) with fewer matches one step is taken; the node
     reached and the other end must then have a common matched neighbour.
     """
-    by_a = matched.select(F.col("a_id").alias("node"), F.col("b_id").alias("other"))
-    by_b = matched.select(F.col("b_id").alias("node"), F.col("a_id").alias("other"))
-    degree_a = by_a.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    degree_b = by_b.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    by_a, by_b = _ends(matched)
+    degree_a, degree_b = degrees or _degrees(matched)
     rated = (
         open_pairs.join(degree_a.select(F.col("node").alias("a_id"), F.col("degree").alias("da")), "a_id")
         .join(degree_b.select(F.col("node").alias("b_id"), F.col("degree").alias("db")), "b_id")
@@ -106,12 +119,22 @@ def transitive_round(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     return _close_once(known, candidates.select(*PAIR).distinct().join(known, PAIR, "left_anti"))
 
 
+def _touched(waiting: DataFrame, known: DataFrame, added: DataFrame) -> DataFrame:
+    """The open pairs that a way over an added pair can close. On the way e1, e2, e3, e4 a
+    new (e1, e2) or (e3, e2) makes e2 a new B end that e1 is matched with, a new
+    (e3, e4) makes e4 one; all other pairs were decided before."""
+    ends = added.select("b_id").distinct()
+    near = known.join(ends, "b_id", "left_semi").select("a_id").distinct()
+    return waiting.join(near, "a_id", "left_semi").unionByName(waiting.join(ends, "b_id", "left_semi")).distinct()
+
+
 def transitive_closure(matches: DataFrame, candidates: DataFrame) -> DataFrame:
     """(a_id, b_id, round): matches (round 0) and the candidates that follow from
     them, until nothing is added. A pair can only close inside a component of the
-    matches, so all others leave before the first round."""
+    matches, so all others leave before the first round; later rounds look only at
+    pairs that the last one's additions touch, and add to the counts of matches."""
     known = cut_lineage(matches.select(*PAIR).distinct())
-    parts = connected_components(two_sided_nodes(known))
+    parts = cut_lineage(connected_components(two_sided_nodes(known)))
     side = lambda tag, col: parts.filter(F.col("id").startswith(tag)).select(
         F.substr("id", F.lit(3)).alias(f"{col}_text"), F.col("cluster_id").alias(f"{col}_cluster"))
     waiting = candidates.select(*PAIR).distinct().join(known, PAIR, "left_anti")
@@ -121,11 +144,12 @@ def transitive_closure(matches: DataFrame, candidates: DataFrame) -> DataFrame:
         .filter(F.col("a_cluster") == F.col("b_cluster")).select(*PAIR)
     )
     waiting = cut_lineage(waiting)
-    result = known.withColumn("round", F.lit(0))
+    result, touched, degrees = known.withColumn("round", F.lit(0)), waiting, tuple(map(cut_lineage, _degrees(known)))
     for number in count(1):         # every round takes pairs from those that wait
-        added = cut_lineage(_close_once(known, waiting))
+        added = cut_lineage(_close_once(known, touched, degrees))
         if added.isEmpty():
             return result
         result = result.unionByName(added.withColumn("round", F.lit(number)))
         known = known.unionByName(added)
         waiting = cut_lineage(waiting.join(added, PAIR, "left_anti"))
+        touched, degrees = cut_lineage(_touched(waiting, known, added)), tuple(map(cut_lineage, _degrees(added, degrees)))

@@ -136,3 +136,30 @@ def test_component_split_and_negatives(make):
         assert sorted(places) == list(range(1, len(places) + 1))
     lonely = make([(1, 1, "train")], PAIRS + ", split string")
     assert S.negative_samples(lonely, ratio=3).count() == 0     # nothing to pair with: fewer, never a loop
+
+
+def test_later_rounds_look_at_what_the_last_one_touched(make, monkeypatch):
+    """A long chain closes round by round, a cluster that was finished at once is not looked at again."""
+    from sameas.operators import graph
+    chain = [(i, i) for i in range(12)] + [(i + 1, i) for i in range(11)]
+    block = [(100 + i, 100 + j) for i in range(6) for j in range(6) if (i + j) % 2 == 0] + [(100, 101)]
+    everything = [(i, j) for i in range(12) for j in range(12)] + [(100 + i, 100 + j) for i in range(6) for j in range(6)]
+    seen, close = [], graph._close_once
+    monkeypatch.setattr(graph, "_close_once", lambda known, waiting, degrees=None: seen.append(
+        {tuple(r) for r in waiting.select("a_id", "b_id").collect()}) or close(known, waiting, degrees))
+    pairs = lambda rows: make(rows, "a_id long, b_id long")
+    got = {(r["a_id"], r["b_id"]): r["round"] for r in graph.transitive_closure(pairs(chain + block), pairs(everything)).collect()}
+
+    known, number, expected = set(chain + block), 0, {p: 0 for p in chain + block}
+    while True:
+        by_a = {a: {b for x, b in known if x == a} for a, _ in known}
+        new = {(a, b) for a, b in everything if (a, b) not in known and a in by_a and any(
+            by_a[c] & by_a[a] and b in by_a[c] for c in by_a)}
+        if not new:
+            break
+        number += 1
+        expected |= {p: number for p in new}
+        known |= new
+    assert got == expected and number > 2
+    assert all(len(later) < len(first) for first, later in zip(seen, seen[1:]))
+    assert all(a < 100 for a, _ in seen[-1])
