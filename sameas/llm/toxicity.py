@@ -81,13 +81,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def framed(numbers: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words with borders so that every text has a window and none holds two texts'
-    words: (sequence, place at which each text starts)."""
+    """Words with borders on both sides of every text, so that each has a window and none
+    holds another text's words: (sequence, place of each text's first window)."""
     gap = max(WIDTHS)
+    lead = gap - 1          # windows that begin in the border before a text are the text's
     lengths = np.diff(firsts)
     places = np.cumsum(np.r_[0, lengths[:-1] + gap]) if len(lengths) else np.zeros(0, np.int64)
-    sequence = np.zeros(int(lengths.sum()) + gap * len(lengths) + gap, np.int64)
-    at = np.repeat(places - firsts[:-1], lengths) + np.arange(len(numbers))
+    sequence = np.zeros(lead + int(lengths.sum()) + gap * len(lengths) + gap, np.int64)
+    at = np.repeat(places + lead - firsts[:-1], lengths) + np.arange(len(numbers))
     sequence[at] = numbers
     return sequence, places
 
