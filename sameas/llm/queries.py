@@ -106,6 +106,28 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum([coalesce(x[
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op12_spelling": f"""
+WITH RECURSIVE bits AS (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM (SELECT CAST(unnest(range(0, 256)) AS BIGINT) AS i)),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+coded AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs),
+marked AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) FOR i IN range(0, len(h) // 2)]),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS crc FROM coded, tab),
+counted AS (SELECT CASE WHEN crc % {spelling.DAMAGED} = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM marked),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM counted GROUP BY word HAVING length(word) >= {spelling.LEAST_LETTERS} AND sum(n) >= {spelling.LEAST_COUNT}),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+holes AS (SELECT word, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS hole, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM places),
+near AS (SELECT a.word, b.word AS other FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT h.word, w.word FROM holes h JOIN words w ON h.less = w.word UNION SELECT w.word, h.word FROM holes h JOIN words w ON h.less = w.word),
+rated AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-w.n, other)) AS best, max(w.n) AS best_n FROM near JOIN words w ON w.word = other GROUP BY near.word),
+formed AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {spelling.RATIO} * words.n THEN best END AS form,
+  CASE WHEN best_n >= {spelling.RATIO} * words.n THEN best_n END AS form_n FROM words LEFT JOIN rated USING (word)),
+way AS (SELECT word, coalesce(form, word) AS root FROM formed UNION SELECT way.word, f.form FROM way JOIN formed f ON f.word = way.root WHERE f.form IS NOT NULL),
+last AS (SELECT way.word, arg_max(root, f.n) AS root FROM way JOIN formed f ON f.word = way.root GROUP BY way.word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN last USING (word)
 """,
     "op8_mixing": f"""
 WITH RECURSIVE s AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 0.5) AS w FROM documents GROUP BY source),
