@@ -85,6 +85,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op7_byte_bpe, op8_mixing, op9_embedding_dedup, op10_lz_fingerprint, op11_impact_search, op12_spelling,
                             op13_conversation_repair)}
 
+# crc32 of UTF-8 text: a table by rule, then a step for every byte of the hex text `h`.
+CRC_TABLE = """bits AS (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM (SELECT CAST(unnest(range(0, 256)) AS BIGINT) AS i)),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits)"""
+CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) FOR i IN range(0, len(h) // 2)]),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+
+def _repair_sql() -> str:
+    """The cheapest edits by a table that grows forward row by row: for the state after no
+    role, system, user or assistant (s1 to s4) the least (cost, letters, lines)."""
+    def to(state: str, cost: str, letter: str, line: str | None = None, when: str = "true") -> str:
+        lines = f"{state}.t" if line is None else f"{state}.t || chr(10) || {line}"
+        return f"CASE WHEN {when} AND {state} IS NOT NULL THEN struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', t := {lines}) END"
+
+    insert = lambda state, role: to(state, "5", "I", f"'{role}:'")
+    least = lambda *options: "list_min([" + ", ".join(options) + "])"
+    opened = least("s3", insert("s1", "user"), insert("s2", "user"), insert("s4", "user"))
+    drop = lambda state: to(state, "2", "D")
+    extra = "(CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END)"
+    able = "fault NOT IN ('blank', 'duplicate')"
+    keep = lambda state, initial: to(state, extra, "K", "role || ':' || text", f"{able} AND initial = '{initial}'")
+    rerole = lambda state, role: to(state, f"(1 + {extra})", "R", f"'{role}:' || text", able)
+    before_user = ("s1", "s2", "s4")
+    with_inserts = f"SELECT * REPLACE ({least('s4', insert('s3', 'assistant'))} AS s4) FROM (SELECT * REPLACE ({opened} AS s3) FROM %s)"
+    moved = ", ".join([drop("s1") + " AS s1", least(drop("s2"), keep("s1", "s")) + " AS s2",
+                       least(drop("s3"), *[keep(x, "u") for x in before_user], *[rerole(x, "user") for x in before_user]) + " AS s3",
+                       least(drop("s4"), keep("s3", "a"), rerole("s3", "assistant")) + " AS s4"])
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+keyed AS (SELECT *, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations),
+fated AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC} % 20 AS fate FROM keyed, tab),
+damaged AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+  CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(0, CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS nth FROM fated),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), nth) AS n,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+judged AS (SELECT *, left(role, 1) AS initial, CASE WHEN bare = '' THEN 'blank' WHEN n > min(n) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate'
+  WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS two FROM placed),
+step AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, struct_pack(c := CAST(0 AS BIGINT), a := '', t := '') AS s1, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)) AS s2,
+    CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)) AS s3, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR)) AS s4 FROM (SELECT DISTINCT conv_id FROM judged)
+  UNION ALL
+  SELECT conv_id, n, {moved} FROM ({with_inserts % "(SELECT step.conv_id, judged.n, s1, s2, s3, s4, role, text, fault, initial FROM step JOIN judged ON judged.conv_id IS NOT DISTINCT FROM step.conv_id AND judged.n = step.n + 1)"})),
+ended AS (SELECT conv_id, {least("s1", "s4")} AS s FROM ({with_inserts % "(SELECT * FROM step QUALIFY n = max(n) OVER (PARTITION BY conv_id))"})),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+  count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(s.c, 0) AS BIGINT) AS cost, coalesce(s.a, '') AS audit, sha256(substr(coalesce(s.t, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 BARE = "trim(x, ' ' || chr(9) || chr(13))"
 ORACLE: dict[str, str] = {
     "op5_line_dedup": f"""
@@ -107,15 +161,13 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum([coalesce(x[
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
+    "op13_conversation_repair": _repair_sql(),
     "op12_spelling": f"""
-WITH RECURSIVE bits AS (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
-  FROM (SELECT CAST(unnest(range(0, 256)) AS BIGINT) AS i)),
-tab AS (SELECT list(c ORDER BY i) AS t FROM bits),
+WITH RECURSIVE {CRC_TABLE},
 runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id,
     unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
 coded AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs),
-marked AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) FOR i IN range(0, len(h) // 2)]),
-    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS crc FROM coded, tab),
+marked AS (SELECT run, n, {CRC} AS crc FROM coded, tab),
 counted AS (SELECT CASE WHEN crc % {spelling.DAMAGED} = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM marked),
 words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM counted GROUP BY word HAVING length(word) >= {spelling.LEAST_LETTERS} AND sum(n) >= {spelling.LEAST_COUNT}),
 places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),

@@ -231,7 +231,7 @@ def test_forward_backward_equals_the_plain_one():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DOCS}/{table}.parquet'")
     result = con.execute(queries.ORACLE[name])
     columns = [d[0] for d in result.description]
