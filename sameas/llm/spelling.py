@@ -90,12 +90,12 @@ def _node(side: Column, prefix: Column) -> Column:
 
 
 def _both_ways(words: DataFrame) -> DataFrame:
-    """(side, w, start): each word forwards and backwards, and where its states start."""
+    """(number, side, w, start): each word forwards and backwards, and where its states start."""
     n = F.length("word")
     start = lambda half: F.least(half.cast("int"), _last_start(n))
-    return words.select(F.explode(F.array(
+    return words.select("number", F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("word").alias("w"), start(F.floor(n / 2)).alias("start")),
-        F.struct(F.lit(1).alias("side"), F.reverse("word").alias("w"), start(F.ceil(n / 2)).alias("start")))).alias("s")).select("s.*")
+        F.struct(F.lit(1).alias("side"), F.reverse("word").alias("w"), start(F.ceil(n / 2)).alias("start")))).alias("s")).select("number", "s.*")
 
 
 def _last_start(n: Column) -> Column:
@@ -108,19 +108,19 @@ def edge_table(sided: DataFrame) -> DataFrame:
     the depth where states start. `ends` marks a word; `lengths`, `next` and `second`
     are the lengths left and the letters at the next two places below the child."""
     n = F.length("w")
-    depths = sided.select("side", "w", "start", F.explode(F.sequence(F.least(F.floor(n / 2).cast("int"), _last_start(n)), n)).alias("depth"))
+    depths = sided.select("number", "side", "w", "start", F.explode(F.sequence(F.least(F.floor(n / 2).cast("int"), _last_start(n)), n)).alias("depth"))
+    # a row for each prefix: the word itself stays behind, its number goes on
     prefixes = depths.select(
-        "side", "w", "depth", _node(F.col("side"), F.substr("w", F.lit(1), F.col("depth"))).alias("node"),
+        "number", "side", "depth", _node(F.col("side"), F.substr("w", F.lit(1), F.col("depth"))).alias("node"),
         (F.col("depth") == F.col("start")).alias("begins"), (F.col("depth") == n).alias("ends"),
-        F.substr("w", F.col("depth") + 1, F.lit(1)).alias("letter"))
-    rest = F.col("depth")
+        F.substr("w", F.col("depth") + 1, F.lit(1)).alias("letter"), _length_bit(n - F.col("depth")).alias("left"),
+        _letter(F.col("w"), F.col("depth") + 1).alias("next"), _letter(F.col("w"), F.col("depth") + 2).alias("second"))
     nodes = prefixes.groupBy("node").agg(
         F.max("begins").alias("begins"), F.max("ends").alias("ends"), (F.min("letter") != F.max("letter")).alias("parts"),
-        F.bit_or(_length_bit(F.length("w") - rest)).alias("lengths"), F.bit_or(_letter(F.col("w"), rest + 1)).alias("next"),
-        F.bit_or(_letter(F.col("w"), rest + 2)).alias("second")).filter("begins or ends or parts")
-    chains = prefixes.select("side", "w", "depth", "node").join(nodes.drop("begins", "parts"), "node").groupBy("side", "w").agg(
+        F.bit_or("left").alias("lengths"), F.bit_or("next").alias("next"), F.bit_or("second").alias("second")).filter("begins or ends or parts")
+    chains = prefixes.select("number", "side", "depth", "node").join(nodes.drop("begins", "parts"), "node").groupBy("number", "side").agg(
         F.array_sort(F.collect_list(F.struct("depth", "node", "ends", "lengths", "next", "second"))).alias("chain"))
-    steps = chains.select("w", F.explode(F.arrays_zip(
+    steps = chains.join(sided.select("number", "side", "w"), ["number", "side"]).select("w", F.explode(F.arrays_zip(
         F.slice("chain", F.lit(1), F.size("chain") - 1).alias("a"), F.slice("chain", F.lit(2), F.size("chain") - 1).alias("b"))).alias("step"))
     return steps.select(
         F.col("step.a.node").alias("node"), F.col("step.b.node").alias("child"),
@@ -154,7 +154,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     """(word, near): all ordered pairs of distinct words that differ by exactly one
     inserted, deleted or replaced letter. `words` is (word), each once, none empty.
     An empty table gives no pair."""
-    sided = _both_ways(words)
+    sided = _both_ways(cut_lineage(words.select("word").withColumn("number", F.monotonically_increasing_id())))
     edges = cut_lineage(edge_table(sided))
     states = sided.select("side", "w", F.col("start").alias("pos"), _node(F.col("side"), F.substr("w", F.lit(1), F.col("start"))).alias("node"),
                           F.lit(0).alias("edits"))

@@ -74,6 +74,8 @@ def test_groups_agree_with_all_pairs(spark, damaged):
     rng = random.Random(3)
     words = ["Straßen", "straßen", "étionneur", "letters", "lettres", "letter", "lettters", "ÀÉÎõü", "wordless", "worldless", "wordles"]
     rows = [(i, " ".join(rng.choices(words, weights=[1, 9, 30, 300, 40, 5, 7, 3, 60, 12, 2], k=40)) + "1x, y_z") for i in range(60)]
+    giant = "".join(rng.choices("abcdefg", k=6_000))
+    rows += [(100 + i, f"{giant[:i // 5 * 2_000]}{giant} {giant[:4_000]}z{giant[4_000:]}") for i in range(10)]
     rows += [(None, "lettersx " * 6), (7, None), (7, ""), (8, "12 !? \n"), (9, "q" * 50_000)] + [(10, "lettres étionneurs")] * 7
     assert groups(spark, rows, damaged=damaged) == plain_groups(rows, damaged=damaged)
 
