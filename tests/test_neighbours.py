@@ -92,6 +92,22 @@ def test_tfidf_reads_fewer_postings_of_larger_tables(make, monkeypatch):
     assert shares[1] < shares[0] / 2, shares
 
 
+@pytest.mark.parametrize("sizes", [{}, {"TILE_ROWS": 16}, {"TILE_NUMBERS": 64, "DENSE_SHARE": 0.5, "SLICE_NUMBERS": 100}, {"DENSE_SHARE": 2.0},
+                                   {"DENSE_NUMBERS": 200, "DENSE_SHARE": 0.0}])
+@pytest.mark.parametrize("same", [False, True])
+def test_tfidf_tiles_agree_with_brute_force(make, monkeypatch, sizes, same):
+    """Rows that would meet through many postings meet in tiles, where no pair is moved."""
+    for name, value in {"READ_ROWS": -1, **sizes}.items():
+        monkeypatch.setattr(X, name, value)
+    monkeypatch.setattr(X, "_read", lambda entries, blocks: pytest.fail("pairs were moved"))
+    a = texts(40, 1) + [(100, ""), (101, "unseen"), (102, None)]
+    b = a if same else texts(60, 2) + [(200, ""), (201, "another")]
+    df = lambda rows: make(rows, "id long, text string")
+    plain = lambda rows: [(i, t or "") for i, t in rows]
+    assert found(knn_tfidf(df(a), df(b), 4, same_table=same)) == tfidf_by_hand(plain(a), plain(b), 4, same)
+    assert knn_tfidf(df(a), df(b).limit(0), 4).count() == 0
+
+
 def test_tfidf_hot_copies(make):
     """A third of all rows are one text: every list is whole, ties by id."""
     rows = [(i, "red steel ring") for i in range(50)] + [(100 + i, t) for i, t in texts(100, 3)]
