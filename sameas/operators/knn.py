@@ -5,7 +5,9 @@ around about sqrt(n) pivots, which are found through a table of sqrt(pivots) upp
 ones. From its distances to pivots and the members that lie closest to them every A row has a
 distance within which its k nearest must lie (Lu et al., PVLDB 2012, there per
 cell); it visits only cells that reach into it, and whole branches of the tree
-are ruled out first. Visitors and members of a cell are compared in tiles of bounded
+are ruled out first. Cells that follow each other in the tree form a group, and a row is sent once
+to each group that holds a cell it visits, so that where it must see all of them it moves once per TILE_ROWS
+members and not once per cell. Visitors and members of a group are compared in tiles of bounded
 size, so that a cell holding a third of all rows is many tasks. Each tile keeps its k
 best per A row and the rest is a top-k.
 """
@@ -17,13 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sameas.functions.ordering import hash_key
-from sameas.operators.copies import SCORE_DIGITS, nearest_by_value, top_k
+from sameas.operators.copies import best_columns, nearest_by_value, top_k
 from sameas.session import cut_lineage
 
 CELL_ROWS = 1024     # rows wanted in a cell at least
 PIVOT_NUMBERS = 1 << 22      # components of all pivots, which every task holds: 32 MB
-TILE_ROWS = 8192     # vectors per block; a larger tile means fewer copies of each vector
-SLICE_ROWS = 1024    # rows of A multiplied at a time, so that a product stays small
+TILE_ROWS = 16_384   # vectors per block at most; a larger tile means fewer copies of each vector
+TILE_NUMBERS = 1 << 22       # components per block at most: 32 MB
+SLICE_ROWS = 1024    # rows of A whose cells are looked up at a time
+SLICE_NUMBERS = 1 << 21      # products kept at a time: 16 MB
 SLACK = 1e-6
 
 
@@ -101,17 +105,28 @@ def _placed(df: DataFrame, tree: _Tree) -> DataFrame:
     return df.select("id", "v").mapInPandas(nearest, schema)
 
 
-def _visiting(df: DataFrame, tree: _Tree, radius: np.ndarray, firsts: np.ndarray, k: int) -> DataFrame:
-    """(id, v, cells): unit vector and the cells it must see."""
+def _grouped(tree: _Tree, members: np.ndarray, most: int) -> np.ndarray:
+    """Group of every cell: cells in the order of the tree, as many as hold `most` rows together; a larger cell is alone."""
+    group, at, held = np.zeros(len(members), np.int64), 0, 0
+    for cell in np.concatenate(tree.children):
+        if held and held + members[cell] > most:
+            at, held = at + 1, 0
+        group[cell], held = at, held + members[cell]
+    return group
+
+
+def _visiting(df: DataFrame, tree: _Tree, radius: np.ndarray, firsts: np.ndarray, group: np.ndarray, k: int) -> DataFrame:
+    """(id, v, groups): unit vector and the groups that hold a cell it must see."""
     schema = T.StructType([T.StructField("id", df.schema["id"].dataType), T.StructField("v", T.ArrayType(T.DoubleType())),
-                           T.StructField("cells", T.ArrayType(T.IntegerType()))])
+                           T.StructField("groups", T.ArrayType(T.IntegerType()))])
 
     def visits(batches):
         for pdf in batches:
             for at in range(0, len(pdf), SLICE_ROWS):
                 part = pdf.iloc[at:at + SLICE_ROWS]
                 unit = _unit(_matrix(part["v"]))
-                yield pd.DataFrame({"id": part["id"], "v": list(unit), "cells": tree.visits(unit, radius, firsts, k)})
+                seen = [np.unique(group[cells]) for cells in tree.visits(unit, radius, firsts, k)]
+                yield pd.DataFrame({"id": part["id"], "v": list(unit), "groups": seen})
 
     return df.select("id", "v").mapInPandas(visits, schema)
 
@@ -135,8 +150,9 @@ def _search(a: DataFrame, b: DataFrame, k: int, n_pivots: int | None) -> DataFra
 
 def _tile_search(a: DataFrame, b: DataFrame, k: int, n_pivots: int | None) -> DataFrame:
     spark = a.sparkSession
+    n, width = b.agg(F.count(F.lit(1)), F.max(F.size("v"))).head()
+    most = max(1, min(TILE_ROWS, TILE_NUMBERS // max(1, width or 1)))
     if n_pivots is None:
-        n, width = b.agg(F.count(F.lit(1)), F.max(F.size("v"))).head()
         n_pivots = max(1, min(int(n ** 0.5), n // CELL_ROWS, PIVOT_NUMBERS // max(1, width or 1)))
     pivot_rows = b.orderBy(hash_key("pivot", "id")).limit(n_pivots).select("v").toPandas()
     if len(pivot_rows) == 0:
@@ -151,17 +167,24 @@ def _tile_search(a: DataFrame, b: DataFrame, k: int, n_pivots: int | None) -> Da
     radius[cells] = shape["radius"]
     for cell, some in zip(cells, shape["firsts"]):
         firsts[cell, :len(some)] = some
-    in_a = cut_lineage(_visiting(a, tree, radius, firsts, k))
-    blocks = lambda n: max(1, -(-int(n) // TILE_ROWS))
-    visitors = in_a.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    members = dict(zip(cells.tolist(), shape["n"]))
-    # a row for each cell, as many as pivots
-    tiles = spark.createDataFrame([(int(c), blocks(n), blocks(members[c])) for c, n in visitors] or [(-1, 1, 1)], "cell int, na int, nb int")
+    members = np.zeros(len(tree.pivots), np.int64)
+    members[cells] = shape["n"]
+    group = _grouped(tree, members, most)
+    in_a = cut_lineage(_visiting(a, tree, radius, firsts, group, k))
+    visitors = {r["group"]: r["n"] for r in in_a.select(F.explode("groups").alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = np.bincount(group, members)
+    blocks = lambda n: max(1, -(-int(n) // most))
+    # enough tiles for every core, by more blocks of A; a row for each cell, as many as pivots
+    cores = -(-spark.sparkContext.defaultParallelism // max(1, len(visitors)))
+    na = lambda n: max(blocks(n), min(cores, -(-n // CELL_ROWS)))
+    tiles = spark.createDataFrame([(int(c), int(g), na(visitors[g]), blocks(held[g])) for c, g in enumerate(group) if g in visitors] or [(-1, -1, 1, 1)],
+                                  "cell int, group int, na int, nb int")
+    wanted = tiles.drop("cell").distinct()
     spread = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["cell", "ba", "bb"]
-    # a row of A goes to every tile of a cell it visits, a row of B to every tile of its cell's visitors
-    left = in_a.select("id", "v", F.explode("cells").alias("cell")).join(F.broadcast(tiles), "cell").withColumn(
+    keys = ["group", "ba", "bb"]
+    # a row of A goes to every tile of a group it visits, a row of B to every tile of its group's visitors
+    left = in_a.select("id", "v", F.explode("groups").alias("group")).join(F.broadcast(wanted), "group").withColumn(
         "ba", spread(F.col("na"))).withColumn("bb", every("nb")).select(*keys, F.col("id").alias("a_id"), "v")
     right = in_b.join(F.broadcast(tiles), "cell").withColumn("bb", spread(F.col("nb"))).withColumn(
         "ba", every("na")).select(*keys, F.col("id").alias("b_id"), "v")
@@ -179,14 +202,10 @@ def _multiply(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> Dat
             return pd.DataFrame({"a_id": [], "b_id": [], "score": []})
         block_b = block_b.sort_values("b_id", ignore_index=True)
         ids_a, ids_b, unit_b = block_a["a_id"].to_numpy(), block_b["b_id"].to_numpy(), _unit(_matrix(block_b["v"]))
-        take, parts = min(k, len(ids_b)), []
-        for first in range(0, len(ids_a), SLICE_ROWS):
-            rows = slice(first, first + SLICE_ROWS)
-            sims = np.round(_unit(_matrix(block_a["v"].iloc[rows])) @ unit_b.T, SCORE_DIGITS)
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :take]      # ties: smaller b_id
-            parts.append(pd.DataFrame({
-                "a_id": np.repeat(ids_a[rows], take), "b_id": ids_b[best.ravel()],
-                "score": np.take_along_axis(sims, best, axis=1).ravel()}))
+        parts, height = [], max(1, SLICE_NUMBERS // len(ids_b))
+        for first in range(0, len(ids_a), height):
+            row, column, score = best_columns(_unit(_matrix(block_a["v"].iloc[first:first + height])) @ unit_b.T, k)   # ties: smaller b_id
+            parts.append(pd.DataFrame({"a_id": ids_a[first + row], "b_id": ids_b[column], "score": score}))
         return pd.concat(parts, ignore_index=True)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(product, schema)

@@ -172,6 +172,27 @@ def test_embedding_rows_skip_far_cells():
     assert np.mean([len(v) for v in visits]) < 20
 
 
+def test_embedding_rows_move_once_per_group(make, monkeypatch):
+    """Unstructured vectors see nearly all cells; a row is sent once for each group of them."""
+    from sameas.operators import knn
+    sent, multiply = [], knn._multiply
+    monkeypatch.setattr(knn, "_multiply", lambda left, *rest: sent.append(left.count()) or multiply(left, *rest))
+    rng = np.random.default_rng(5)
+    df = make([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 16)))], "id long, embedding array<double>")
+    assert knn_embedding(df, df, 3, same_table=True, n_pivots=30).count() == 900
+    assert sent == [300]
+
+
+def test_embedding_groups_are_bounded():
+    from sameas.operators import knn
+    tree = knn._Tree(knn._unit(np.random.default_rng(6).normal(size=(50, 4))))
+    members = np.random.default_rng(7).integers(0, 40, 50)
+    members[7] = 500                                        # more than a group may hold
+    group = knn._grouped(tree, members, 100)
+    held = np.bincount(group, members)
+    assert held.sum() == members.sum() and sorted(held)[-2] <= 100 and group.max() < 25
+
+
 @pytest.mark.parametrize("pivots", [1, 2, 7])
 @pytest.mark.parametrize("same", [False, True])
 def test_embedding_zero_vectors_take_no_place(make, pivots, same):
