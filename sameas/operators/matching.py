@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -23,34 +27,50 @@ from sameas.session import cut_lineage
 PAIR = ["a_id", "b_id"]
 FEATURES = ["edit_ratio", "token_jaccard", "length_ratio", "text_cosine"]
 DIM = 512           # slots of the built-in encoder
+PIECES = 100_000    # words, and as many letter triples, whose slots a task remembers
+ENCODED_ROWS = 32   # texts whose words are counted together
 GRID = (("logistic", 0.0), ("logistic", 0.01), ("logistic", 0.1))
 
 
-def piece_slots(text: Column, dim: int) -> Column:
-    """The slots, as text, of a text's words and their letter triples: the first 32 bits
-    of a piece's md5 modulo `dim`, the same wherever md5 is."""
-    triples = lambda word: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(word) - 2, F.lit(1))), lambda at: F.substring(word, at, 3))
-    words = tokens(F.coalesce(text, F.lit("")))
-    pieces = F.concat(words, F.flatten(F.transform(words, triples)))
-    return F.transform(pieces, lambda piece: (hash_number(F.md5(piece)) % dim).cast("string"))
+def piece_slot(piece: str, dim: int) -> int:
+    """The first 32 bits of a piece's md5 modulo `dim`, the same wherever md5 is."""
+    return int.from_bytes(hashlib.md5(piece.encode(), usedforsecurity=False).digest()[:4], "big") % dim
 
 
 def _unit_counts(df: DataFrame, texts: dict[str, str], dim: int) -> DataFrame:
-    """Adds, per text column, the unit vector of its slots' counts under the given name. All in the JVM."""
-    names = df.columns
-    for at, (text, name) in enumerate(texts.items()):
-        df = df.withColumn(f"__slots{at}", piece_slots(F.col(text), dim))
-        counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol=f"__slots{at}", outputCol=f"__counts{at}")
-        unit = Normalizer(inputCol=f"__counts{at}", outputCol=f"__unit{at}")
-        df = unit.transform(counts.transform(df)).withColumn(name, vector_to_array(f"__unit{at}"))
-    return df.select(*names, *texts.values())
+    """Adds, per text column, the unit vector of its slots' counts under the given name. A
+    task hashes a word once, however often it comes, while it is among the last WORDS."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        slot = lru_cache(PIECES)(lambda piece: piece_slot(piece, dim))
+        triples = lambda word: map(slot, map("".join, zip(word, word[1:], word[2:]))) if len(word) > 2 else (slot(word),)
+        slots_of = lru_cache(PIECES)(lambda word: (piece_slot(word, dim), *triples(word)))
+        for batch in batches:
+            parts = []
+            for first in range(0, len(batch), ENCODED_ROWS):
+                words = batch.slice(first, ENCODED_ROWS)
+                coded = pc.list_flatten(words).dictionary_encode()
+                known = list(map(slots_of, coded.dictionary.to_pylist()))
+                size = np.fromiter(map(len, known), np.int64, len(known))
+                slots = np.fromiter(chain.from_iterable(known), np.int64, size.sum())
+                begin, at = np.cumsum(size) - size, coded.indices.to_numpy().astype(np.int64)
+                n = size[at]
+                piece = np.arange(n.sum()) + np.repeat(begin[at] - (np.cumsum(n) - n), n)
+                row = np.repeat(np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy()), n)
+                counts = np.bincount(row * dim + slots[piece], minlength=len(words) * dim).reshape(len(words), dim)
+                norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+                parts.append(np.divide(counts, norm, out=np.zeros(counts.shape), where=norm > 0).ravel())
+            flat = np.concatenate([np.zeros(0), *parts])
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * dim, pa.int32()), pa.array(flat))
+
+    encode = F.arrow_udf(run, T.ArrayType(T.DoubleType()))
+    words = lambda text: tokens(F.coalesce(F.col(text), F.lit("")))
+    return df.select("*", *[encode(words(text)).alias(name) for text, name in texts.items()])
 
 
 def encode_text(df: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, dim: int = DIM) -> DataFrame:
     """(id, embedding). With a user's `encoder` (texts in, matrix out) it runs on
     Arrow batches; without one, words and their letter triples are hashed into
-    `dim` counts of unit length, all in the JVM. A text without a word has the zero vector."""
+    `dim` counts of unit length. A text without a word has the zero vector."""
     if encoder is not None:
         @F.pandas_udf(T.ArrayType(T.FloatType()))
         def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,4 +1,6 @@
 import numpy as np
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +221,23 @@ def test_empty_csv_files(spark, tmp_path):
     path = folder(tmp_path, "none", {"a.csv": "subject_id,name\n"})
     df = E.read_entities(spark, path + "/a.csv")
     assert df.columns == ["id", "name"] and df.count() == 0
+
+
+def test_encoder_hashes_a_word_once(make, monkeypatch):
+    """Counts by hand; no expression hashes the pieces of every word of every text."""
+    import hashlib
+    import math
+    from collections import Counter
+    from sameas.operators import matching
+    monkeypatch.setattr(matching, "ENCODED_ROWS", 2)
+    texts = ["red ring é ab", "", None, "red red Ünder_9", "x", "𝒳abcd ring"]
+    df = make(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r["embedding"] for r in matching.encode_text(df, dim=32).collect()}
+    for i, text in enumerate(texts):
+        words = [w for w in re.findall(r"\w+", (text or "").lower()) if len(w) > 1]
+        pieces = [p for w in words for p in [w, *(w[at:at + 3] for at in range(max(len(w) - 2, 1)))]]
+        counts = Counter(int(hashlib.md5(p.encode()).hexdigest()[:8], 16) % 32 for p in pieces)
+        norm = math.sqrt(sum(n * n for n in counts.values())) or 1.0
+        assert got[i] == pytest.approx([counts[slot] / norm for slot in range(32)])
+    plan = matching.encode_text(df)._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan.lower()
