@@ -7,7 +7,9 @@ q letters. t edits leave one of them whole, the i-th at most i places off (Li et
 al., Pass-Join, PVLDB 2011), so a band is met by an equi-join on pieces; only ids and hashes of
 pieces move, and candidates are looked up once. Where pieces would be shorter than
 PIECE letters, or more than four for each letter, they select nothing: there the
-rows of a band meet in slices of fixed size. In both ways counts of letter classes, which an
+rows of a band meet in slices of fixed size. In the first round texts of up to DELETED letters meet by an equi-join on what is left
+when one letter or none is deleted: texts one edit apart share that, while many texts of a few common
+words share half of their letters. In all ways counts of letter classes, which an
 edit changes by one at most, rule pairs out before their distance is measured.
 """
 
@@ -20,6 +22,7 @@ from sameas.operators.copies import nearest_by_value
 from sameas.session import cut_lineage
 
 PIECE = 3               # letters of a piece at least
+DELETED = 64            # letters of a text at most whose one-letter deletions are hashed
 SLICE_ROWS = 512        # rows of a band that meet as many others in one task
 # Any division into classes gives a true bound; these are frequent letters, digits, spaces and marks. All others are one class more.
 CLASSES = ("e", "t", "a", "o", "i", "n", "s", "r", "l", "d", "c", "u", "m", " ", "01234", "56789", "EAOIU", "TNSRL", "#-_./,")
@@ -63,6 +66,15 @@ def _by_pieces(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
     return left.join(right, ["band", "place", "piece"]).select("a_id", "b_id").distinct()
 
 
+def _by_deletions(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a_id, b_id) that are equal without one letter or none of each: all that are one edit apart, and few others."""
+    text, length = F.col("text"), F.col("length")
+    left_over = lambda at: F.xxhash64(F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, length)))
+    end = lambda df, name: df.select(F.col("id").alias(f"{name}_id"), F.explode(F.array_distinct(
+        F.transform(F.sequence(F.lit(0), length), left_over))).alias("rest"))
+    return end(a, "a").join(end(b, "b"), "rest").select("a_id", "b_id").distinct()
+
+
 def _by_slices(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
     """(a_id, a_text, b_id, b_text) of bands that are not cut, letters allowing it:
     A rows are dealt to slices and B rows go to each of them, and the other way round."""
@@ -86,7 +98,12 @@ def _within(a: DataFrame, b: DataFrame, limit: int, same_table: bool) -> DataFra
     banded = b.withColumn("band", F.floor(F.col("length") / (limit + 1)))
     other = F.col("a_id") != F.col("b_id") if same_table else F.lit(True)
     end = lambda df, name: df.select(F.col("id").alias(f"{name}_id"), F.col("text").alias(f"{name}_text"), F.col("letters").alias(f"{name}_letters"))
-    found = _by_pieces(a, banded, limit).filter(other).join(end(a, "a"), "a_id").join(end(b, "b"), "b_id").filter(
+    if limit == 1:      # a partner may have one letter more
+        short = F.col("length") <= DELETED
+        near = _by_deletions(a.filter(short), b.filter(F.col("length") <= DELETED + 1)).unionByName(_by_pieces(a.filter(~short), banded, limit))
+    else:
+        near = _by_pieces(a, banded, limit)
+    found = near.filter(other).join(end(a, "a"), "a_id").join(end(b, "b"), "b_id").filter(
         least_edits(F.col("a_letters"), F.col("b_letters")) <= limit).select("a_id", "a_text", "b_id", "b_text")
     pairs = found.unionByName(_by_slices(a, banded, limit).filter(other))
     measured = pairs.select("a_id", "b_id", F.levenshtein("a_text", "b_text", limit).alias("distance"))

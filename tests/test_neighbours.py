@@ -230,6 +230,22 @@ def test_edit_distance_nearest(make, same):
     assert rows_of(levenshtein_nearest(df(a), df(b), same_table=same), "a_id", "b_id", "distance") == sorted(expected)
 
 
+@pytest.mark.parametrize("deleted", [64, 9, 0])
+def test_edit_distance_of_texts_of_few_words(make, monkeypatch, deleted):
+    """Texts that share half of their letters with very many meet few of them, on both sides of the length DELETED."""
+    from sameas.operators import editdistance as E
+    monkeypatch.setattr(E, "DELETED", deleted)
+    rng = random.Random(21)
+    words = ["large ring", "old bolt", "blé"], ["Brand#1", "Brand#2"], [str(n) for n in range(100, 160)]
+    rows = [(i, t) for i, t in enumerate(sorted({" ".join(rng.choice(w) for w in words) for _ in range(150)}))]
+    df = make(rows, "id long, text string")
+    expected = [(i, *min((edit(x, y), j) for j, y in rows if i != j)[::-1]) for i, x in rows]
+    assert rows_of(levenshtein_nearest(df, df, same_table=True), "a_id", "b_id", "distance") == sorted(expected)
+    if deleted == 64:
+        met = E._by_deletions(*[df.withColumn("length", F.length("text"))] * 2)
+        assert met.count() < len(rows) * 40
+
+
 def test_edit_distance_of_long_texts(make):
     """Texts of 5,000 letters and more, near ones 1 to 20 edits apart, far ones that only meet in slices."""
     rng = random.Random(11)
