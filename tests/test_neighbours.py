@@ -282,3 +282,20 @@ def test_letter_counts_are_a_bound(make):
     bound = least_edits(letter_counts(F.col("x")), letter_counts(F.col("y")))
     rated = pairs.select(bound.alias("bound"), F.levenshtein("x", "y").alias("d"))
     assert rated.filter("bound > d").count() == 0 and rated.agg(F.max("bound")).head()[0] > 4
+
+
+def test_document_words_are_counted_where_the_row_lies(spark):
+    """The same bags as by counting rows, without moving any; texts of a repeated or null id count as one."""
+    a = spark.createDataFrame([(1, "red green green blue"), (2, "blue white x")], "id bigint, text string").withColumn("fp", F.lit("a"))
+    rows = [(1, "Red red green dark"), (2, None), (3, ""), (4, "none of them"), (5, "blue white blue RED"), (6, "blue " * 500 + "green")]
+    b = spark.createDataFrame(rows, "id bigint, text string")
+    _, idf, small = X._corpus_weights(a, None)
+    plain = lambda df: {r["id"]: dict(zip(r["terms"], r["ws"])) for r in X._bags(X.unit_weights(X.raw_weights(X.term_counts(df), idf))).collect()}
+    bags = X._bags_of(b, b, idf, small)
+    assert small and "Exchange" not in bags._jdf.queryExecution().executedPlan().toString()
+    repeated = b.unionByName(spark.createDataFrame([(5, "green"), (None, "red"), (None, "white")], b.schema))
+    for table in (b, repeated):
+        found = {r["id"]: dict(zip(r["terms"], r["ws"])) for r in X._bags_of(table, table, idf, small).collect()}
+        expected = plain(table)
+        assert found.keys() == expected.keys() >= {1, 5, 6}
+        assert all(found[i] == pytest.approx(expected[i], abs=1e-12) for i in found)
