@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sameas.llm.packing import blocks, pack, pick
 from sameas.operators.graph import connected_components
-from sameas.session import cut_lineage
+from sameas.session import cut_lineage, dealt
 
 SHINGLE_ROWS = 100_000      # shingle hashes turned into bits at a time
 SEED = 42
@@ -124,7 +124,7 @@ def links(fps: DataFrame, bits: int = 2) -> DataFrame:
     visits = _posts(fps, spread, False).select("anchor", "fp", F.col("rep").alias("dst"))
     apart = F.bit_count(F.col("home_fp").bitwiseXOR(F.col("fp")))
     # x finds y at x's home and y finds x at y's, so half of the meetings are enough
-    return homes.join(visits, "anchor").filter((F.col("src") < F.col("dst")) & (apart <= bits)).select("src", "dst")
+    return dealt(homes).join(dealt(visits), "anchor").filter((F.col("src") < F.col("dst")) & (apart <= bits)).select("src", "dst")
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 2, id_col: str = "doc_id",

@@ -357,6 +357,14 @@ def test_anchors_find_every_pair(spark, bits):
     assert got == {(i, j) for i, a in enumerate(fps) for j, b in enumerate(fps) if i < j and (a ^ b).bit_count() <= bits}
 
 
+def test_simhash_visits_are_not_broadcast(spark):
+    """Behind the Python step that lists them Spark takes the visits, some 60 a fingerprint, for as few as the fingerprints."""
+    found = simhash.links(spark.createDataFrame([(i << 40 | i, i) for i in range(50)], "fp bigint, rep bigint"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_simhash_odd_tables(odd, spark):
     rows = simhash.simhash_groups(odd).collect()
     assert len(rows) == len(ODD)
