@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sameas.functions.text import text_fingerprint
 from sameas.operators.copies import nearest_by_value
-from sameas.session import cut_lineage
+from sameas.session import cut_lineage, dealt
 
 PIECE = 3               # letters of a piece at least
 DELETED = 64            # letters of a text at most whose one-letter deletions are hashed
@@ -63,7 +63,7 @@ def _by_pieces(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
         "low", start - F.least("place", start)).withColumn("high", F.least(start + F.col("place"), F.col("length") - F.col("band")))
     left = spans.filter(F.col("low") <= F.col("high")).withColumn("at", F.explode(F.sequence("low", "high"))).select(
         "a_id", "band", "place", piece(F.col("at")).alias("piece")).distinct()
-    return left.join(right, ["band", "place", "piece"]).select("a_id", "b_id").distinct()
+    return dealt(left).join(dealt(right), ["band", "place", "piece"]).select("a_id", "b_id").distinct()
 
 
 def _by_deletions(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def _by_deletions(a: DataFrame, b: DataFrame) -> DataFrame:
     left_over = lambda at: F.xxhash64(F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, length)))
     end = lambda df, name: df.select(F.col("id").alias(f"{name}_id"), F.explode(F.array_distinct(
         F.transform(F.sequence(F.lit(0), length), left_over))).alias("rest"))
-    return end(a, "a").join(end(b, "b"), "rest").select("a_id", "b_id").distinct()
+    return dealt(end(a, "a")).join(dealt(end(b, "b")), "rest").select("a_id", "b_id").distinct()
 
 
 def _by_slices(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
@@ -89,7 +89,7 @@ def _by_slices(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
         "band", "sa", "sb", F.col("id").alias("a_id"), F.col("text").alias("a_text"), F.col("letters").alias("a_letters"))
     right = whole_b.join(F.broadcast(sizes), "band").withColumn("sb", own("parts_b")).withColumn("sa", every("parts_a")).select(
         "band", "sa", "sb", F.col("id").alias("b_id"), F.col("text").alias("b_text"), F.col("letters").alias("b_letters"))
-    return left.join(right, ["band", "sa", "sb"]).filter(least_edits(F.col("a_letters"), F.col("b_letters")) <= limit).select(
+    return dealt(left).join(dealt(right), ["band", "sa", "sb"]).filter(least_edits(F.col("a_letters"), F.col("b_letters")) <= limit).select(
         "a_id", "a_text", "b_id", "b_text")
 
 
@@ -103,7 +103,7 @@ def _within(a: DataFrame, b: DataFrame, limit: int, same_table: bool) -> DataFra
         near = _by_deletions(a.filter(short), b.filter(F.col("length") <= DELETED + 1)).unionByName(_by_pieces(a.filter(~short), banded, limit))
     else:
         near = _by_pieces(a, banded, limit)
-    found = near.filter(other).join(end(a, "a"), "a_id").join(end(b, "b"), "b_id").filter(
+    found = near.filter(other).join(dealt(end(a, "a")), "a_id").join(dealt(end(b, "b")), "b_id").filter(
         least_edits(F.col("a_letters"), F.col("b_letters")) <= limit).select("a_id", "a_text", "b_id", "b_text")
     pairs = found.unionByName(_by_slices(a, banded, limit).filter(other))
     measured = pairs.select("a_id", "b_id", F.levenshtein("a_text", "b_text", limit).alias("distance"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows_of
-from sameas.operators import tfidf as X
+from sameas.operators import editdistance as E, tfidf as X
 from sameas.operators.editdistance import levenshtein_nearest
 from sameas.operators.knn import knn_embedding
 from sameas.operators.tfidf import knn_tfidf
@@ -274,6 +274,16 @@ def test_edit_distance_of_many_texts_of_one_length(make):
     assert got == sorted([(i, 2500 + i, 1) for i in range(2500)] + [(2500 + i, i, 1) for i in range(2500)])
 
 
+def test_exploded_letters_are_not_broadcast(make):
+    """Spark takes what an explode lists, a row a letter or more, for as few rows as went in."""
+    table = make([(i, f"some text {i}", 12) for i in range(30)], "id int, text string, length int")
+    banded = table.withColumn("band", F.expr("6L"))
+    for met in (E._by_deletions(table, table), E._by_pieces(table, banded, 1)):
+        met.collect()
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_letter_counts_are_a_bound(make):
     from sameas.operators.editdistance import least_edits, letter_counts
     rng = random.Random(13)
