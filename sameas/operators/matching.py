@@ -28,7 +28,8 @@ PAIR = ["a_id", "b_id"]
 FEATURES = ["edit_ratio", "token_jaccard", "length_ratio", "text_cosine"]
 DIM = 512           # slots of the built-in encoder
 PIECES = 100_000    # words, and as many letter triples, whose slots a task remembers
-ENCODED_ROWS = 32   # texts whose words are counted together
+ENCODED_ROWS = 256  # texts whose words are counted together at most
+ENCODED_WORDS = 50_000      # their words, about
 GRID = (("logistic", 0.0), ("logistic", 0.01), ("logistic", 0.1))
 
 
@@ -37,34 +38,74 @@ def piece_slot(piece: str, dim: int) -> int:
     return int.from_bytes(hashlib.md5(piece.encode(), usedforsecurity=False).digest()[:4], "big") % dim
 
 
-def _unit_counts(df: DataFrame, texts: dict[str, str], dim: int) -> DataFrame:
-    """Adds, per text column, the unit vector of its slots' counts under the given name. A
-    task hashes a word once, however often it comes, while it is among the last WORDS."""
+def _slices(batch: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, last) of at most ENCODED_ROWS lists with about ENCODED_WORDS words."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy())
+    first = 0
+    while first < len(batch):
+        most = (ends[first - 1] if first else 0) + ENCODED_WORDS
+        last = min(max(first + 1, int(np.searchsorted(ends, most, "right"))), first + ENCODED_ROWS)
+        yield first, last
+        first = last
+
+
+def _counter(dim: int) -> Callable[[pa.Array], np.ndarray]:
+    """Of lists of words the counts of their slots, a row of `dim` a list. A task hashes
+    a word once, however often it comes, while it is among the last PIECES."""
+    slot = lru_cache(PIECES)(lambda piece: piece_slot(piece, dim))
+    triples = lambda word: map(slot, map("".join, zip(word, word[1:], word[2:]))) if len(word) > 2 else (slot(word),)
+    slots_of = lru_cache(PIECES)(lambda word: (piece_slot(word, dim), *triples(word)))
+
+    def count(words: pa.Array) -> np.ndarray:
+        coded = pc.list_flatten(words).dictionary_encode()
+        known = list(map(slots_of, coded.dictionary.to_pylist()))
+        size = np.fromiter(map(len, known), np.int64, len(known))
+        slots = np.fromiter(chain.from_iterable(known), np.int64, size.sum())
+        begin, at = np.cumsum(size) - size, coded.indices.to_numpy().astype(np.int64)
+        n = size[at]
+        piece = np.arange(n.sum()) + np.repeat(begin[at] - (np.cumsum(n) - n), n)
+        row = np.repeat(np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy()), n)
+        return np.bincount(row * dim + slots[piece], minlength=len(words) * dim).reshape(len(words), dim)
+
+    return count
+
+
+def _words(text: str) -> Column:
+    return tokens(F.coalesce(F.col(text), F.lit("")))
+
+
+def _unit_counts(text: str, dim: int) -> Column:
+    """The unit vector of the counts of a text's slots."""
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        slot = lru_cache(PIECES)(lambda piece: piece_slot(piece, dim))
-        triples = lambda word: map(slot, map("".join, zip(word, word[1:], word[2:]))) if len(word) > 2 else (slot(word),)
-        slots_of = lru_cache(PIECES)(lambda word: (piece_slot(word, dim), *triples(word)))
+        count = _counter(dim)
         for batch in batches:
             parts = []
-            for first in range(0, len(batch), ENCODED_ROWS):
-                words = batch.slice(first, ENCODED_ROWS)
-                coded = pc.list_flatten(words).dictionary_encode()
-                known = list(map(slots_of, coded.dictionary.to_pylist()))
-                size = np.fromiter(map(len, known), np.int64, len(known))
-                slots = np.fromiter(chain.from_iterable(known), np.int64, size.sum())
-                begin, at = np.cumsum(size) - size, coded.indices.to_numpy().astype(np.int64)
-                n = size[at]
-                piece = np.arange(n.sum()) + np.repeat(begin[at] - (np.cumsum(n) - n), n)
-                row = np.repeat(np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy()), n)
-                counts = np.bincount(row * dim + slots[piece], minlength=len(words) * dim).reshape(len(words), dim)
+            for first, last in _slices(batch):
+                counts = count(batch.slice(first, last - first))
                 norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
                 parts.append(np.divide(counts, norm, out=np.zeros(counts.shape), where=norm > 0).ravel())
             flat = np.concatenate([np.zeros(0), *parts])
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * dim, pa.int32()), pa.array(flat))
 
-    encode = F.arrow_udf(run, T.ArrayType(T.DoubleType()))
-    words = lambda text: tokens(F.coalesce(F.col(text), F.lit("")))
-    return df.select("*", *[encode(words(text)).alias(name) for text, name in texts.items()])
+    return F.arrow_udf(run, T.ArrayType(T.DoubleType()))(_words(text))
+
+
+def _text_cosine(left: str, right: str, dim: int) -> Column:
+    """Cosine of the encodings of two texts of a row, which stay where they are counted; 0 without a word."""
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        count = _counter(dim)
+        for a, b in batches:
+            parts = []
+            for first, last in _slices(a):
+                ends = [(x + first, y + first) for x, y in _slices(b.slice(first, last - first))]
+                for low, high in ends:
+                    one, two = count(a.slice(low, high - low)), count(b.slice(low, high - low))
+                    product = lambda x, y: np.einsum("ij,ij->i", x, y).astype(np.float64)
+                    length = np.sqrt(product(one, one)) * np.sqrt(product(two, two))
+                    parts.append(np.divide(product(one, two), length, out=np.zeros(high - low), where=length > 0))
+            yield pa.array(np.concatenate([np.zeros(0), *parts]))
+
+    return F.arrow_udf(run, T.DoubleType())(_words(left), _words(right))
 
 
 def encode_text(df: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, dim: int = DIM) -> DataFrame:
@@ -78,7 +119,7 @@ def encode_text(df: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None
                 yield pd.Series(list(np.asarray(encoder(texts.fillna("").tolist()), dtype=np.float32)))
 
         return df.select("id", apply("text").alias("embedding"))
-    return _unit_counts(df.select("id", "text"), {"text": "embedding"}, dim).select("id", "embedding")
+    return df.select("id", _unit_counts("text", dim).alias("embedding"))
 
 
 def pair_cosine(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -97,12 +138,15 @@ def zero_shot_match(pairs: DataFrame, a: DataFrame, b: DataFrame, threshold: flo
 
 def pair_features(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """The columns of `pairs` and FEATURES, from the whole texts of both sides, which
-    are brought to the pair once; only texts in pairs are encoded."""
+    are brought to the pair once; only texts in pairs are encoded, and no vector leaves its task."""
     ta, tb = F.col("a_text"), F.col("b_text")
-    encoded = _unit_counts(pair_texts(pairs, a, b), {"a_text": "__a", "b_text": "__b"}, DIM)
-    return encoded.select(
+    # few bytes, much measuring: keep every core busy, which sizes alone would not
+    spark = pairs.sparkSession
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = pair_texts(pairs, a, b).repartition(width)
+    return texts.select(
         *pairs.columns, edit_ratio(ta, tb).alias("edit_ratio"), token_jaccard(ta, tb).alias("token_jaccard"),
-        length_ratio(ta, tb).alias("length_ratio"), cosine_similarity(F.col("__a"), F.col("__b")).alias("text_cosine"))
+        length_ratio(ta, tb).alias("length_ratio"), _text_cosine("a_text", "b_text", DIM).alias("text_cosine"))
 
 
 def _estimator(kind: str, regularisation: float):

@@ -241,3 +241,18 @@ def test_encoder_hashes_a_word_once(make, monkeypatch):
         assert got[i] == pytest.approx([counts[slot] / norm for slot in range(32)])
     plan = matching.encode_text(df)._jdf.queryExecution().executedPlan().toString()
     assert "md5" not in plan.lower()
+
+
+def test_pairs_bring_back_no_vectors(make, monkeypatch):
+    """The cosine of a pair is that of its encodings, whose 512 numbers a text do not leave the task."""
+    monkeypatch.setattr(D, "ENCODED_ROWS", 2)
+    monkeypatch.setattr(D, "ENCODED_WORDS", 3)
+    texts = ["red ring é ab", "", None, "red red Ünder_9", "many more words than three in this one", "ring red"]
+    df = make(list(enumerate(texts)), "id long, text string")
+    pairs = make([(i, j) for i in range(6) for j in range(6)], PAIRS)
+    vectors = {r["id"]: np.array(r["embedding"]) for r in D.encode_text(df).collect()}
+    features = D.pair_features(pairs, df, df)
+    got = {(r["a_id"], r["b_id"]): r["text_cosine"] for r in features.collect()}
+    assert len(got) == 36 and all(got[i, j] == pytest.approx(float(vectors[i] @ vectors[j])) for i, j in got)
+    plan = features._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "zip_with" not in plan.lower()
