@@ -212,12 +212,18 @@ def _multiply(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> Dat
 
 
 def knn_embedding(a: DataFrame, b: DataFrame, k: int = 20, same_table: bool = False,
-                  n_pivots: int | None = None) -> DataFrame:
+                  n_pivots: int | None = None, marked: bool = False) -> DataFrame:
     """(a_id, b_id, source, rank, score): for each A vector the k nearest B vectors.
-    `a`, `b` are (id, embedding)."""
-    prepare = lambda df: df.select("id", F.col("embedding").cast("array<double>").alias("v")).withColumn(
-        "fp", F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256))
+    `a`, `b` are (id, embedding), if `marked` also fp: rows that share it have one
+    embedding. Copies are then told by it, and no embedding is made for that."""
+    value = F.col("fp") if marked else F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256)
+    prepare = lambda df: df.withColumn("v", F.col("embedding").cast("array<double>")).select("id", "v", value.alias("fp"))
     side_a = prepare(a)
     side_b = side_a if same_table else prepare(b)
-    near = nearest_by_value(side_a, side_b, k, lambda x, y, depth: _search(x, y, depth, n_pivots), same_table)
+
+    def search(one_a: DataFrame, one_b: DataFrame, depth: int) -> DataFrame:
+        one_a = cut_lineage(one_a)      # read by every step below; the vectors may be made by a Python step
+        return _search(one_a, one_a if same_table else cut_lineage(one_b), depth, n_pivots)
+
+    near = nearest_by_value(side_a, side_b, k, search, same_table)
     return near.select("a_id", "b_id", F.lit("embedding").alias("source"), "rank", "score")

@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sameas.functions.ordering import hash_key, hash_number
-from sameas.functions.text import edit_ratio, length_ratio, token_jaccard, tokens
+from sameas.functions.text import edit_ratio, length_ratio, text_fingerprint, token_jaccard, tokens
 from sameas.functions.vectors import cosine_similarity, decide
 from sameas.operators.metrics import best_threshold, classification_metrics, log_loss, threshold_sweep
 from sameas.operators.serialize import pair_texts
@@ -108,8 +108,8 @@ def _text_cosine(left: str, right: str, dim: int) -> Column:
     return F.arrow_udf(run, T.DoubleType())(_words(left), _words(right))
 
 
-def encode_text(df: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, dim: int = DIM) -> DataFrame:
-    """(id, embedding). With a user's `encoder` (texts in, matrix out) it runs on
+def encode_text(df: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, dim: int = DIM, marked: bool = False) -> DataFrame:
+    """(id, embedding), with `marked` also fp, which equal texts share. With a user's `encoder` (texts in, matrix out) it runs on
     Arrow batches; without one, words and their letter triples are hashed into
     `dim` counts of unit length. A text without a word has the zero vector."""
     if encoder is not None:
@@ -118,8 +118,10 @@ def encode_text(df: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None
             for texts in batches:
                 yield pd.Series(list(np.asarray(encoder(texts.fillna("").tolist()), dtype=np.float32)))
 
-        return df.select("id", apply("text").alias("embedding"))
-    return df.select("id", _unit_counts("text", dim).alias("embedding"))
+        vector = apply("text")
+    else:
+        vector = _unit_counts("text", dim)
+    return df.select("id", vector.alias("embedding"), *([text_fingerprint(F.col("text")).alias("fp")] if marked else []))
 
 
 def pair_cosine(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

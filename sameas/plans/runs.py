@@ -40,9 +40,10 @@ def prepare(a: DataFrame, b: DataFrame, drop_a: Sequence[str] = (), drop_b: Sequ
 def block(text_a: DataFrame, text_b: DataFrame, k: int = 15, vectors_a: DataFrame | None = None,
           vectors_b: DataFrame | None = None, with_tfidf: bool = True, same_table: bool = False) -> DataFrame:
     """(a_id, b_id, sources): embedding neighbours, merged with TF-IDF neighbours."""
-    va = encode_text(text_a) if vectors_a is None else vectors_a
-    vb = va if same_table else (encode_text(text_b) if vectors_b is None else vectors_b)
-    found = [knn_embedding(va, vb, k, same_table)]
+    marked = vectors_a is None and (same_table or vectors_b is None)
+    va = encode_text(text_a, marked=marked) if vectors_a is None else vectors_a
+    vb = va if same_table else (encode_text(text_b, marked=marked) if vectors_b is None else vectors_b)
+    found = [knn_embedding(va, vb, k, same_table, marked=marked)]
     if with_tfidf:
         found.append(knn_tfidf(text_a, text_b, k, same_table=same_table))
     return C.merge_candidates(*found)
@@ -60,7 +61,7 @@ def blocking_cell(a: DataFrame, b: DataFrame, gold: DataFrame, ks: Sequence[int]
     text_a, text_b = prepare(a, b, order=order_cols, column_names=not remove_col_names)
     deepest = max(ks)
     found = {"tfidf": lambda: [knn_tfidf(text_a, text_b, deepest)],
-             "embedding": lambda: [knn_embedding(encode_text(text_a), encode_text(text_b), deepest)]}
+             "embedding": lambda: [knn_embedding(encode_text(text_a, marked=True), encode_text(text_b, marked=True), deepest, marked=True)]}
     found["merged"] = lambda: found["tfidf"]() + found["embedding"]()
     ranked = reduce(DataFrame.unionByName, found[blocker]())
     return C.k_sweep(ranked, gold, count_of(a), count_of(b), deepest).filter(F.col("k").isin(list(ks)))

@@ -309,3 +309,24 @@ def test_document_words_are_counted_where_the_row_lies(spark):
         expected = plain(table)
         assert found.keys() == expected.keys() >= {1, 5, 6}
         assert all(found[i] == pytest.approx(expected[i], abs=1e-12) for i in found)
+
+
+def test_vectors_of_texts_are_made_once(make, monkeypatch):
+    """A search over encoded texts encodes every text of B once, however many of its steps read the vectors."""
+    from sameas.operators import matching
+    from sameas.plans import runs
+    counted = make([], "n int").sparkSession.sparkContext.accumulator(0)
+    plain = matching._counter
+
+    def counter(dim):
+        count = plain(dim)
+        return lambda words: counted.add(len(words)) or count(words)
+
+    monkeypatch.setattr(matching, "_counter", counter)
+    a = make([(1, "red ring"), (2, "iron bolt"), (3, None)], "id long, text string")
+    b = make([(i, f"red ring of iron number {i // 2} with a bolt") for i in range(60)] + [(90, ""), (91, None)], "id long, text string")
+    got = runs.block(a, b, 3, with_tfidf=False).collect()
+    assert counted.value <= a.count() + b.count()
+    monkeypatch.setattr(matching, "_counter", plain)
+    plainly = knn_embedding(matching.encode_text(a), matching.encode_text(b), 3)
+    assert {(r["a_id"], r["b_id"]) for r in got} == {(r["a_id"], r["b_id"]) for r in plainly.collect()}
