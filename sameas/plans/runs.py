@@ -78,6 +78,7 @@ def blocking_grid(a: DataFrame, b: DataFrame, gold: DataFrame, ks: Sequence[int]
     """blocking_cell for every blocker and serialization. With a `path` cells are kept
     there as they finish and only the others run, at most `most` of them now."""
     cells = [(x, o, r) for x in blockers for o in orders for r in removals]
+    gold = cut_lineage(gold)        # read by every cell
     run = lambda cell: blocking_cell(a, b, gold, ks, cell["order_cols"], cell["remove_col_names"], cell["blocker"])
     if path is not None:
         grid = a.sparkSession.createDataFrame(cells, "blocker string, order_cols boolean, remove_col_names boolean")

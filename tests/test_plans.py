@@ -71,3 +71,16 @@ def test_answers_do_not_depend_on_partitions(spark):
 def test_checkpoint_folder_comes_from_the_session(spark):
     ensure_checkpoint_dir(spark)
     assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
+
+
+def test_gold_of_a_grid_is_read_once(make, monkeypatch):
+    """Cells run one after another and read kept gold pairs instead of making them again."""
+    from sameas.plans import runs
+    read, plain = [], runs.blocking_cell
+    monkeypatch.setattr(runs, "blocking_cell", lambda a, b, gold, *rest: read.append(gold) or plain(a, b, gold, *rest))
+    df = lambda rows: make(rows, "id long, text string")
+    a, b = df([(1, "red ring"), (2, "iron bolt")]), df([(7, "red iron ring"), (8, "bolt of iron"), (9, "ring")])
+    gold = df([(1, "7"), (2, "8")]).selectExpr("id as a_id", "cast(text as long) as b_id", "1 as matching").distinct()
+    got = runs.blocking_grid(a, b, gold, [1, 2], orders=[False], blockers=["tfidf"]).collect()
+    assert sorted((r["k"], r["n_found"]) for r in got) == [(1, 2), (1, 2), (2, 2), (2, 2)]
+    assert len(read) == 2 and all("Aggregate" not in g._jdf.queryExecution().optimizedPlan().toString() for g in read)
